@@ -1,0 +1,8 @@
+"""Wire formats and text corpora as DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: its functions travel with the tasks that run them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
