@@ -85,3 +85,11 @@ def int_array(values: list[int], kind: str = "bigint") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def worker_store() -> dict:
+    """A dictionary that a Python worker keeps from task to task, for caches and loaded files."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_wirelane_worker", types.ModuleType("_wirelane_worker")).__dict__

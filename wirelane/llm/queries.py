@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelane.llm import line_dedup, minhash, sharding
+from wirelane.llm import line_dedup, minhash, packing, sharding, simhash
 from wirelane.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.compare_with_edits(documents(spark, sf_dir))
+    fingerprint = simhash.as_text(F.col("hi"), F.col("lo")).alias("fingerprint")
+    edited = simhash.as_text(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint")
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next")
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
