@@ -1,12 +1,70 @@
-"""A corpus pipeline of the text operators: filled in stage by stage."""
+"""From documents to packed training sequences, in five stages.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. Its result is written as Parquet and read
+again as the next one's docs, so a lost executor costs no more than the stage that runs. All
+stages but the last return the columns of documents. Rows without a doc_id go in the first stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wirelane.llm import langid, line_dedup, minhash, packing, quality
+from wirelane.llm.common import Scratch, documents
+
+#: A text in which no language has this share of the letters is not in any language.
+MIN_SHARE = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects. The decision is made row by row, so no text is shuffled."""
+    selector = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    _, _, selected = selector.columns(docs)
+    return docs.withColumn("__selected", selected).where("__selected").select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter, of whose letters one language has MIN_SHARE."""
+    found = docs.withColumn("__found", langid.identify(docs, langid.fit(docs)))
+    return found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= MIN_SHARE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one holds; one that has no text left goes."""
+    kept = line_dedup.dedup_lines(docs)
+    kept = kept.withColumn("text", F.col("kept_text")).where(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("language ID", keep_languages),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Hashes, learned models and tokenizers are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+    return docs
