@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch
+from wirelane.llm.common import Scratch, ship
 
 #: Bounds of what is collected: sampled vectors, and queries with known neighbours.
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 64
@@ -180,12 +180,12 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, fi
     draw = F.pmod(F.xxhash64(F.lit(_RNG), "vec_id"), F.lit(1_000_000))
     sample = points.where(draw < -(-1_000_000 * min(fit_rows, n) // n)).select("v").toArrow()
     tree = Tree(matrix(sample.column("v")), n) if sample.num_rows else Tree(matrix(points.limit(1).select("v").toArrow().column("v")), n)
-    sent = spark.sparkContext.broadcast(tree)  # at most 2 * MAX_LEAVES centres
+    sent = ship(spark, tree)  # at most 2 * MAX_LEAVES centres
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = sent.value.assign(matrix(batch.column("v")))
+                leaf = sent().assign(matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf)], ["vec_id", "v", "leaf"])
 
     index = scratch.save(points.select("vec_id", "v").mapInArrow(to_leaf, "vec_id long, v array<double>, leaf long"), "index")
@@ -199,7 +199,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = RECALL, fi
         for batch in batches:
             if batch.num_rows:
                 q = matrix(batch.column("v"))
-                found = [sent.value.visit(one, visits) for one in q]
+                found = [sent().visit(one, visits) for one in q]
                 sizes = [len(f) for f in found]
                 at = pa.array(np.repeat(np.arange(len(q)), sizes))
                 yield pa.RecordBatch.from_arrays([batch.column("qid").take(at), batch.column("v").take(at), pa.array(np.concatenate(found).astype(np.int64))], ["qid", "v", "leaf"])
@@ -233,12 +233,12 @@ def calibrate(tree: Tree, index: DataFrame, n: int, k: int, recall: float) -> in
     if tree.leaves == 1 or not drawn.num_rows:
         return tree.leaves
     ids, q = drawn.column("vec_id").to_numpy(), matrix(drawn.column("v"))
-    sent = spark.sparkContext.broadcast((ids, q))
+    sent = ship(spark, (ids, q))
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield _top_table(*sent.value, matrix(batch.column("v")), batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy(), k + 1)
+                yield _top_table(*sent(), matrix(batch.column("v")), batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy(), k + 1)
 
     true = _k_best(index.mapInArrow(brute, _FOUND), k + 1).collect()  # k + 1 rows a drawn query
     place = {int(i): {leaf: at for at, leaf in enumerate(tree.visit(one, tree.leaves))} for i, one in zip(ids, q, strict=True)}

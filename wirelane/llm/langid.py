@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import worker_store
+from wirelane.llm.common import ship, worker_store
 
 BUCKETS = 1 << 15
 #: About so many documents of each language, drawn by a hash of doc_id, are learned from.
@@ -221,7 +221,7 @@ _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa
 def _label_all(model, token: str, texts: pa.Array) -> pa.Array:
     store = worker_store()
     if store.get("labeller", (None,))[0] != token:
-        store["labeller"] = (token, Labeller(model.value))
+        store["labeller"] = (token, Labeller(model()))
     label = store["labeller"][1].label
     return pa.array([label(t) for t in texts.to_pylist()], _ARROW)
 
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, model: Model | None) -> Column:
     """
     if model is None:
         return F.expr("named_struct('lang', 'und', 'score', 0D, 'spans', cast(array() as array<struct<lang: string, first_word: int, last_word: int>>))")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column per language
+    sent = ship(docs.sparkSession, model)  # BUCKETS rows, a column per language
     token = str(zlib.crc32(model.logs.tobytes()))
 
     def run(texts: pa.Array) -> pa.Array:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelane.llm import langid, line_dedup, minhash, packing, quality, sharding, simhash
+from wirelane.llm import ann, langid, line_dedup, minhash, packing, quality, quotes, segment, sharding, simhash
 from wirelane.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each vector whose id is divisible by 100."""
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes; `slot` is the place in the shard."""
@@ -35,6 +41,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next")
 
 
+@query
+def op4_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sampled segmentations of each message of the conversations."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    out = segment.sample_segmentations(rows, model, ["conv_id", "turn"])
+    digest = F.sha2(segment.decode(out, model).cast("binary"), 256).alias("decoded_sha256")
+    return out.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", digest)
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -58,6 +74,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op9_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.withColumn("body_sha256", F.sha2(F.col("body").cast("binary"), 256)).drop("body")
+
+
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
