@@ -11,16 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wirelane.functions.types import sql_type
 from wirelane.operators.parsers import Error, Parser, Source
 
 ERROR_SQL = "struct<kind: string, offset: bigint, expected: string, needed: bigint, context: array<struct<label: string, offset: bigint>>>"
 
 
-def data_type(sql: str) -> T.DataType:
-    # A void value is nothing to see; a null boolean stands for it.
-    return T._parse_datatype_string(sql.replace("void", "boolean"))
-
-
 def converter(kind: T.DataType) -> Callable[[Any], Any]:
     """From a parser's value to what Arrow takes for the type: tuples and mappings become structs."""
     if isinstance(kind, T.StructType):
@@ -50,8 +46,8 @@ def parse(column: Column, p: Parser, streaming: bool = False) -> Column:
 
     rest_pos is where the parser stopped; value and rest_pos are null where ok is false, error where it is true.
     """
-    kind = data_type(p.sql)
-    result = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", kind), T.StructField("rest_pos", T.LongType()), T.StructField("error", data_type(ERROR_SQL))])
+    kind = sql_type(p.sql)
+    result = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", kind), T.StructField("rest_pos", T.LongType()), T.StructField("error", sql_type(ERROR_SQL))])
     arrow = to_arrow_type(result)
     convert = converter(kind)
     start = p.run
