@@ -9,7 +9,7 @@ complete are reported once the file is `timeout` packets past their last fragmen
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -119,23 +119,50 @@ _OUT = [("file", pa.string()), ("ip_version", pa.int32()), ("protocol", pa.int16
 _SQL = "file string, ip_version int, protocol smallint, first_packet_id long, last_packet_id long, total_length long, fragment_count long, completion_status smallint, gap_bytes long, payload binary, members array<long>"
 
 
-def _result(file: str, version: int, rows: list[tuple[Datagram, int, list[int]]]) -> pa.Table:
-    out = [{"file": file, "ip_version": version, "protocol": protocol, **d.row(), "members": members} for d, protocol, members in rows]
-    return pa.Table.from_pylist(out, pa.schema(_OUT))
+def _table(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema(_OUT))
 
 
-def _fold_group(config: Config, limited: bool):
+def _fold_sorted(config: Config):
+    """Datagrams of fragments sorted by key, session and packet: one datagram is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now, members, out = None, None, [], []
+
+        def close() -> None:
+            if now is not None:
+                out.append({"file": last[0], "ip_version": last[1], "protocol": protocol, **now.row(), "members": members})
+
+        protocol = 0
+        for batch in batches:
+            names = ("file", "ip_version", "key", "session", "packet_id", "protocol", "frag_offset_bytes", "more_fragments", "data")
+            for *key, packet, proto, offset, more, data in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if now is None or key != last or now.payload is not None or packet - now.last > config.timeout:
+                    close()
+                    last, now, members = key, Datagram(packet), []
+                now.add(packet, offset, more, data, config)
+                members.append(packet)
+                protocol = proto  # of the latest: that of the fragment which completes it
+            if len(out) >= 1024:
+                yield _table(out)
+                out.clear()
+        close()
+        if out:
+            yield _table(out)
+
+    return run
+
+
+def _fold_file(config: Config):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["packet_id"])
-        cells = [(r["key"], r["packet_id"], r["frag_offset_bytes"], r["more_fragments"], r["data"]) for r in rows]
-        found, of = fold_limited(cells, config) if limited else fold((c[1:] for c in cells), config)
-        members: dict[int, list[int]] = {id(d): [] for d in found}
-        protocol: dict[int, int] = {}
+        found, of = fold_limited([(r["key"], r["packet_id"], r["frag_offset_bytes"], r["more_fragments"], r["data"]) for r in rows], config)
+        of_each: dict[int, list[dict]] = {id(d): [] for d in found}
         for r, d in zip(rows, of, strict=True):
             if d is not None:
-                members[id(d)].append(r["packet_id"])
-                protocol[id(d)] = r["protocol"]  # of the latest: that of the fragment which completes it
-        return _result(rows[0]["file"], rows[0]["ip_version"], [(d, protocol[id(d)], members[id(d)]) for d in found])
+                of_each[id(d)].append(r)
+        out = [{"file": rows[0]["file"], "ip_version": rows[0]["ip_version"], "protocol": of_each[id(d)][-1]["protocol"], **d.row(), "members": [r["packet_id"] for r in of_each[id(d)]]} for d in found]
+        return pa.Table.from_batches([_table(out)], pa.schema(_OUT))
 
     return run
 
@@ -159,9 +186,10 @@ def reassemble(fragments: DataFrame, last_packets: DataFrame, config: Config = C
         order = Window.partitionBy("file", "ip_version", "key").orderBy("packet_id")
         apart = F.col("packet_id") - F.lag("packet_id").over(order) > config.timeout
         rows = fragments.withColumn("session", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        found = rows.groupBy("file", "ip_version", "key", "session").applyInArrow(_fold_group(config, False), _SQL)
+        key = ["file", "ip_version", "key", "session"]
+        found = rows.repartition(*key).sortWithinPartitions(*key, "packet_id").mapInArrow(_fold_sorted(config), _SQL)
     else:  # which datagram is refused depends on all others: in the order of the file
-        found = fragments.groupBy("file", "ip_version").applyInArrow(_fold_group(config, True), _SQL)
+        found = fragments.groupBy("file", "ip_version").applyInArrow(_fold_file(config), _SQL)
     number = F.row_number().over(Window.partitionBy("file", "ip_version").orderBy("first_packet_id")).cast("long")
     found = found.withColumn("datagram_id", number)
     ended = F.col("last") >= F.col("last_packet_id") + config.timeout
