@@ -139,7 +139,7 @@ class Selector:
         if self.cut is None:
             return key, F.lit(False)
         at, last = (F.lit(x) for x in self.cut)
-        return key, F.coalesce((key > at) | ((key == at) & (doc_id <= last)), F.lit(False))
+        return key, F.coalesce((key > at) | ((key == at) & (doc_id <= last)), F.lit(False)) & doc_id.isNotNull()
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Selector:
