@@ -328,7 +328,7 @@ def packet_options(block: bytes, order: str = "<") -> list[tuple[int, bytes]]:
     at, end, out = 28 + caplen + -caplen % 4, len(block) - 4, []
     while at + 4 <= end:
         code, size = struct.unpack_from(order + "HH", block, at)
-        if code == 0 or at + 4 + size > end:
+        if at + 4 + size + -size % 4 > end:
             break
         out.append((code, block[at + 4 : at + 4 + size]))
         at += 4 + size + -size % 4
