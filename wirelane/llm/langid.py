@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from wirelane.llm.common import ship, worker_store
 
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+_TIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 #: About so many documents of each language, drawn by a hash of doc_id, are learned from.
 FIT_DOCS = 3000
 #: A language has a script if at least this share of its letters is of it.
 SCRIPT_SHARE = 0.01
 #: What a change of language costs, in nats, and how much of an n-gram's log-likelihood counts, as n-grams overlap.
 SWITCH, SCALE = 12.0, 0.5
-CACHE_WORDS = 300_000
+#: Remembered words of a worker, forgotten beyond, and texts that are labelled together.
+CACHE_WORDS, TOGETHER = 400_000, 500
 
 # The first code points of Unicode's script ranges, as far as they are told apart.
 SCRIPT_STARTS = [
@@ -51,46 +54,51 @@ def letters(word: str) -> str:
     return "".join(c for c in word if c.isalpha() or unicodedata.category(c)[0] == "M").lower()
 
 
-def script(word: str) -> int:
-    """The number of the script that most letters of the word are of; -1 without letters."""
-    if not word:
-        return -1
-    if word.isascii():
-        return SCRIPTS.index("Latin")
-    points = np.array([ord(c) for c in word])
-    return int(np.bincount(_SCRIPT_OF[np.searchsorted(_STARTS, points, "right") - 1]).argmax())
+class Grams:
+    """The n-grams of 1 to 3 characters of words, ends included, for many words at once.
 
+    kinds holds, for n of 1 to 3, the bucket of the n-gram that begins at each character, BUCKETS where
+    none does; starts tells where each word begins, scripts the number of its main script.
+    """
 
-def ngrams(word: str) -> list[int]:
-    """Buckets of the word's n-grams of 1 to 3 characters, ends included."""
-    w = f"<{word}>"
-    n = len(w)
-    grams = [*w[1:-1], *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2))]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+    def __init__(self, words: list[str]):
+        text = "".join(f"<{w}>" for w in words)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.starts = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(words)), sizes)
+        inner = np.ones(len(points), bool)
+        inner[self.starts] = inner[self.starts + sizes - 1] = False
+        n = len(points)
+        self.kinds = []
+        mixed = np.zeros(n, np.uint32)
+        for k in range(3):
+            mixed[: n - k] += points[k:] * _TIMES[k]
+            bucket = ((mixed ^ np.uint32(k)) * _TIMES[3]) >> np.uint32(32 - BUCKET_BITS)
+            whole = inner.copy() if not k else np.zeros(n, bool)
+            if k:
+                whole[: n - k] = self.owner[: n - k] == self.owner[k:]
+            self.kinds.append(np.where(whole, bucket, BUCKETS).astype(np.int64))
+        names = _SCRIPT_OF[np.searchsorted(_STARTS, points[inner], "right") - 1]
+        counts = np.bincount(self.owner[inner] * len(SCRIPTS) + names, minlength=len(words) * len(SCRIPTS))
+        self.scripts = counts.reshape(len(words), len(SCRIPTS)).argmax(axis=1)
 
 
 class Model:
     """Languages, per-language log-likelihoods of buckets, and which languages have which scripts."""
 
     def __init__(self, langs: list[str], logs: np.ndarray, has_script: np.ndarray):
-        self.langs, self.logs, self.has_script = langs, logs, has_script
-
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row of scores for each word, relative to its best language, and its letters."""
-        cores = [letters(w) for w in words]
-        grams = [ngrams(c) if c else [] for c in cores]
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        full = [i for i, g in enumerate(grams) if g]
-        if full:
-            flat = self.logs[np.concatenate([grams[i] for i in full])]
-            starts = np.cumsum([0, *(len(grams[i]) for i in full[:-1])])
-            rows = np.add.reduceat(flat, starts, axis=0) * SCALE
-            for row, i in zip(rows, full, strict=True):
-                usual = self.has_script[script(cores[i])]
-                if usual.any() and not usual.all():  # a candidate must be usual in this script
-                    row[~usual] -= 3 * SWITCH
-                out[i] = row - row.max()
-        return out, np.array([len(c) for c in cores], np.int32)
+        self.langs, self.has_script = langs, has_script
+        self.logs = np.vstack([logs, np.zeros((1, len(langs)), np.float32)])  # no n-gram: nothing
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word (of letters, not empty), relative to its best language."""
+        grams = Grams(words)
+        rows = np.add.reduceat(sum(self.logs[k] for k in grams.kinds), grams.starts, axis=0) * SCALE
+        usual = self.has_script[grams.scripts]
+        # A candidate must be usual in the word's script, if any is.
+        rows -= np.where(usual | ~usual.any(axis=1, keepdims=True), 0, 3 * SWITCH).astype(np.float32)
+        return rows - rows.max(axis=1, keepdims=True)
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -127,40 +135,46 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 
 class Labeller:
-    """Labels texts by a model; remembers words."""
+    """Labels texts by a model. Words are remembered by the row of their letters: 0 for those without."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.forget()
+
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((CACHE_WORDS, len(model.langs)), np.float32)
-        self.letters = np.zeros(CACHE_WORDS, np.int32)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.rows) + len(words) > len(self.scores):
-            self.rows.clear()
-            if len(words) > len(self.scores):
-                self.scores = np.zeros((2 * len(words), len(self.model.langs)), np.float32)
-                self.letters = np.zeros(2 * len(words), np.int32)
+        self.cores: dict[str, int] = {"": 0}
+        self.scores = np.zeros((1, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(1, np.int32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.rows) > CACHE_WORDS:
+            self.forget()
         new = [w for w in words if w not in self.rows]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            first = len(self.rows)
-            self.rows.update((w, first + i) for i, w in enumerate(some))
-            self.scores[first : first + len(some)], self.letters[first : first + len(some)] = self.model.scores(some)
-
-    def label(self, text: str | None) -> dict:
-        words = text.split() if text else []
-        try:
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(set(words))
-            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        sizes = self.letters[at]
-        some = np.flatnonzero(sizes)
+        cores = list(map(letters, new))
+        fresh = [c for c in dict.fromkeys(cores) if c not in self.cores]
+        if fresh:
+            at = len(self.cores)
+            self.cores.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            parts = [self.model.scores(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
+            self.scores = np.concatenate([self.scores, *parts])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, fresh), np.int32, len(fresh))])
+        self.rows.update(zip(new, map(self.cores.__getitem__, cores), strict=True))
+
+    def label_all(self, texts: list[str | None]) -> list[dict]:
+        """What is not remembered is looked up for all texts at once."""
+        words = [t.split() if t else [] for t in texts]
+        self.learn(set().union(*words))
+        return [self.label(w) for w in words]
+
+    def label(self, words: list[str]) -> dict:
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        some = np.flatnonzero(at)
         if not len(some):
             return {"lang": "und", "score": 0.0, "spans": []}
-        labels = viterbi(self.scores[at[some]], SWITCH)
-        share = np.bincount(labels, sizes[some], len(self.model.langs))
+        at = at[some]
+        labels = viterbi(self.scores[at], SWITCH)
+        share = np.bincount(labels, self.letters[at], len(self.model.langs))
         best = int(share.argmax())
         cuts = np.flatnonzero(np.diff(labels)) + 1
         spans = [{"lang": self.model.langs[labels[a]], "first_word": int(some[a]), "last_word": int(some[b - 1])} for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(labels)], strict=True)]
@@ -176,10 +190,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words: Counter = Counter()
             for _, text in rows:
                 words.update(text.split())
+            cores: Counter = Counter()
             for word, n in words.items():
                 if core := letters(word):
-                    np.add.at(table, ngrams(core), n)
-                    table[BUCKETS + script(core)] += n * len(core)
+                    cores[core] += n
+            if cores:
+                grams, n = Grams(list(cores)), np.fromiter(cores.values(), np.int64, len(cores))
+                for k in grams.kinds:
+                    table[:BUCKETS] += np.bincount(k, n[grams.owner], BUCKETS + 1)[:BUCKETS].astype(np.int64)
+                table[BUCKETS:] += np.bincount(grams.scripts, n * np.fromiter(map(len, cores), np.int64, len(cores)), len(SCRIPTS)).astype(np.int64)
     for lang, table in tables.items():
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(table[at])], ["lang", "bucket", "n"])
@@ -222,8 +241,11 @@ def _label_all(model, token: str, texts: pa.Array) -> pa.Array:
     store = worker_store()
     if store.get("labeller", (None,))[0] != token:
         store["labeller"] = (token, Labeller(model()))
-    label = store["labeller"][1].label
-    return pa.array([label(t) for t in texts.to_pylist()], _ARROW)
+    label_all = store["labeller"][1].label_all
+    out: list[dict] = []
+    for at in range(0, len(texts), TOGETHER):
+        out += label_all(texts.slice(at, TOGETHER).to_pylist())
+    return pa.array(out, _ARROW)
 
 
 def identify(docs: DataFrame, model: Model | None) -> Column:
