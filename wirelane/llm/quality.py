@@ -126,8 +126,8 @@ def top_k_cut(scores: DataFrame, k: int, scratch: Scratch) -> tuple[float, int]
 class Selector:
     """Models, threshold and cut of one corpus: fitted once, applied to each row by itself."""
 
-    def __init__(self, ratio: np.ndarray, floor: float, k: int, cut: tuple[float, int] | None):
-        self.ratio, self.floor, self.k, self.cut = ratio, floor, k, cut
+    def __init__(self, ratio: np.ndarray, floor: float, k: int, cut: tuple[float, int] | None, scores: DataFrame):
+        self.ratio, self.floor, self.k, self.cut, self.scores = ratio, floor, k, cut, scores
 
     def columns(self, docs: DataFrame) -> tuple[Column, Column, Column]:
         """log_weight, key and selected for docs. selected is never null: texts without a weight are not selected."""
@@ -164,9 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Selecto
     floor = threshold(np.array([r[1] for r in checked if r[0]]), np.array([r[1] for r in checked if not r[0]]))
     k = scores.where(F.col("log_weight") >= F.lit(floor)).count()
     keys = scores.where("log_weight is not null").select("doc_id", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key"))
-    selector = Selector(ratio, floor, k, top_k_cut(keys, k, scratch))
-    selector.scores = scores
-    return selector
+    return Selector(ratio, floor, k, top_k_cut(keys, k, scratch), scores)
 
 
 def select(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:

@@ -188,6 +188,7 @@ class Sampler:
         heaps: list[list] = [[] for _ in texts]
         # Each text's next path: what is kept of an older one, the state to go on from, and the units to come.
         todo = [(d, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0.0, float(top[d]), -1, 0) for d in range(len(texts))]
+        todo_rest: list = []
         for r in range(k):
             state, seed, counter, size = [], [], [], []
             for d, _, _, _, _, _, mid, unit in todo:
