@@ -26,7 +26,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length are numbered in so many parts.
 SALTS = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 #: Parts that the tokenizer treats apart whatever stands around them: a run of Latin letters before
 #: white space, a digit or a symbol; a run of ASCII symbols before white space, a digit or a letter;
@@ -52,25 +52,24 @@ class PartIds(dict):
             found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             words = np.array(found.word_ids, np.int64)
             ids = np.array(found.ids, np.uint32)
-            ends = np.searchsorted(words, np.arange(len(some) + 1))
-            self.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, ends.tolist(), ends[1:].tolist(), strict=False))
+            ends = (4 * np.searchsorted(words, np.arange(len(some) + 1))).tolist()
+            raw = ids.tobytes()
+            self.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:])), strict=True))
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of the whole text."""
+    def parts(self, text: str) -> list[str]:
         if "<|" in text:  # perhaps a special token: only white space parts it
-            parts = text.split(" ")
-        else:
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # as the tokenizer does; beyond Latin-1 rules may differ
-            except UnicodeEncodeError:
-                pass
-            parts = PARTS.findall(text)
+            return text.split(" ")
         try:
-            return b"".join(map(self.__getitem__, parts))
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join(map(self.__getitem__, parts))
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return PARTS.findall(text)
+        return PARTS.findall(text.lower())  # as the tokenizer does; beyond Latin-1 rules may differ
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each whole text. What is not remembered is looked up for all texts at once."""
+        parts = [self.parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [b"".join(map(self.__getitem__, p)) for p in parts]
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
@@ -87,8 +86,9 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
+                    ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start : start + 4 * capacity]
                         rows.append((doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own)))
