@@ -428,19 +428,25 @@ def rules_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_stats(order_packets(spark, sf_dir), rules.parse_rules(RULES))
 
 
+#: Bytes of text in one datagram at most; the parts of a longer text are packets PART_IDS apart.
+PART_BYTES, PART_IDS = 60_000, 1 << 40
+
+
 def document_fragments(spark: SparkSession, sf_dir: str, unit: int = 1024) -> DataFrame:
-    """Frames of the fragments of a datagram per document: as many bytes of its text as a datagram may have.
+    """Frames of the fragments of a document's datagrams: one UDP datagram, or as many of equal size as a long text needs.
 
-    Each datagram's last fragment comes first.
+    Each datagram's last fragment comes first. The part of the text is in the destination and in the packet's number.
     """
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    # A datagram is UDP with the first 60,000 bytes of the text: more does not fit in one.
-    body = F.substring(blob(F.col("text")), 1, 60_000)
-    d = d.select("doc_id", udp(F.lit(7), F.lit(8), body).alias("b")).withColumn("last", F.floor((F.octet_length("b") - 1) / unit))
-    parts = d.select("doc_id", "b", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("i"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", blob(F.col("text")).alias("text"))
+    d = d.withColumn("size", F.octet_length("text").cast("long")).withColumn("n", F.greatest(F.ceil(F.col("size") / PART_BYTES), F.lit(1)))
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    d = d.withColumn("at", F.expr("part * size div n")).withColumn("end", F.expr("(part + 1) * size div n"))
+    body = F.substring(F.col("text"), (F.col("at") + 1).cast("int"), (F.col("end") - F.col("at")).cast("int"))
+    d = d.select("doc_id", "part", udp(F.lit(7), F.lit(8), body).alias("b")).withColumn("last", F.floor((F.octet_length("b") - 1) / unit))
+    parts = d.select("doc_id", "part", "b", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("i"))
     piece = F.substring(F.col("b"), (F.col("i") * unit + 1).cast("int"), F.lit(unit))
-    data = frame(F.col("doc_id"), F.lit(0x800), ipv4(F.col("doc_id"), F.lit(1), 17, F.col("doc_id") % 65536, (F.col("i") * (unit // 8)).cast("int"), F.col("i") < F.col("last"), piece))
-    number = F.col("doc_id") * 100 + (F.col("last") - F.col("i"))
+    data = frame(F.col("doc_id"), F.lit(0x800), ipv4(F.col("doc_id"), F.col("part") + 1, 17, (F.col("doc_id") + F.col("part")) % 65536, (F.col("i") * (unit // 8)).cast("int"), F.col("i") < F.col("last"), piece))
+    number = F.col("part") * PART_IDS + F.col("doc_id") * 100 + (F.col("last") - F.col("i"))
     return settled(parts.select(F.lit("documents").alias("file"), number.alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
 
 
@@ -453,11 +459,12 @@ def defrag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) BETWEEN 1017 AND 60000")
 def defrag_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reassembled bytes, taken up again as UDP."""
+    """The reassembled bytes, taken up again as UDP; a long text's datagrams are joined in their order."""
     c = Capture(document_fragments(spark, sf_dir))
-    rows = c.table("udp", True).where("is_reassembled and length < 60008")
-    doc = F.floor(F.col("packet_id") / 100)
-    return rows.select(doc.alias("doc_id"), F.md5("data").alias("text_md5"))
+    rows = c.table("udp", True).where("is_reassembled")
+    rows = rows.withColumn("part", F.expr(f"(packet_id + {PART_IDS // 2}) div {PART_IDS}"))
+    rows = rows.select(F.floor((F.col("packet_id") - F.col("part") * PART_IDS) / 100).alias("doc_id"), "part", "data")
+    return rows.groupBy("doc_id").agg(F.md5(F.expr("listagg(data) WITHIN GROUP (ORDER BY part)")).alias("text_md5"))
 
 
 def broken_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
