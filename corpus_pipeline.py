@@ -16,6 +16,8 @@ from wirelane.llm.common import Scratch, documents
 
 #: A text in which no language has this share of the letters is not in any language.
 MIN_SHARE = 0.5
+#: Near-duplicates share this per cent of their five-word shingles; op10_minhash keeps its own.
+NEAR_PERCENT = 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

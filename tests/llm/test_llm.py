@@ -225,6 +225,35 @@ def test_minhash(spark, monkeypatch):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def edited(words, n):
+    """The words with n of them, far from each other, changed."""
+    out = list(words)
+    for k in range(n):
+        out[(2 * k + 1) * len(words) // (2 * n)] = f"changed{k}"
+    return out
+
+
+def test_pipeline_near_duplicates(spark):
+    """Pairs of a similarity from 0.80 to below 0.85 are near-duplicates of the pipeline, not of op10_minhash."""
+    import corpus_pipeline as cp
+
+    rows, low = [], set()
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(200 + 7 * k)]
+        for n in range(3, 12):
+            shingles_ = len(words) - 4
+            if 0.80 <= (shingles_ - 5 * n) / (shingles_ + 5 * n) < 0.85:
+                low.add(len(rows) + 1)
+                rows += [" ".join(words), " ".join(edited(words, n))]
+                break
+    rows += corpus(n=30)
+    rows = list(enumerate(rows))
+    want = brute_components(rows, percent=80)
+    assert len(low) > 20 and all(want[d][1] == d - 1 for d in low) and all(c == d for d, (_, c) in brute_components(rows).items() if d in low)
+    got = {r.doc_id for r in cp.drop_near_duplicates(spark, frame(spark, [t for _, t in rows]), SF).collect()}
+    assert got == {d for d, (_, c) in want.items() if c == d}
+
+
 def test_error_keys_find_all_within_radius():
     rng = np.random.default_rng(1)
     for _ in range(300):

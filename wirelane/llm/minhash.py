@@ -1,8 +1,8 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
 A document's signature has SYMBOLS places of 8 bits, the low bits of MinHashes of its word shingles.
-Two documents of Jaccard similarity 0.85 differ in 9 of 60 places on average; more than RADIUS
-differ once in a million pairs. The signature is split into CHUNKS chunks; by the pigeonhole
+Two documents of Jaccard similarity 0.8 differ in 18 of 90 places on average, and in more than RADIUS
+once in 100,000 pairs; at 0.85 that is once in 140 million. The signature is split into CHUNKS chunks; by the pigeonhole
 principle a pair within RADIUS has a chunk with at most RADIUS // CHUNKS errors. Each allowed error
 is enumerated by leaving its place out of the chunk: two chunks with one error are equal where that
 place is left out. So all pairs within RADIUS meet under a key, whatever the data.
@@ -31,7 +31,7 @@ from wirelane.llm.shingles import U64, WordHashes, sets
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SYMBOLS, CHUNKS, RADIUS = 60, 12, 23
+SYMBOLS, CHUNKS, RADIUS = 90, 18, 35
 #: Members of a block; groups of more are compared block by block.
 KEY_BLOCK, SET_BLOCK = 1024, 512
 #: Shingles of a block of full sets.
