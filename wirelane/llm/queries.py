@@ -41,14 +41,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next")
 
 
+def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = segment.sample_segmentations(rows.select(*keys, "text"), model, keys)
+    digest = F.sha2(segment.decode(out, model).cast("binary"), 256).alias("decoded_sha256")
+    return out.select(*keys, "sample", F.size("ids").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", digest)
+
+
 @query
 def op4_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sampled segmentations of each document."""
+    return _sampled(documents(spark, sf_dir), ["doc_id"])
+
+
+@query
+def op4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four sampled segmentations of each message of the conversations."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    out = segment.sample_segmentations(rows, model, ["conv_id", "turn"])
-    digest = F.sha2(segment.decode(out, model).cast("binary"), 256).alias("decoded_sha256")
-    return out.select("conv_id", "turn", "sample", F.size("ids").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", digest)
+    return _sampled(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id", "turn"])
 
 
 @query
