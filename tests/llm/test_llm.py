@@ -602,6 +602,22 @@ def test_quotes_long_chain(spark):
     assert [(r.turn, r.depth) for r in rows] == [(i, i) for i in range(40)]
 
 
+def replies(spark, messages):
+    rows = quotes.reply_ordered(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    return {(r.conv_id, r.turn): r for r in rows}
+
+
+def test_short_quotes(spark):
+    """Short lines link inside their conversation alone, and do not outvote longer ones."""
+    got = replies(spark, [
+        (1, 0, "user", "Something else\nBye"), (1, 1, "user", "Thanks!"), (1, 2, "user", "好。"), (1, 3, "user", "A line long enough to tell"),
+        (1, 4, "user", "> thanks!\nWelcome"), (1, 5, "user", "> 好。\nFine"), (1, 6, "user", ">\n> \nnothing quoted"),
+        (1, 7, "user", "> Thanks!\n> A line long enough to tell\nBoth"), (2, 0, "user", "> Thanks!\nFrom elsewhere"),
+    ])
+    assert {t: got[1, t].parent_turn for t in range(8)} == {0: None, 1: None, 2: None, 3: None, 4: 1, 5: 2, 6: None, 7: 3}
+    assert got[1, 4].source_conv is None and (got[2, 0].parent_turn, got[2, 0].source_conv) == (None, None)
+
+
 # Pipeline
 
 

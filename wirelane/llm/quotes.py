@@ -3,8 +3,8 @@
 Lines of a message that begin with `>` are quoted, as deep as there are such signs. Neighbouring quoted
 lines of one depth are a passage. Lines of passages and of message bodies are normalised and
 hashed; a quoted line is joined to the first message of the conversation with that line of its own,
-else to the first of any. The message that most lines of the shallowest passages come from is what
-is replied to.
+else, unless it is short, to the first of any. The message that most lines of the shallowest passages
+come from is what is replied to; short lines decide where others do not.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from wirelane.llm.common import Scratch
 
 QUOTED = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 ATTRIBUTION = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t]*$", re.IGNORECASE)
-#: Shorter normalised lines link nothing.
+#: Shorter normalised lines link messages of one conversation alone.
 MIN_LINE = 8
 
 
@@ -30,9 +30,12 @@ def normalise(line: str) -> str:
 
 
 def line_hash(line: str) -> int | None:
-    """A 64-bit hash of the normalised line; null if it is too short to tell messages apart."""
+    """A 63-bit hash of the normalised line, or its complement, which is negative, if it is short; null if it is empty."""
     key = normalise(line)
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) - (1 << 63) if len(key) >= MIN_LINE else None
+    if not key:
+        return None
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) >> 1
+    return h if len(key) >= MIN_LINE else ~h
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -93,15 +96,15 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     # One row per line of a conversation and one per line of all: their first messages.
     own = parsed.select(*key, F.explode("own").alias("line"))
     here = own.groupBy("conv_id", "line").agg(F.min("turn").alias("here"))
-    first = here.groupBy("line").agg(F.min(F.struct("conv_id", "here")).alias("first"))
+    first = here.where("line >= 0").groupBy("line").agg(F.min(F.struct("conv_id", "here")).alias("first"))
     quotes = parsed.select(*key, "copy", F.explode("quoted").alias("q")).select(*key, "copy", "q.passage", "q.depth", "q.line")
     least = F.min("depth").over(Window.partitionBy(*key, "copy"))
     quotes = scratch.save(quotes.withColumn("least", least).where("depth = least").drop("least"), "quoted")
-    linked = quotes.join(here, ["conv_id", "line"], "left").join(first, "line", "left")
-    inside = F.col("here") < F.col("turn")
-    outside = (F.col("first.conv_id") != F.col("conv_id")) & ~F.coalesce(inside, F.lit(False))
-    linked = linked.withColumn("parent", F.when(inside, F.struct(F.col("conv_id").alias("c"), F.col("here").alias("t"))).when(outside, F.struct(F.col("first.conv_id").alias("c"), F.col("first.here").alias("t")))).where("parent is not null")
-    votes = linked.groupBy(*key, "copy", "parent").agg(F.count(F.lit(1)).alias("n"))
+    placed = scratch.save(quotes.join(here, ["conv_id", "line"], "left").withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here"))), "placed")
+    inside = placed.where("here is not null").withColumn("parent", F.struct(F.col("conv_id").alias("c"), F.col("here").alias("t")))
+    outside = placed.where("here is null and line >= 0").join(first, "line").where("first.conv_id != conv_id").withColumn("parent", F.struct(F.col("first.conv_id").alias("c"), F.col("first.here").alias("t"))).drop("first")
+    linked = inside.unionByName(outside)
+    votes = linked.groupBy(*key, "copy", "parent").agg(F.struct(F.count_if(F.col("line") >= 0), F.count(F.lit(1))).alias("n"))
     best = votes.groupBy(*key, "copy").agg(F.max_by("parent", F.struct("n", -F.col("parent.c"), -F.col("parent.t"))).alias("inner_or_outer"), F.max_by(F.when(F.col("parent.c") == F.col("conv_id"), F.col("parent.t")), F.struct((F.col("parent.c") == F.col("conv_id")).cast("int"), "n", -F.col("parent.t"))).alias("parent_turn"))
     best = scratch.save(best, "best")
     outer = F.col("inner_or_outer.c") != F.col("conv_id")
