@@ -618,6 +618,20 @@ def test_short_quotes(spark):
     assert got[1, 4].source_conv is None and (got[2, 0].parent_turn, got[2, 0].source_conv) == (None, None)
 
 
+def test_deep_quotes(spark):
+    """Where the shallowest level matches nothing the next one decides, and all levels are linked."""
+    got = replies(spark, [
+        (1, 0, "user", "The first thing that was said."), (1, 1, "user", "The second thing that was said."),
+        (1, 2, "user", "> Some words edited by hand\n>> The first thing that was said.\nA reply"),
+        (1, 3, "user", "> The second thing that was said.\n>> The first thing that was said.\n>>> never said at all\nAnother"),
+        (1, 4, "user", ">> edited as well, this one\n>>> The second thing that was said.\nDeep"),
+        (2, 0, "user", "A line of the second conversation."), (1, 5, "user", "> A line of the second conversation.\n>> The first thing that was said.\nBoth"),
+    ])
+    assert {t: got[1, t].parent_turn for t in range(6)} == {0: None, 1: None, 2: 0, 3: 1, 4: 1, 5: 0}
+    assert {t: [tuple(x) for x in got[1, t].links or []] for t in range(2, 6)} == {2: [(1, 2, 1, 0)], 3: [(0, 1, 1, 1), (1, 2, 1, 0)], 4: [(1, 3, 1, 1)], 5: [(0, 1, 2, 0), (1, 2, 1, 0)]}
+    assert (got[1, 5].source_conv, got[1, 5].source_turn) == (2, 0) and got[1, 2].source_conv is None
+
+
 # Pipeline
 
 

@@ -4,7 +4,7 @@ Lines of a message that begin with `>` are quoted, as deep as there are such sig
 lines of one depth are a passage. Lines of passages and of message bodies are normalised and
 hashed; a quoted line is joined to the first message of the conversation with that line of its own,
 else, unless it is short, to the first of any. The message that most lines of the shallowest passages
-come from is what is replied to; short lines decide where others do not.
+that match come from is what is replied to; short lines decide where others do not.
 """
 
 from __future__ import annotations
@@ -75,11 +75,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """One row per message: (conv_id, position, turn, role, body, n_quoted, parent_turn, source_conv, source_turn, depth).
+    """One row per message: (conv_id, position, turn, role, body, n_quoted, parent_turn, source_conv, source_turn, depth, links).
 
     messages: (conv_id, turn, role, text). body is the text without quotations; parent_turn the earlier
-    message of the conversation that it quotes most (the first of equals), null if there is none;
-    source_conv and source_turn name the message that it quotes most where that is in another conversation.
+    message of the conversation that it quotes most (the first of equals) at the shallowest level that
+    matches one, null if there is none; source_conv and source_turn name the message that it quotes most
+    at the shallowest level that matches any, where that is in another conversation. links has the
+    message that each passage of any depth comes from, without those that match none; null if none does.
     position counts a conversation's messages from 0: a reply follows what it replies to, replies
     to one message stand by turn, and messages that reply to nothing stand by turn. Rows that share
     conv_id and turn are copies: all are kept, the first by role and text being the one that is replied
@@ -98,17 +100,25 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     here = own.groupBy("conv_id", "line").agg(F.min("turn").alias("here"))
     first = here.where("line >= 0").groupBy("line").agg(F.min(F.struct("conv_id", "here")).alias("first"))
     quotes = parsed.select(*key, "copy", F.explode("quoted").alias("q")).select(*key, "copy", "q.passage", "q.depth", "q.line")
-    least = F.min("depth").over(Window.partitionBy(*key, "copy"))
-    quotes = scratch.save(quotes.withColumn("least", least).where("depth = least").drop("least"), "quoted")
+    quotes = scratch.save(quotes, "quoted")
     placed = scratch.save(quotes.join(here, ["conv_id", "line"], "left").withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here"))), "placed")
     inside = placed.where("here is not null").withColumn("parent", F.struct(F.col("conv_id").alias("c"), F.col("here").alias("t")))
     outside = placed.where("here is null and line >= 0").join(first, "line").where("first.conv_id != conv_id").withColumn("parent", F.struct(F.col("first.conv_id").alias("c"), F.col("first.here").alias("t"))).drop("first")
     linked = inside.unionByName(outside)
-    votes = linked.groupBy(*key, "copy", "parent").agg(F.struct(F.count_if(F.col("line") >= 0), F.count(F.lit(1))).alias("n"))
-    best = votes.groupBy(*key, "copy").agg(F.max_by("parent", F.struct("n", -F.col("parent.c"), -F.col("parent.t"))).alias("inner_or_outer"), F.max_by(F.when(F.col("parent.c") == F.col("conv_id"), F.col("parent.t")), F.struct((F.col("parent.c") == F.col("conv_id")).cast("int"), "n", -F.col("parent.t"))).alias("parent_turn"))
+    tally = lambda long, all: F.struct(long.alias("long"), all.alias("all")).alias("n")
+    sources = scratch.save(linked.groupBy(*key, "copy", "passage", "depth", "parent").agg(tally(F.count_if(F.col("line") >= 0), F.count(F.lit(1)))), "sources")
+    early = (-F.col("parent.c"), -F.col("parent.t"))
+    whole = sources.groupBy(*key, "copy", "passage", "depth").agg(F.max_by("parent", F.struct("n", *early)).alias("parent"))
+    link = F.struct("passage", "depth", F.col("parent.c").alias("conv_id"), F.col("parent.t").alias("turn"))
+    passages = whole.groupBy(*key, "copy").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    votes = sources.groupBy(*key, "copy", "depth", "parent").agg(tally(F.sum("n.long"), F.sum("n.all")))
+    # Deeper levels decide where no shallower one matches.
+    level, is_inner = -F.col("depth"), F.col("parent.c") == F.col("conv_id")
+    best = votes.groupBy(*key, "copy").agg(F.max_by("parent", F.struct(level, "n", *early)).alias("inner_or_outer"), F.max_by(F.when(is_inner, F.col("parent.t")), F.struct(is_inner.cast("int"), level, "n", early[1])).alias("parent_turn"))
+    best = best.join(passages, [*key, "copy"])
     best = scratch.save(best, "best")
     outer = F.col("inner_or_outer.c") != F.col("conv_id")
-    links = best.select(*key, "copy", "parent_turn", F.when(outer, F.col("inner_or_outer.c")).alias("source_conv"), F.when(outer, F.col("inner_or_outer.t")).alias("source_turn"))
+    links = best.select(*key, "copy", "parent_turn", F.when(outer, F.col("inner_or_outer.c")).alias("source_conv"), F.when(outer, F.col("inner_or_outer.t")).alias("source_turn"), "links")
 
     # Paths from the root, doubled in each round: only messages that reply to one are in these tables.
     at = lambda turn: F.struct(turn.alias("turn"))
@@ -126,4 +136,4 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     out = out.withColumn("path", F.coalesce("path", F.array(at(F.col("turn")))))
     order = Window.partitionBy("conv_id").orderBy("path", "copy")
     out = out.withColumn("position", F.row_number().over(order).cast("long") - 1).withColumn("depth", F.size("path") - 1)
-    return out.select("conv_id", "position", "turn", "role", "body", "n_quoted", "parent_turn", "source_conv", "source_turn", "depth")
+    return out.select("conv_id", "position", "turn", "role", "body", "n_quoted", "parent_turn", "source_conv", "source_turn", "depth", "links")
