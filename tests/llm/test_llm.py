@@ -491,6 +491,33 @@ def test_quality(spark):
     assert quality.select(few.limit(0), labels).count() == 0
 
 
+def test_toxic_texts(spark):
+    """A toxic text of good quality goes, however long its clean remainder is; clean ones stay."""
+    rng = random.Random(7)
+    words, insults = vocabulary(rng, 400), ["idiot", "scum", "moron"]
+    rows, labels = [], []
+    for i in range(1600):
+        text = [rng.choice(words) for _ in range(rng.choice([20, 200, 2000]))]
+        kind = i % 4  # 0: junk, 1: toxic, 2 and 3: good
+        if kind == 0:
+            text = [rng.choice(["zzq", "qqx", "xxz"]) for _ in text]
+        if kind == 1:
+            text.insert(rng.randrange(len(text)), rng.choice(insults))
+        rows.append(" ".join(text))
+        labels.append((i, int(kind != 0), int(kind == 1)))
+    out = quality.select(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = [np.mean([r.selected for r in out if r.doc_id % 4 == k]) for k in range(4)]
+    assert kept[0] <= 0.05 and kept[1] <= 0.05 and min(kept[2:]) >= 0.95, kept
+
+
+def test_toxic_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    rows = quality.select(docs, labels).join(labels, "doc_id").where("quality = 1").collect()
+    toxic, clean = ([r.selected for r in rows if r.toxic == x] for x in (1, 0))
+    # About a fifth of the toxic labels are of texts without any of the words that tell the others.
+    assert np.mean(toxic) <= 0.35 and np.mean(clean) >= 0.95, (np.mean(toxic), np.mean(clean))
+
+
 def test_weights_and_noise(spark):
     target, raw = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     np.add.at(target, quality.buckets(b"good words here"), 1)

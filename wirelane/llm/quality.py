@@ -5,6 +5,10 @@ all texts. A text's log importance weight is the sum over its n-grams of the log
 Resampling without replacement is Gumbel top-k: each weight gets Gumbel noise seeded by the
 document's id, and the k largest sums are taken. k is the number of documents whose weight is on the
 good side of the threshold that parts good from bad labels best.
+
+Toxic texts have a measure of their own, which the rest of a text does not outvote: the largest log
+ratio of any of its n-grams, by the shares of toxic and of good documents that hold it. Those on the
+wrong side of the threshold that parts good from toxic labels best have no weight and are never drawn.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ FIT_DOCS = 30_000
 KEEP = 3
 #: The part of the target model that is the raw model, so that an n-gram unseen in the target costs about 3 nats at most.
 BACKGROUND = 0.05
+#: So many documents, dealt to toxic and good ones by their numbers, are taken to hold each n-gram besides those that do.
+PRIOR_DOCS = 2
 SEED = 6
 _TIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
@@ -76,15 +82,54 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((1 - BACKGROUND) * q / p + BACKGROUND).astype(np.float32) if target.sum() else np.zeros(BUCKETS, np.float32)
 
 
-def log_weight(docs: DataFrame, ratio: np.ndarray) -> Column:
-    """The log importance weight of docs.text; null for a null or empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS floats
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text, good): kind 0, n-grams of good texts; 1 and 2, the good and the toxic texts that hold each, and in place BUCKETS all of them."""
+    tables = np.zeros((3, BUCKETS + 1), np.int64)
+    for batch in batches:
+        for text, good in zip(texts(batch.column("text")), batch.column("good").to_pylist(), strict=True):
+            if not text:
+                continue
+            own, n = np.unique(buckets(text), return_counts=True)
+            if good:
+                tables[0, own] += n
+            kind = 1 if good else 2
+            tables[kind, own] += 1
+            tables[kind, BUCKETS] += 1
+    kind, at = np.nonzero(tables)
+    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(at), pa.array(tables[kind, at])], ["kind", "bucket", "n"])
+
+
+def labelled_counts(rows: DataFrame) -> np.ndarray:
+    """The three tables of _count_labelled over all of rows (text, good)."""
+    out = np.zeros((3, BUCKETS + 1))
+    for kind, bucket, n in rows.select(F.col("text").cast("string").alias("text"), "good").mapInArrow(_count_labelled, "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n")).collect():
+        out[kind, bucket] = n
+    return out
+
+
+def toxic_ratio(good: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """log share of toxic documents that hold an n-gram - log share of good ones; 0 without either kind."""
+    n_good, n_toxic = good[BUCKETS], toxic[BUCKETS]
+    if not n_good or not n_toxic:
+        return np.zeros(BUCKETS, np.float32)
+    prior = PRIOR_DOCS / (n_good + n_toxic)
+    return (np.log(toxic[:BUCKETS] / n_toxic + prior) - np.log(good[:BUCKETS] / n_good + prior)).astype(np.float32)
+
+
+def measures(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray) -> Column:
+    """(log_weight, toxicity) of docs.text: the log importance weight, and the largest toxic ratio; both null for a null or empty text."""
+    sent = docs.sparkSession.sparkContext.broadcast((ratio, toxic))  # twice BUCKETS floats
 
     def run(column: pa.Array) -> pa.Array:
-        table = sent.value
-        return pa.array([float(table[buckets(t)].sum(dtype=np.float64)) if t else None for t in texts(column)], pa.float64())
+        weights, worst = sent.value
+        weight, toxicity = [], []
+        for t in texts(column):
+            own = buckets(t) if t else None
+            weight.append(None if own is None else float(weights[own].sum(dtype=np.float64)))
+            toxicity.append(None if own is None else float(worst[own].max()))
+        return pa.StructArray.from_arrays([pa.array(weight, pa.float64()), pa.array(toxicity, pa.float64())], ["log_weight", "toxicity"])
 
-    return F.arrow_udf(run, "double")(docs["text"].cast("string"))
+    return F.arrow_udf(run, "log_weight double, toxicity double")(docs["text"].cast("string"))
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -124,51 +169,56 @@ def top_k_cut(scores: DataFrame, k: int, scratch: Scratch) -> tuple[float, int]
 
 
 class Selector:
-    """Models, threshold and cut of one corpus: fitted once, applied to each row by itself."""
+    """Models, thresholds and cut of one corpus: fitted once, applied to each row by itself."""
 
-    def __init__(self, ratio: np.ndarray, floor: float, k: int, cut: tuple[float, int] | None, scores: DataFrame):
-        self.ratio, self.floor, self.k, self.cut, self.scores = ratio, floor, k, cut, scores
+    def __init__(self, ratio: np.ndarray, toxic: np.ndarray, floor: float, ceiling: float, k: int, cut: tuple[float, int] | None, scores: DataFrame):
+        self.ratio, self.toxic, self.floor, self.ceiling, self.k, self.cut, self.scores = ratio, toxic, floor, ceiling, k, cut, scores
 
     def columns(self, docs: DataFrame) -> tuple[Column, Column, Column]:
         """log_weight, key and selected for docs. selected is never null: texts without a weight are not selected."""
-        weight = log_weight(docs, self.ratio)
-        return weight, *self.decide(weight, docs["doc_id"])
+        found = measures(docs, self.ratio, self.toxic)
+        weight = found["log_weight"]
+        return weight, *self.decide(weight, found["toxicity"], docs["doc_id"])
 
-    def decide(self, weight: Column, doc_id: Column) -> tuple[Column, Column]:
-        key = weight + gumbel(doc_id)
+    def decide(self, weight: Column, toxicity: Column, doc_id: Column) -> tuple[Column, Column]:
+        toxic = toxicity > F.lit(self.ceiling)
+        key = F.when(toxic, F.lit(-np.inf)).otherwise(weight + gumbel(doc_id))
         if self.cut is None:
             return key, F.lit(False)
         at, last = (F.lit(x) for x in self.cut)
-        return key, F.coalesce((key > at) | ((key == at) & (doc_id <= last)), F.lit(False)) & doc_id.isNotNull()
+        return key, F.coalesce(~toxic & ((key > at) | ((key == at) & (doc_id <= last))), F.lit(False)) & doc_id.isNotNull()
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Selector:
-    """Count both models, score all of docs (doc_id, text) and find k and its cut.
+    """Count the models, score all of docs (doc_id, text) and find k and its cut.
 
-    labels: (doc_id, quality, toxic). Good are quality 1 that are not toxic, bad are quality 0;
+    labels: (doc_id, quality, toxic). Good are quality 1 that are not toxic, bad are quality 0 or toxic;
     a document with labels of both kinds, or null ones, is neither. Without good or without bad
     labels every text is selected. Rows without a doc_id are never selected.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.when(good, 1).when(F.col("quality") == 0, 0)).alias("least"), F.max(F.when(good, 1).when(F.col("quality") == 0, 0)).alias("most"))
-    known = known.where("least = most").select("doc_id", F.col("most").alias("good"))
+    poor, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") != 0, F.lit(False))
+    good = F.when(poor | toxic, 0).when(F.col("quality") == 1, 1)
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("least"), F.max(good).alias("most"), F.max(poor).alias("poor"), F.max(toxic).alias("toxic"))
+    known = known.where("least = most").select("doc_id", F.col("most").alias("good"), "poor", "toxic")
     total = known.count()
     share = min(1.0, 4 * fit_docs / 3 / max(total, 1))
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.lit("fit"), "doc_id"), F.lit(4_000_000))
-    target = docs.where(draw < int(3_000_000 * share)).join(known.where("good = 1"), "doc_id", "left_semi")
-    ratio = log_ratio(ngram_counts(target), ngram_counts(docs))
-    scores = scratch.save(docs.select("doc_id", log_weight(docs, ratio).alias("log_weight")), "scores")
-    checked = scores.where(draw.between(3_000_000, 3_000_000 + int(1_000_000 * share) - 1)).where("log_weight is not null").join(known, "doc_id").select("good", "log_weight").collect()  # about fit_docs / 3 rows
-    floor = threshold(np.array([r[1] for r in checked if r[0]]), np.array([r[1] for r in checked if not r[0]]))
-    k = scores.where(F.col("log_weight") >= F.lit(floor)).count()
-    keys = scores.where("log_weight is not null").select("doc_id", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key"))
-    return Selector(ratio, floor, k, top_k_cut(keys, k, scratch), scores)
+    target, clean, tainted = labelled_counts(docs.where(draw < int(3_000_000 * share)).join(known.where("good = 1 or toxic").select("doc_id", "good"), "doc_id"))
+    ratio, worst = log_ratio(target[:BUCKETS], ngram_counts(docs)), toxic_ratio(clean, tainted)
+    scores = scratch.save(docs.select("doc_id", measures(docs, ratio, worst).alias("m")).select("doc_id", "m.log_weight", "m.toxicity"), "scores")
+    checked = scores.where(draw.between(3_000_000, 3_000_000 + int(1_000_000 * share) - 1)).where("log_weight is not null").join(known, "doc_id").select("good", "poor", "toxic", "log_weight", "toxicity").collect()  # about fit_docs / 3 rows
+    floor = threshold(np.array([r.log_weight for r in checked if r.good]), np.array([r.log_weight for r in checked if r.poor]))
+    ceiling = -threshold(np.array([-r.toxicity for r in checked if r.good]), np.array([-r.toxicity for r in checked if r.toxic]))
+    clean_rows = scores.where(F.col("toxicity") <= F.lit(ceiling))
+    k = clean_rows.where(F.col("log_weight") >= F.lit(floor)).count()
+    keys = clean_rows.select("doc_id", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("key"))
+    return Selector(ratio, worst, floor, ceiling, k, top_k_cut(keys, k, scratch), scores)
 
 
 def select(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """(doc_id, log_weight, key, selected) of every row of docs that has a doc_id; see fit()."""
+    """(doc_id, log_weight, key, selected) of every row of docs that has a doc_id; see fit(). The key of a toxic text is -inf."""
     selector = fit(docs, labels, fit_docs)
-    key, selected = selector.decide(F.col("log_weight"), F.col("doc_id"))
+    key, selected = selector.decide(F.col("log_weight"), F.col("toxicity"), F.col("doc_id"))
     return selector.scores.select("doc_id", "log_weight", key.alias("key"), selected.alias("selected"))
