@@ -1,44 +1,28 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from frames import eth, fragment6, fragment_stream, ip, ip6, packets, tagged, udp
 from pyspark.sql import functions as F
 
 from wirelane.operators import defrag, protocols, rules
 from wirelane.plans.capture import Capture, Options, write_json_array, write_ndjson
 from wirelane.sources import ocf, pcap
 
+FRAMES, CELLS = fragment_stream(31)
 
-def eth(body, kind=0x800):
-    return bytes.fromhex("020000000002020000000001") + kind.to_bytes(2, "big") + body
 
-
-def ip(body, ident=0, offset=0, more=0, proto=17, ihl=5):
-    return protocols.IPV4.pack({"version": 4, "ihl": ihl, "dscp": 0, "ecn": 0, "total_length": 4 * ihl + len(body), "identification": ident, "flags": more, "frag_offset": offset // 8, "ttl": 64, "protocol": proto, "checksum": 0, "src": bytes([10, 0, 0, 1]), "dst": bytes([10, 0, 0, 2])}) + bytes(4 * ihl - 20) + body
-
-
-def ip6(body, next_header):
-    return protocols.IPV6.pack({"version": 6, "traffic_class": 0, "flow_label": 0, "payload_length": len(body), "next_header": next_header, "hop_limit": 64, "src": bytes(15) + b"\1", "dst": bytes(15) + b"\2"}) + body
-
-
-def udp(src, dst, body):
-    return protocols.UDP.pack({"src_port": src, "dst_port": dst, "length": 8 + len(body), "checksum": 0}) + body
-
-
-A, B, C = udp(1111, 2222, bytes(range(16))), udp(3333, 4444, bytes(17)), udp(5, 6, bytes(16))
-FRAGMENTS = [ip(A[:16], 0x1111, 0, 1), ip(A[16:], 0x1111, 16), ip(B[24:], 0x2222, 24), ip(B[:8], 0x2222, 0, 1), ip(B[8:24], 0x2222, 8, 1), ip(C[:24], 0x3333, 0, 1), ip(b"\xff" * 16, 0x3333, 8), ip(C[:8], 0x4444, 0, 1)] + [ip(udp(9, 9, b"filler"), 7)] * 5
-
-
-def packets(spark, frames, link=1):
-    rows = [("f", i, 0, 0, link, i, len(d), len(d), d) for i, d in enumerate(frames)]
-    return spark.createDataFrame(rows, "file string, packet_id long, file_offset long, interface_id long, link_type int, ts_raw long, caplen long, origlen long, payload binary")
+def kept(rows, options=Options()):
+    """A capture of which all tables are read."""
+    return Capture(rows, options).__enter__()
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("captures")
-    (d / "a.pcap").write_bytes(pcap.write_pcap([(1700000000, i, eth(p)) for i, p in enumerate(FRAGMENTS)]))
-    (d / "b.pcapng").write_bytes(pcap.write_pcapng([(0, (5 << 32) + i, eth(p)) for i, p in enumerate(FRAGMENTS)], options=[(1, b"note")]) + pcap.write_pcapng([(1, 7, b"x")], links=[1, 101], order=">"))
+    (d / "a.pcap").write_bytes(pcap.write_pcap([(1_234_567_890, 7 * i, p) for i, p in enumerate(FRAMES)]))
+    (d / "b.pcapng").write_bytes(pcap.write_pcapng([(0, (5 << 32) + i, p) for i, p in enumerate(FRAMES)], options=[(1, b"note")]) + pcap.write_pcapng([(1, 7, b"x")], links=[1, 101], order=">"))
     return str(d)
 
 
@@ -51,7 +35,7 @@ def test_sources_agree(spark, folder):
     key = F.regexp_extract("file", "[^/]+$", 0).alias("file")
     assert sorted(whole.select(key, *columns).collect()) == sorted(split.select(key, *columns).collect())
     assert split.rdd.getNumPartitions() > 4
-    last = whole.where(F.col("file").endswith("b.pcapng") & (F.col("packet_id") == 13)).first()
+    last = whole.where(F.col("file").endswith("b.pcapng") & (F.col("packet_id") == len(FRAMES))).first()
     assert (last.link_type, last.interface_id, last.ts_raw, last.payload) == (101, 1, 7, b"x")
 
 
@@ -77,7 +61,7 @@ def test_stream_is_batch(spark, folder):
     try:
         for _ in range(40):
             query.processAllAvailable()
-            if spark.table("seen").count() == 13:
+            if spark.table("seen").count() == len(FRAMES):
                 break
         rows = spark.table("seen").drop("file").orderBy("packet_id").collect()
     finally:
@@ -85,25 +69,55 @@ def test_stream_is_batch(spark, folder):
     assert rows == pcap.read_captures(spark, path).drop("file").orderBy("packet_id").collect()
 
 
-def test_reassembly(spark):
-    c = Capture(packets(spark, map(eth, FRAGMENTS)))
-    assert [tuple(r)[1:] for r in c.table("datagram").orderBy("datagram_id").collect()] == [(1, 4, 24, 2, 0, 1, 0, 0), (2, 4, 25, 3, 2, 4, 0, 0)]
-    again = c.table("udp").where("is_reassembled").orderBy("packet_id").select("packet_id", "src_port", "datagram_id").collect()
-    assert [tuple(r) for r in again] == [(1, 1111, 1), (4, 3333, 2)]
-    assert c.table("udp").where("not is_reassembled").count() == 5
-    assert c.table("ipv4_frag").orderBy("packet_id").first().is_first and c.table("ipv4_frag").count() == 8
-    short = Capture(packets(spark, map(eth, FRAGMENTS)), Options(reassembly=defrag.Config(timeout=3)))
-    assert [(r.datagram_id, r.completion_status) for r in short.table("datagram").orderBy("datagram_id").collect()] == [(1, 0), (2, 0), (3, 3), (4, 1)]
-    off = Capture(packets(spark, map(eth, FRAGMENTS)), Options(reassembly=None))
-    assert off.table("udp").count() > 5
+def expected(cells, last, config=defrag.Config(), flush=False):
+    """What the packet-by-packet model reports: rows of `datagram`, and (packet, ports, datagram_id) of those completed."""
+    found, _ = defrag.fold_limited(cells, config)
+    shown, done = [], []
+    for i, d in enumerate(found, 1):
+        row = d.row()
+        if row["completion_status"] == defrag.COMPLETE:
+            done.append((row["last_packet_id"], int.from_bytes(row["payload"][:2], "big"), int.from_bytes(row["payload"][2:4], "big"), i))
+        if row["completion_status"] == defrag.COMPLETE or flush or last >= row["last_packet_id"] + config.timeout:
+            shown.append((i, row["total_length"], row["fragment_count"], row["first_packet_id"], row["last_packet_id"], row["completion_status"], row["gap_bytes"]))
+    return shown, sorted(done)
+
+
+@pytest.mark.parametrize("version", [4, 6])
+@pytest.mark.parametrize("timeout", [3, 30])
+def test_reassembly(spark, version, timeout):
+    frames, cells = fragment_stream(40 + version, version=version)
+    config = defrag.Config(timeout=timeout)
+    c = Capture(packets(spark, frames), Options(reassembly=config)).__enter__()
+    shown, done = expected(cells, len(frames) - 1, config)
+    rows = c.table("datagram").orderBy("datagram_id").collect()
+    assert [(r.datagram_id, r.total_length, r.fragment_count, r.first_packet_id, r.last_packet_id, r.completion_status, r.gap_bytes) for r in rows] == shown
+    assert {r.ip_version for r in rows} == {version} and (timeout == 30 or len({r.completion_status for r in rows}) > 1)
+    again = c.table("udp").where("is_reassembled").orderBy("packet_id").collect()
+    assert [(r.packet_id, r.src_port, r.dst_port, r.datagram_id) for r in again] == done
+    assert c.table("udp").where("not is_reassembled").count() == len(frames) - len(cells)
+    parts = c.table(f"ipv{version}_frag").orderBy("packet_id").collect()
+    assert [(r.packet_id, r.frag_offset_bytes, r.more_fragments, r.is_first) for r in parts] == [(p, o, m, o == 0) for _, p, o, m, _ in cells]
+    c.close()
+    if timeout == 30:
+        return
+    flushed = Capture(packets(spark, frames), Options(reassembly=config, flush=True)).table("datagram")
+    assert flushed.count() == len(defrag.fold_limited(cells, config)[0])
+    off = Capture(packets(spark, frames), Options(reassembly=None))
+    assert off.table("udp").count() == len(frames) - len(cells) + sum(o == 0 for _, _, o, _, _ in cells)
 
 
 def test_capacity_and_key_reuse(spark):
-    twice = [ip(A[:16], 1, 0, 1), ip(A[16:], 1, 16), ip(A[:16], 1, 0, 1), ip(A[16:], 1, 16)]
-    assert Capture(packets(spark, map(eth, twice))).table("datagram").count() == 2
-    many = [ip(A[:16], i, 0, 1) for i in range(3)]
-    limited = Capture(packets(spark, map(eth, many)), Options(reassembly=defrag.Config(max_concurrent=2)))
-    assert [r.datagram_id for r in limited.table("ipv4_frag").orderBy("packet_id").collect()] == [1, 2, 0]
+    """A limit that the timeout can reach: datagrams are refused as the packet-by-packet model refuses them."""
+    frames, cells = fragment_stream(50, datagrams=25)
+    config = defrag.Config(max_concurrent=4, timeout=20)
+    c = Capture(packets(spark, frames), Options(reassembly=config))
+    found, of = defrag.fold_limited(cells, config)
+    number = {id(d): i for i, d in enumerate(found, 1)}
+    want = [(p, 0 if d is None else number[id(d)]) for (_, p, *_), d in zip(cells, of, strict=True)]
+    assert [(r.packet_id, r.datagram_id) for r in c.table("ipv4_frag").orderBy("packet_id").collect()] == want and any(not d for _, d in want)
+    whole = udp(4001, 4002, bytes(range(30)))
+    twice = [eth(ip(part, 77, at, more)) for _ in range(2) for part, at, more in ((whole[:24], 0, 1), (whole[24:], 24, 0))]
+    assert Capture(packets(spark, twice)).table("datagram").count() == 2
 
 
 def test_fold_is_the_packet_by_packet_model():
@@ -121,76 +135,113 @@ def test_fold_is_the_packet_by_packet_model():
 
 
 def test_ipv6(spark):
-    srh = protocols.IPV6_ROUTING.pack({"next_header": 17, "hdr_ext_len": 4, "routing_type": 4, "segments_left": 1, "last_entry": 1, "flags": 0, "tag": 0}) + bytes(range(32))
-    hop = protocols.IPV6_OPTIONS.pack({"next_header": 43, "hdr_ext_len": 0}) + b"\x05\x02\0\0\0\0"
-    whole = eth(ip6(hop + srh + udp(7, 8, b"abc"), 0), 0x86DD)
-    half = udp(1111, 2222, bytes(16))
-    part = lambda offset, more, body: eth(ip6(protocols.IPV6_FRAGMENT.pack({"next_header": 17, "reserved": 0, "offset_flags": offset | more, "identification": 0xAABB}) + body, 44), 0x86DD)
-    c = Capture(packets(spark, [whole, part(0, 1, half[:16]), part(16, 0, half[16:])]))
-    assert [(r.src_port, r.is_reassembled) for r in c.table("udp").orderBy("packet_id").collect()] == [(7, False), (1111, True)]
+    rng = random.Random(61)
+    segments = rng.randbytes(32)
+    srh = protocols.IPV6_ROUTING.pack({"next_header": 51, "hdr_ext_len": 4, "routing_type": 4, "segments_left": 1, "last_entry": 1, "flags": 0, "tag": 300}) + segments
+    hop = protocols.IPV6_OPTIONS.pack({"next_header": 60, "hdr_ext_len": 1}) + bytes([0, 0, 30, 3, 1, 2, 3, 1, 5, 0, 0, 0, 0, 0])
+    destination = protocols.IPV6_OPTIONS.pack({"next_header": 43, "hdr_ext_len": 0}) + bytes([62, 4, 9, 9, 9, 9])
+    ah = protocols.IPV6_AH.pack({"next_header": 17, "payload_len": 1, "reserved": 0, "spi": 4242, "seq": 5})
+    whole = eth(ip6(hop + destination + srh + ah + udp(901, 902, b"payload"), 0), 0x86DD)
+    cut_short = eth(ip6(hop[:9], 0, 2), 0x86DD)
+    c = kept(packets(spark, [whole, cut_short, eth(fragment6(udp(903, 904, b"only"), 17, 0, 0, 8), 0x86DD)]))
+    assert [(r.packet_id, r.src_port, r.is_reassembled) for r in c.table("udp").orderBy("packet_id").collect()] == [(0, 901, False), (2, 903, True)]
     layers = json.loads(c.json().where("packet_id = 0").first().line)["_source"]["layers"]
-    assert list(layers) == ["frame", "eth", "ipv6", "ipv6.hop_by_hop", "ipv6.option", "ipv6.routing", "ipv6.srh_segment", "udp"]
-    assert layers["ipv6.srh_segment"][1] == {"srh_order": 0, "segment_index": 1, "address": "1011:1213:1415:1617:1819:1a1b:1c1d:1e1f"}
-    assert layers["ipv6.option"][0] == {"container": 0, "type": 5, "length": 2}
+    assert list(layers) == ["frame", "eth", "ipv6", "ipv6.hop_by_hop", "ipv6.option", "ipv6.dest_opts", "ipv6.routing", "ipv6.srh_segment", "ipv6.ah", "udp"]
+    assert [s["address"] for s in layers["ipv6.srh_segment"]] == [segments[:16].hex(":", 2), segments[16:].hex(":", 2)]
+    assert [(o["container"], o["type"], o["length"]) for o in layers["ipv6.option"]] == [(0, 0, 0), (0, 0, 0), (0, 30, 3), (0, 1, 5), (60, 62, 4)]
+    assert layers["ipv6.ah"]["spi"] == 4242 and layers["ipv6.routing"]["tag"] == 300
 
 
 def someip(service, method, body):
-    return protocols.SOMEIP.pack({"service_id": service, "method_id": method, "length": 8 + len(body), "client_id": 0, "session_id": 1, "protocol_version": 1, "interface_version": 1, "message_type": 2, "return_code": 0}) + body
+    return protocols.SOMEIP.pack({"service_id": service, "method_id": method, "length": 8 + len(body), "client_id": 77, "session_id": 9, "protocol_version": 1, "interface_version": 3, "message_type": 0, "return_code": 0}) + body
+
+
+def sd_option(kind, body):
+    return (len(body) + 1).to_bytes(2, "big") + bytes([kind, 0]) + body
 
 
 def test_someip(spark):
-    entry = lambda kind, options: protocols.SD_ENTRY.pack({"type": kind, "index_1st_opts": 0, "index_2nd_opts": 0, "num_opt_1": options, "num_opt_2": 0, "service_id": 0x1234, "instance_id": 1, "major_version": 1, "ttl": 3, "minor_version": 1})
-    option = b"\0\x09\x04\0" + bytes([192, 168, 1, 10]) + b"\0\x11" + (30509).to_bytes(2, "big")
-    sd = b"\xc0\0\0\0" + (32).to_bytes(4, "big") + entry(0, 0) + entry(1, 1) + len(option).to_bytes(4, "big") + option
-    tlv = b"\x01\x23" + b"\x55" * 1 + b"\x50\x55\x02ab"
-    frames = [eth(ip(udp(30490, 30490, someip(0xFFFF, 0x8100, sd)))), eth(ip(udp(41000, 30509, someip(0x1234, 1, tlv)))), eth(ip(udp(30490, 1, someip(1, 1, b""))))]
-    c = Capture(packets(spark, frames))
+    rng = random.Random(71)
+    entry = lambda kind, options: protocols.SD_ENTRY.pack({"type": kind, "index_1st_opts": 0, "index_2nd_opts": 0, "num_opt_1": options, "num_opt_2": 0, "service_id": 0x4C21, "instance_id": 12, "major_version": 2, "ttl": 70_000, "minor_version": 40})
+    four, six = rng.randbytes(4), rng.randbytes(16)
+    options = [sd_option(4, four + b"\0\6" + (41_500).to_bytes(2, "big")), sd_option(6, six + b"\0\x11" + (41_501).to_bytes(2, "big")), sd_option(1, b"k=v\0")]
+    entries = b"".join(entry(kind, n) for kind, n in ((6, 0), (7, 1), (1, 2)))
+    sd = b"\x80\0\0\0" + len(entries).to_bytes(4, "big") + entries + sum(map(len, options)).to_bytes(4, "big") + b"".join(options)
+    members = b"\x20\x33" + rng.randbytes(4) + b"\x63\x44" + b"\0\5" + rng.randbytes(5)
+    frames = [eth(ip(udp(30490, 30490, someip(0xFFFF, 0x8100, sd)))), eth(ip(udp(52_000, 41_777, someip(0x4C21, 17, members)))), eth(ip(udp(30490, 1, someip(5, 6, b""))))]
+    c = kept(packets(spark, frames))
     counts = lambda c: [c.table(t).count() for t in ("someip", "someip_sd_entry", "someip_sd_option", "someip_tlv")]
-    assert counts(c) == [2, 2, 1, 0]
-    row = c.table("someip_sd_option").first()
-    assert (row.port, row.l4proto, bytes(row.address)) == (30509, 17, bytes([192, 168, 1, 10]) + bytes(12))
-    more = Capture(packets(spark, frames), Options(someip_tlv_ports=(30509,)))
-    assert counts(more) == [3, 2, 1, 2]
-    assert [(r.data_id, r.wire_type, r.length) for r in more.table("someip_tlv").orderBy("tlv_index").collect()] == [(0x123, 0, 1), (0x55, 5, 2)]
+    assert counts(c) == [2, 3, 3, 0]
+    rows = c.table("someip_sd_option").orderBy("option_index").collect()
+    assert [(r.type, r.l4proto, r.port, bytes(r.address)) for r in rows] == [(4, 6, 41_500, four + bytes(12)), (6, 17, 41_501, six), (1, 0, 0, bytes(16))]
+    assert [(r.body.type, r.body.num_opt_1, r.body.ttl) for r in c.table("someip_sd_entry").orderBy("entry_index").collect()] == [(6, 0, 70_000), (7, 1, 70_000), (1, 2, 70_000)]
+    more = kept(packets(spark, frames), Options(someip_tlv_ports=(41_777,)))
+    assert counts(more) == [3, 3, 3, 2]
+    assert [(r.data_id, r.wire_type, r.length) for r in more.table("someip_tlv").orderBy("tlv_index").collect()] == [(0x33, 2, 4), (0x344, 6, 5)]
     layers = json.loads(c.json().where("packet_id = 0").first().line)["_source"]["layers"]
-    assert list(layers)[-3:] == ["someip", "someip.sd_entry", "someip.sd_option"] and len(layers["someip.sd_entry"]) == 2
+    assert list(layers)[-3:] == ["someip", "someip.sd_entry", "someip.sd_option"] and len(layers["someip.sd_entry"]) == 3
 
 
-def gptp(kind, body, seq=100):
-    return protocols.GPTP.pack({"major_sdo_id": 1, "message_type": kind, "minor_version": 0, "version": 2, "message_length": 34 + len(body), "domain_number": 0, "minor_sdo_id": 0, "flags": 0, "correction_field": -5, "message_specific": 0, "source_port_identity": {"clock_identity": bytes(8), "port_number": 1}, "sequence_id": seq, "control": 0, "log_message_interval": -3}) + body
+def gptp(kind, body, seq):
+    return protocols.GPTP.pack({"major_sdo_id": 1, "message_type": kind, "minor_version": 1, "version": 2, "message_length": 34 + len(body), "domain_number": 3, "minor_sdo_id": 0, "flags": 0, "correction_field": -seq, "message_specific": 0, "source_port_identity": {"clock_identity": bytes([seq] * 8), "port_number": seq}, "sequence_id": seq, "control": 0, "log_message_interval": -2}) + body
 
 
 def test_gptp_and_lldp(spark):
-    stamp = (1700000000).to_bytes(6, "big") + (111).to_bytes(4, "big")
-    identity = bytes(range(8)) + b"\0\2"
-    follow = stamp + b"\0\3\0\x1c" + bytes(6) + (-7).to_bytes(4, "big", signed=True) + b"\0\5" + bytes(12) + (9).to_bytes(4, "big")
-    announce = stamp + (-37).to_bytes(2, "big", signed=True) + b"\0\xf6\xf8\xfe\xff\xff\xf7" + bytes(8) + b"\0\1\xa0" + b"\0\x08\0\x10" + bytes(range(16))
-    bodies = [(0, stamp), (13, stamp), (8, follow), (9, stamp + identity), (11, announce), (11, announce[:10]), (2, stamp)]
-    frames = [eth(gptp(k, b), 0x88F7) for k, b in bodies]
-    frames[0] = eth(b"\0\1\x88\xf7" + gptp(0, stamp), 0x8100)
-    lldp = b"\x02\x07\x04\x02\0\0\0\0\1" + b"\x06\x02\0\x78" + b"\x0e\x04\0\x14\0\x04" + b"\x10\x0c\x05\x01\x0a\0\0\1\x02\0\0\0\7\0" + b"\0\0"
-    c = Capture(packets(spark, [*frames, eth(lldp, 0x88CC)]))
-    assert [c.table(f"gptp_{k}").count() for k in ("sync", "follow_up", "delay_resp", "announce", "pdelay_req", "path_trace")] == [1, 1, 1, 1, 1, 2]
+    """Messages of every kind with fields from a seed come back from their tables."""
+    rng = random.Random(81)
+    seconds, nanoseconds = rng.randrange(1 << 40), rng.randrange(10**9)
+    stamp = seconds.to_bytes(6, "big") + nanoseconds.to_bytes(4, "big")
+    clock, port, rate, base, phase = rng.randbytes(8), rng.randrange(1 << 16), -rng.randrange(1, 1 << 30), rng.randrange(1 << 16), rng.randrange(1 << 30)
+    information = b"\0\x80\xc2\0\0\1" + rate.to_bytes(4, "big", signed=True) + base.to_bytes(2, "big") + rng.randbytes(12) + phase.to_bytes(4, "big")
+    follow = stamp + b"\0\3" + len(information).to_bytes(2, "big") + information
+    path = [rng.randbytes(8) for _ in range(3)]
+    quality = {"current_utc_offset": -21, "grandmaster_priority1": 12, "grandmaster_clock_class": 6, "grandmaster_clock_accuracy": 33, "grandmaster_offset_scaled_log_variance": 17_000, "grandmaster_priority2": 99, "steps_removed": 4, "time_source": 32}
+    sizes = {"current_utc_offset": 2, "grandmaster_offset_scaled_log_variance": 2, "steps_removed": 2}
+    raw = {k: v.to_bytes(sizes.get(k, 1), "big", signed=v < 0) for k, v in quality.items()}
+    announce = stamp + raw["current_utc_offset"] + b"\0" + b"".join(raw[k] for k in list(quality)[1:6]) + clock + raw["steps_removed"] + raw["time_source"] + b"\0\x08" + (24).to_bytes(2, "big") + b"".join(path)
+    response = stamp + clock + port.to_bytes(2, "big")
+    bodies = [(11, announce), (0, stamp), (13, stamp), (8, follow), (9, response), (11, announce[:20]), (1, stamp), (2, stamp), (3, response), (10, response)]
+    frames = [eth(gptp(k, b, n), 0x88F7, n) for n, (k, b) in enumerate(bodies, 1)]
+    frames[1] = tagged(gptp(0, stamp, 2), [9], 0x88F7)
+    chassis, system = rng.randbytes(6), "seeded switch".encode()
+    lldp = b"\x02\x07\x04" + chassis + b"\x06\x02\x01\x2c" + b"\x0a" + bytes([len(system)]) + system + b"\x0e\x04\0\x2a\0\x0a" + b"\x10\x0c\x05\x01\xc6\x33\x64\x07\x03" + (513).to_bytes(4, "big") + b"\0" + b"\0\0"
+    c = kept(packets(spark, [*frames, eth(lldp, 0x88CC)]))
+    kinds = ("sync", "delay_req", "pdelay_req", "follow_up", "delay_resp", "pdelay_resp", "pdelay_resp_follow_up", "announce", "path_trace")
+    assert [c.table(f"gptp_{k}").count() for k in kinds] == [1, 1, 1, 1, 1, 1, 1, 1, 3]
     f = c.table("gptp_follow_up").first()
-    assert (f.common.msg_index, f.cumulative_scaled_rate_offset, f.gm_time_base_indicator, f.scaled_last_gm_freq_change) == (2, -7, 5, 9)
+    assert (f.common.msg_index, f.common.sequence_id, f.common.correction_field, f.cumulative_scaled_rate_offset, f.gm_time_base_indicator, f.scaled_last_gm_freq_change) == (3, 4, -4, rate, base, phase)
+    assert (f.precise_origin_timestamp_seconds, f.precise_origin_timestamp_nanoseconds) == (seconds, nanoseconds)
     a = c.table("gptp_announce").first()
-    assert (a.common.msg_index, a.current_utc_offset, a.path_trace_count, a.time_source) == (4, -37, 2, 160)
-    assert [r.msg_index for r in c.table("gptp_path_trace").collect()] == [4, 4]
+    assert {k: a[k] for k in quality} == quality and bytes(a.grandmaster_identity) == clock and (a.common.msg_index, a.path_trace_count) == (0, 3)
+    assert [(r.msg_index, r.entry_index, bytes(r.clock_identity)) for r in c.table("gptp_path_trace").orderBy("entry_index").collect()] == [(0, i, x) for i, x in enumerate(path)]
+    for kind, index in (("delay_resp", 4), ("pdelay_resp", 8), ("pdelay_resp_follow_up", 9)):
+        r = c.table(f"gptp_{kind}").first()
+        assert (r.common.msg_index, bytes(r.requesting_port_identity.clock_identity), r.requesting_port_identity.port_number) == (index, clock, port)
     rows = c.table("lldp").orderBy("tlv_index").collect()
-    assert [(r.tlv_type, r.subtype, r.ttl_seconds, r.caps_supported, r.mgmt_iface_number) for r in rows] == [(1, 4, 0, 0, 0), (3, 0, 120, 0, 0), (7, 0, 0, 20, 0), (8, 0, 0, 0, 7)]
-    line = json.loads(c.json().where("packet_id = 4").first().line)["_source"]["layers"]
+    assert [(r.tlv_type, r.subtype, r.ttl_seconds, r.caps_supported, r.caps_enabled, r.mgmt_iface_subtype, r.mgmt_iface_number) for r in rows] == [(1, 4, 0, 0, 0, 0, 0), (3, 0, 300, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0, 0), (7, 0, 0, 42, 10, 0, 0), (8, 0, 0, 0, 0, 3, 513)]
+    assert bytes(rows[2].value_head) == system.ljust(32, b"\0") and rows[2].value_offset == 15
+    line = json.loads(c.json().where("packet_id = 0").first().line)["_source"]["layers"]
     assert list(line) == ["frame", "eth", "gptp.path_trace", "gptp.announce"]
 
 
 def test_sinks(spark, folder, tmp_path):
     spark.dataSource.register(ocf.Ocf)
-    c = Capture(pcap.read_captures(spark, folder + "/a.pcap"))
+    c = kept(pcap.read_captures(spark, folder + "/a.pcap"))
     write_ndjson(c, str(tmp_path / "lines"))
     lines = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "lines")).collect()), key=lambda x: x["_index"])
-    assert len(lines) == 13 and lines[1]["_source"]["layers"]["ip.reassembled"] == {"datagram_id": 1, "total_length": 24, "fragment_count": 2, "completion_status": 0}
+    shown, done = expected(CELLS, len(FRAMES) - 1)
+    packet, _, _, number = done[0]
+    _, total, count, *_ = next(s for s in shown if s[0] == number)
+    assert len(lines) == len(FRAMES) and lines[packet]["_source"]["layers"]["ip.reassembled"] == {"datagram_id": number, "total_length": total, "fragment_count": count, "completion_status": 0}
     write_json_array(c, str(tmp_path / "array"))
-    arrays = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "array")).collect()]
+    arrays = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "array"), wholetext=True).collect()]
     assert arrays == [lines]
+    stream = c.to_arrow("udp", 3)
+    batches = list(stream)
+    assert max(b.num_rows for b in batches) == 3 and sum(b.num_rows for b in batches) == c.table("udp").count()
+    assert c.layers("eth").is_cached
+    c.close()
+    assert c.table("udp").count() == sum(b.num_rows for b in batches) and not c.layers("eth").is_cached
     written = ocf.dump_tables({"udp": c.table("udp"), "tcp": c.table("tcp"), "eth": c.table("eth")}, str(tmp_path / "x"))
     assert [w.rsplit("_", 1)[1] for w in written] == ["udp.avro", "eth.avro"]
     back = spark.read.format("avro_ocf").schema(c.table("udp").schema).load(written[0])
@@ -201,31 +252,68 @@ def test_sinks(spark, folder, tmp_path):
 def test_rules(spark):
     text = """
     # comment
-    udp.src_port == 0 && udp.dst_port == 9999 => someip_tlv udp_payload "members"
-    udp.dst_port == 4000 => raw_tlv udp_payload "raw"
+    udp.src_port == 6 && udp.dst_port == 8123 => someip_tlv udp_payload "members"
+    udp.dst_port == 2345 => raw_tlv udp_payload "raw"
     udp.dst_port == 0x771A => oddtlv someip_payload "odd"
-    vlan.vid >= 42 => lldp eth_payload "never reads"
+    vlan.vid >= 1000 => lldp vlan_payload "units"
     """
     found = rules.parse_rules(text)
-    element = b"\0\x0a\0\0"
-    odd = b"\x67\x77" + (12).to_bytes(2, "big") + b"\0\4\0\2" + element * 2
-    frames = [eth(ip(udp(0, 9999, b"\x01\x23\x55" + b"\x50\x55\x02ab"))), eth(ip(udp(1, 4000, b"\1\3abc\2\2de"))), eth(ip(udp(1, 30490, someip(1, 1, odd)))), eth(b"\x00\x2a\x08\x00" + ip(udp(1, 4000, b""), ihl=6), 0x8100), b""]
+    element = b"\x10\x21\7\7"
+    odd = b"\x63\x21" + (16).to_bytes(2, "big") + b"\0\4\0\3" + element * 3
+    units = b"\x08\2ab" + b"\x0c\1c" + b"\0\0"
+    frames = [eth(ip(udp(6, 8123, b"\x02\x15" + bytes(1) + b"\x50\x77\x03xyz"))), eth(ip(udp(1, 2345, b"\x09\x04data\x08\0"))), eth(ip(udp(1, 0x771A, someip(3, 4, odd)))), tagged(units, [1001], 0x88CC), b""]
     p = packets(spark, frames)
     tables = rules.run_rules(p, found)
-    assert [(r.data_id, r.wire_type, r.length) for r in tables["someip_tlv"].orderBy("tlv_index").collect()] == [(0x123, 0, 1), (0x55, 5, 2)]
-    assert [(r.packet_id, r.type, r.length) for r in tables["raw_tlv"].orderBy("tlv_index").collect()] == [(1, 1, 3), (1, 2, 2)]
-    assert [(r.elem_index, r.array_id, r.elem_data_id) for r in tables["oddtlv"].orderBy("elem_index").collect()] == [(0, 0x777, 10), (1, 0x777, 10)]
+    assert [(r.data_id, r.wire_type, r.length) for r in tables["someip_tlv"].orderBy("tlv_index").collect()] == [(0x215, 0, 1), (0x77, 5, 3)]
+    assert [(r.packet_id, r.type, r.length) for r in tables["raw_tlv"].orderBy("tlv_index").collect()] == [(1, 9, 4), (1, 8, 0)]
+    assert [(r.elem_index, r.array_id, r.elem_data_id) for r in tables["oddtlv"].orderBy("elem_index").collect()] == [(0, 0x321, 0x21), (1, 0x321, 0x21), (2, 0x321, 0x21)]
+    assert [(r.tlv_type, r.tlv_length) for r in tables["lldp"].orderBy("tlv_index").collect()] == [(4, 2), (6, 1)]
     stats = rules.rule_stats(p, found).orderBy("rule_id").collect()
-    assert [(r.matched, r.rows) for r in stats] == [(1, 2), (2, 2), (1, 2), (1, stats[3].rows)]
+    assert [(r.label, r.matched, r.rows) for r in stats] == [("members", 1, 2), ("raw", 1, 2), ("odd", 1, 3), ("units", 1, 2)]
     assert tuple(rules.packet_stats(p, found).first()) == (5, 4)
     for bad in ('udp.nothing == 1 => raw_tlv udp_payload "x"', 'udp.dst_port == 70000 => raw_tlv udp_payload "x"', 'ipx.a == 1 => raw_tlv udp_payload "x"', "nonsense", 'udp.dst_port == 1 => what udp_payload "x"'):
         with pytest.raises(rules.RuleError):
             rules.parse_rules(bad)
 
 
+@pytest.mark.parametrize("body", [ip(udp(1, 2345, b"\1\2ab")), ip(udp(1, 2345, b"\1\2ab"), ihl=7), b"", b"\x45"])
+def test_rules_and_walk_agree_on_any_number_of_tags(spark, body):
+    frames = [tagged(body, list(range(1, n + 1))) for n in range(1, 12)] + [tagged(body, [5] * 6)[:n] for n in range(14, 45)] + [tagged(b"", [7] * 16_000)]
+    p = packets(spark, frames)
+    layers = rules.Layers(p)
+    got = {r.packet_id: (r.port, r.vid, None if r.region is None else bytes(r.region)) for r in layers.rows.select("packet_id", layers.field("udp", "dst_port").alias("port"), layers.field("vlan", "vid").alias("vid"), layers.region("udp_payload").alias("region")).collect()}
+    for i, frame in enumerate(frames):
+        rows = protocols.Walk(frame).rows
+        ports, tags = rows.get("udp"), rows.get("vlan")
+        assert got[i][:2] == (ports[0]["dst_port"] if ports else None, tags[0]["vid"] if tags else None), i
+        assert (got[i][2] is None) == (not ports)
+
+
+@pytest.mark.parametrize("reassembly", [True, False])
+def test_batches_are_walked_like_packets(reassembly):
+    """Cut and mutated frames of all kinds, and null ones: the walk of a batch gives what walking each packet gives."""
+    rng = random.Random(6)
+    options = protocols.IPV6_OPTIONS.pack({"next_header": 17, "hdr_ext_len": 0}) + bytes([30, 4, 1, 2, 3, 4])
+    seeds = FRAMES + fragment_stream(7, version=6)[0] + [tagged(ip(udp(5, 6, b"xy"), ihl=7), [1, 2, 3]), tagged(ip6(options + udp(7, 8, b"z"), 0), [4], 0x86DD), eth(ip(bytes(30), proto=6)), eth(b"\x02\3\4ab\x06\2\0\7\0\0", 0x88CC), tagged(bytes(50), [8], 0x88F7)]
+    frames = []
+    for _ in range(2500):
+        frame = bytearray(rng.choice(seeds))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            frame[rng.randrange(len(frame))] = rng.randrange(256)
+        frames.append(None if rng.random() < 0.02 else bytes(frame[: rng.choice([len(frame), rng.randrange(len(frame) + 1)])]))
+    links = [rng.choice([1] * 9 + [101]) for _ in frames]
+    whole = pa.array([b"skipped", *frames], pa.binary())
+    got = protocols.decode_batch(whole.slice(1), pa.array(links, pa.int32()), reassembly, frozenset(protocols.TABLES)).to_pylist()
+    for frame, link, found in zip(frames, links, got, strict=True):
+        want = None if frame is None else protocols.Walk(frame, reassembly).rows if link == 1 else {}
+        assert found == (want if want is None else {t: want.get(t, []) for t in protocols.LAYERS.names})
+    some = protocols.decode_batch(whole, pa.array([1, *links], pa.int32()), reassembly, frozenset(["tcp", "vlan"])).to_pylist()
+    assert all(x is None or not x["udp"] and not x["eth"] for x in some) and any(x and x["vlan"] for x in some)
+
+
 def test_any_frame_ends():
     rng = random.Random(5)
-    seeds = [eth(f) for f in FRAGMENTS] + [eth(ip6(bytes(40), 0), 0x86DD), eth(bytes(60), 0x88CC), eth(bytes(20), 0x8100)]
+    seeds = FRAMES + [eth(ip6(bytes(40), 0), 0x86DD), eth(bytes(60), 0x88CC), eth(bytes(20), 0x8100)]
     for _ in range(3000):
         frame = bytearray(rng.choice(seeds))
         for _ in range(rng.randrange(6)):
@@ -238,5 +326,5 @@ def test_any_frame_ends():
 
 
 def test_other_links_have_no_layers(spark):
-    c = Capture(packets(spark, [eth(FRAGMENTS[0])], link=101))
+    c = Capture(packets(spark, FRAMES[:1], link=101))
     assert c.table("packets").count() == 1 and c.table("eth").count() == 0
