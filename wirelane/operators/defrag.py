@@ -9,7 +9,7 @@ complete are reported once the file is `timeout` packets past their last fragmen
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -153,45 +153,80 @@ def _fold_sorted(config: Config):
     return run
 
 
-def _fold_file(config: Config):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["packet_id"])
-        found, of = fold_limited([(r["key"], r["packet_id"], r["frag_offset_bytes"], r["more_fragments"], r["data"]) for r in rows], config)
-        of_each: dict[int, list[dict]] = {id(d): [] for d in found}
-        for r, d in zip(rows, of, strict=True):
-            if d is not None:
-                of_each[id(d)].append(r)
-        out = [{"file": rows[0]["file"], "ip_version": rows[0]["ip_version"], "protocol": of_each[id(d)][-1]["protocol"], **d.row(), "members": [r["packet_id"] for r in of_each[id(d)]]} for d in found]
-        return pa.Table.from_batches([_table(out)], pa.schema(_OUT))
+def _fold_limited(config: Config):
+    """fold_limited() as rows come, sorted by file, version and packet: what is held are the open datagrams, max_concurrent at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, by_key, out = None, {}, {}, []
+
+        def close(ended: list[bytes]) -> None:
+            for key in ended:
+                now, protocol, members = held.pop(key)
+                out.append({"file": last[0], "ip_version": last[1], "protocol": protocol, **now.row(), "members": members})
+
+        names = ("file", "ip_version", "key", "packet_id", "protocol", "frag_offset_bytes", "more_fragments", "data")
+        for batch in batches:
+            for file, version, key, packet, proto, offset, more, data in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (file, version) != last:
+                    close(list(held))
+                    last, by_key = (file, version), {}
+                close([first for first, (d, _, _) in held.items() if packet - 1 >= d.last + config.timeout])
+                first = by_key.get(key)
+                if first not in held or held[first][0].payload is not None or packet - held[first][0].last > config.timeout:
+                    if len(held) >= config.max_concurrent:
+                        continue
+                    first = by_key[key] = packet
+                    held[first] = [Datagram(packet), proto, []]
+                entry = held[first]
+                entry[0].add(packet, offset, more, data, config)
+                entry[1] = proto  # of the latest: that of the fragment which completes it
+                entry[2].append(packet)
+                if len(out) >= 1024:
+                    yield _table(out)
+                    out.clear()
+        close(list(held))
+        if out:
+            yield _table(out)
 
     return run
 
 
-def most_concurrent(fragments: DataFrame, config: Config) -> int:
-    """An upper bound of the datagrams held at once in a file: fragments of distinct sessions within a timeout."""
-    width = config.timeout + 1
-    near = fragments.select("file", "ip_version", "key", F.explode(F.array(F.floor(F.col("packet_id") / width), F.floor(F.col("packet_id") / width) + 1)).alias("window"))
-    found = near.groupBy("file", "ip_version", "window").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return found[0] or 0
+#: Packets of a span: no task numbers the rows of more than one.
+SPAN = 1 << 12
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, span: int = SPAN) -> DataFrame:
+    """rows with `name`: from 0, their place in their group by `order`, the first of which is a packet's number.
+
+    A group is cut into spans of packets. Rows are ranked within a span, and the spans' sizes, which are few, are summed up in order.
+    """
+    cut = rows.withColumn("_span", F.floor(F.col(order[0]) / span))
+    within = F.row_number().over(Window.partitionBy(*group, "_span").orderBy(*order)).cast("long") - 1
+    sizes = cut.groupBy(*group, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*group, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = cut.withColumn("_within", within).join(sizes, [*group, "_span"])
+    return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_span", "_within", "_before")
 
 
-def reassemble(fragments: DataFrame, last_packets: DataFrame, config: Config = Config(), flush: bool = False) -> tuple[DataFrame, DataFrame]:
+def reassemble(fragments: DataFrame, last_packets: DataFrame, config: Config = Config(), flush: bool = False, share: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Datagrams and fragments of (file, ip_version, key, packet_id, protocol, frag_offset_bytes, more_fragments, data).
 
     last_packets: (file, last) names each file's last packet. Datagrams: datagram_id (from 1, per file
     and version, by first fragment), the columns of _SQL, and is_reported; fragments: their columns but
-    data, with datagram_id, 0 where the number of datagrams held at once was reached.
+    data, with datagram_id, 0 where the number of datagrams held at once was reached. share may keep what is read twice.
     """
-    if most_concurrent(fragments, config) <= config.max_concurrent:
+    if config.timeout < config.max_concurrent:
+        # At most one datagram a packet is begun, and it is let go `timeout` packets later: the limit is out of reach.
         order = Window.partitionBy("file", "ip_version", "key").orderBy("packet_id")
         apart = F.col("packet_id") - F.lag("packet_id").over(order) > config.timeout
         rows = fragments.withColumn("session", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         key = ["file", "ip_version", "key", "session"]
         found = rows.repartition(*key).sortWithinPartitions(*key, "packet_id").mapInArrow(_fold_sorted(config), _SQL)
-    else:  # which datagram is refused depends on all others: in the order of the file
-        found = fragments.groupBy("file", "ip_version").applyInArrow(_fold_file(config), _SQL)
-    number = F.row_number().over(Window.partitionBy("file", "ip_version").orderBy("first_packet_id")).cast("long")
-    found = found.withColumn("datagram_id", number)
+    else:  # which datagram is refused depends on all others: in the order of the file, with the open ones in memory
+        key = ["file", "ip_version"]
+        found = fragments.repartition(*key).sortWithinPartitions(*key, "packet_id").mapInArrow(_fold_limited(config), _SQL)
+    found = numbered(share(found), ["file", "ip_version"], ["first_packet_id"], "datagram_id").withColumn("datagram_id", F.col("datagram_id") + 1)
     ended = F.col("last") >= F.col("last_packet_id") + config.timeout
     datagrams = found.join(last_packets, "file").withColumn("is_reported", (F.col("completion_status") == COMPLETE) | F.lit(flush) | ended).drop("last")
     members = found.select("file", "ip_version", "datagram_id", F.explode("members").alias("packet_id"))

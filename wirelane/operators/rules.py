@@ -136,46 +136,50 @@ PARSERS = {
 }
 
 
-def _settle(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """A column that is made once a row: Catalyst would put its expression into each of those that read it."""
-    return rows.withColumn(name, F.explode(F.array(value)))
-
-
 class Layers:
-    """Conditions and slices over packets' bytes, as Catalyst expressions: Ethernet, up to MAX_VLAN tags, IP, ports.
+    """Conditions and slices over packets' bytes, as Catalyst expressions: Ethernet, any number of VLAN tags, IP, ports.
 
     rows are the packets with the places of their layers; what no rule asks for besides is not decoded.
     """
 
-    MAX_VLAN = 3
+    #: Tags that are looked for at constant places; the packets with more are searched tag by tag.
+    FEW_TAGS = 3
 
     def __init__(self, packets: DataFrame):
         # Types stand at fixed places, so the number of tags is a sum of tests of constants.
         payload, end = F.col("payload"), F.octet_length("payload")
         here = (end >= 14) & (F.col("link_type") == 1 if "link_type" in packets.columns else F.lit(True))
-        kinds = [F.conv(F.hex(F.substring(payload, 13 + 4 * k, 2)), 16, 10).cast("int") for k in range(self.MAX_VLAN + 1)]
-        tags = [here & kinds[0].isin(*protocols.VLAN_TYPES) & (end >= 18)]
-        for k in range(1, self.MAX_VLAN):
-            tags.append(tags[-1] & kinds[k].isin(*protocols.VLAN_TYPES) & (end >= 18 + 4 * k))
+        type_at = lambda at: F.conv(F.hex(F.substring(payload, at + 1, F.lit(2) if isinstance(at, Column) else 2)), 16, 10).cast("int")
+        is_tag = lambda k: type_at(12 + 4 * k).isin(*protocols.VLAN_TYPES) & (end >= 18 + 4 * k)
+        kinds = [type_at(12 + 4 * k) for k in range(self.FEW_TAGS + 1)]
+        tags = [here & is_tag(0)]
+        for k in range(1, self.FEW_TAGS):
+            tags.append(tags[-1] & is_tag(k))
         kind, at = F.when(here, kinds[0]), F.lit(14)
         for k, tag in enumerate(tags):
             kind, at = F.when(tag, kinds[k + 1]).otherwise(kind), at + 4 * tag.cast("int")
-        rows = _settle(packets, "_link", F.struct(here.alias("here"), tags[0].alias("tagged"), kind.alias("kind"), at.alias("at")))
-        kind, at = F.col("_link.kind"), F.col("_link.at")
+        # The first place after the few that holds no tag; a condition's branch, so other packets are not searched.
+        places = F.sequence(F.lit(self.FEW_TAGS), F.floor((end - 14) / 4).cast("int"))
+        found = F.array_position(F.transform(places, lambda k: type_at(12 + 4 * k).isin(*protocols.VLAN_TYPES) & (end >= 18 + 4 * k)), False).cast("int")
+        more = F.when(tags[-1] & is_tag(self.FEW_TAGS), found - 1).otherwise(0)
+        rows = packets.withColumns({"_here": here, "_tagged": tags[0], "_more": more, "_first_kind": kind, "_first_at": at})
+        at = F.col("_first_at") + 4 * F.col("_more")
+        rows = rows.withColumns({"_at": at, "_kind": F.when(F.col("_more") > 0, type_at(at - 2)).otherwise(F.col("_first_kind"))})
+        kind, at = F.col("_kind"), F.col("_at")
         four, six = protocols.IPV4.view(payload, at), protocols.IPV6.view(payload, at)
         is4 = F.coalesce((kind == protocols.TYPE_IPV4) & (at + 20 <= end), F.lit(False))
         is6 = F.coalesce((kind == protocols.TYPE_IPV6) & (at + 40 <= end), F.lit(False))
         ports = F.when(is4 & (four["frag_offset"] == 0), at + F.greatest(four["ihl"] * 4, F.lit(20))).when(is6, at + 40)
         proto = F.when(is4, four["protocol"]).when(is6, six["next_header"])
-        self.rows = _settle(rows, "_net", F.struct(is4.alias("is4"), is6.alias("is6"), proto.alias("proto"), ports.alias("ports")))
-        ports, proto = F.col("_net.ports"), F.col("_net.proto")
+        self.rows = rows.withColumns({"_is4": is4, "_is6": is6, "_proto": proto, "_ports": ports})
+        ports, proto = F.col("_ports"), F.col("_proto")
         udp = (proto == protocols.PROTO_UDP) & (ports + 8 <= end)
         tcp = (proto == protocols.PROTO_TCP) & (ports + 20 <= end)
         self.buf, self.end = payload, end
-        here, tagged = F.col("_link.here"), F.col("_link.tagged")
+        here, tagged = F.col("_here"), F.col("_tagged")
         self.views = {
-            "eth": (protocols.ETHERNET, F.lit(0), here), "vlan": (protocols.VLAN, F.lit(14), tagged), "ipv4": (protocols.IPV4, at, F.col("_net.is4")),
-            "ipv6": (protocols.IPV6, at, F.col("_net.is6")), "udp": (protocols.UDP, ports, udp), "tcp": (protocols.TCP, ports, tcp),
+            "eth": (protocols.ETHERNET, F.lit(0), here), "vlan": (protocols.VLAN, F.lit(14), tagged), "ipv4": (protocols.IPV4, at, F.col("_is4")),
+            "ipv6": (protocols.IPV6, at, F.col("_is6")), "udp": (protocols.UDP, ports, udp), "tcp": (protocols.TCP, ports, tcp),
         }
         self.payload_at = {
             "eth_payload": F.when(here, F.lit(14)), "vlan_payload": F.when(tagged, at), "udp_payload": F.when(udp, ports + 8),
@@ -229,14 +233,21 @@ def run_rules(packets: DataFrame, rules: list[Rule]) -> dict[str, DataFrame]:
     return out
 
 
+def _row_count() -> Column:
+    """How many rows the region's parser gives, whichever of them it is."""
+
+    def run(names: pa.Array, regions: pa.Array) -> pa.Array:
+        return pa.array([0 if r is None else len(PARSERS[n][0](r)) for n, r in zip(names.to_pylist(), regions.to_pylist(), strict=True)], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(F.col("parser"), F.col("region"))
+
+
 def rule_stats(packets: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule_id, label, matched, rows) of every rule, also of those that match nothing."""
-    spark = packets.sparkSession
-    names = spark.createDataFrame([(r.rule_id, r.label) for r in rules], "rule_id long, label string")
-    matched = _matched(packets, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("matched"))
-    tables = [t.select("rule_id") for t in run_rules(packets, rules).values()]
-    rows = reduce(DataFrame.unionByName, tables).groupBy("rule_id").agg(F.count(F.lit(1)).alias("rows"))
-    return names.join(matched, "rule_id", "left").join(rows, "rule_id", "left").fillna(0, ["matched", "rows"])
+    """(rule_id, label, matched, rows) of every rule, also of those that match nothing, in one pass over the packets."""
+    names = packets.sparkSession.createDataFrame([(r.rule_id, r.label) for r in rules], "rule_id long, label string")
+    counted = _matched(packets, rules).select("rule_id", _row_count().alias("rows"))
+    found = counted.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("rows").alias("rows"))
+    return names.join(F.broadcast(found), "rule_id", "left").fillna(0, ["matched", "rows"])  # a row per rule
 
 
 def packet_stats(packets: DataFrame, rules: list[Rule]) -> DataFrame:

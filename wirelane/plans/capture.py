@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirelane.operators import defrag, protocols
 
@@ -21,6 +25,8 @@ class Options:
     flush: bool = False
 
 
+_LAYOUTS = {"eth": protocols.ETHERNET, "vlan": protocols.VLAN, "ipv4": protocols.IPV4, "ipv6": protocols.IPV6, "tcp": protocols.TCP, "udp": protocols.UDP}
+_COMMON_NAMES = ("domain_number", "sequence_id", "correction_field", "log_message_interval", "source_port_identity")
 #: Tables whose rows stand for a layer of one packet or datagram: their JSON names.
 _NODES = {"eth": "eth", "vlan": "vlan", "ipv4": "ip", "ipv6": "ipv6", "tcp": "tcp", "udp": "udp"}
 
@@ -29,74 +35,111 @@ class Capture:
     """Tables by name over packets (file, packet_id, file_offset, interface_id, link_type, ts_raw, caplen, origlen, payload).
 
     Every table has `file` and `packet_id`, the keys to join by; datagram_id joins fragments with their
-    datagram, msg_index the parts of a gPTP message. Decoded packets are persisted, as many tables share
-    them: close() lets them go.
+    datagram, msg_index the parts of a gPTP message. A table decodes what it needs of the packets and no
+    more. Where many tables are read, `with Capture(...) as c:` decodes all once and keeps them until the end.
     """
 
     def __init__(self, packets: DataFrame, options: Options = Options()):
         self.options = options
         self.source = packets
-        layers = protocols.decode(F.col("payload"), F.col("link_type"), options.reassembly is not None)
-        kept = [c for c in packets.columns if c != "payload"]
-        self.decoded = packets.select(*kept, layers.alias("layers")).persist()
+        self._kept: list[DataFrame] = []
         self._tables: dict[str, DataFrame] = {}
 
+    def __enter__(self) -> Capture:
+        self._tables, self._kept = {}, [self._decode(protocols.TABLES).persist()]
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def close(self) -> None:
-        self.decoded.unpersist()
+        """Let the kept layers go; tables can still be read, and decode again."""
+        for df in self._kept:
+            df.unpersist()
+        self._tables, self._kept = {}, []
+
+    def _share(self, df: DataFrame) -> DataFrame:
+        """Kept too while layers are, as many tables read it."""
+        if self._kept:
+            self._kept.append(df.persist())
+        return df
+
+    def _decode(self, wanted: Iterable[str]) -> DataFrame:
+        layers = protocols.decode(F.col("payload"), F.col("link_type"), self.options.reassembly is not None, wanted)
+        return self.source.select(*(c for c in self.source.columns if c != "payload"), layers.alias("layers"))
+
+    def layers(self, *wanted: str) -> DataFrame:
+        """The packets without their payloads, and `layers`: a struct of lists, of which those wanted are made."""
+        return self._kept[0] if self._kept else self._decode(wanted)
+
+    def union(self, names: list[str], columns: list[str]) -> DataFrame:
+        """(table, columns...) of several tables of whole packets, from one walk: for ports, addresses and the like."""
+        def tagged(name: str) -> Callable[[Column], Column]:
+            return lambda x: F.struct(F.lit(name).alias("table"), *(x[c].alias(c) for c in columns))
 
-    def _exploded(self, name: str) -> DataFrame:
-        return self.decoded.select("file", "packet_id", F.explode(f"layers.{name}").alias("row")).select("file", "packet_id", "row.*")
+        rows = F.concat(*(F.transform(f"layers.{n}", tagged(n)) for n in names))
+        return self.layers(*names).select(F.explode(rows).alias("row")).select("row.*")
+
+    def _exploded(self, name: str, *more: str) -> DataFrame:
+        return self.layers(name, *more).select("file", "packet_id", F.explode(f"layers.{name}").alias("row")).select("file", "packet_id", "row.*")
 
     def _reassembled(self) -> tuple[DataFrame, DataFrame]:
         if "fragments" not in self._tables:
             parts = self._exploded("ipv4_frag").withColumn("ip_version", F.lit(4)).unionByName(self._exploded("ipv6_frag").withColumn("ip_version", F.lit(6)))
-            last = self.decoded.groupBy("file").agg(F.max("packet_id").alias("last"))
+            last = self.source.groupBy("file").agg(F.max("packet_id").alias("last"))
             config = self.options.reassembly or defrag.Config()
-            self._tables["datagrams"], self._tables["fragments"] = defrag.reassemble(parts, last, config, self.options.flush)
+            datagrams, parts = defrag.reassemble(parts, last, config, self.options.flush, self._share)
+            self._tables["datagrams"], self._tables["fragments"] = self._share(datagrams), self._share(parts)
         return self._tables["datagrams"], self._tables["fragments"]
 
-    def _ports(self, name: str) -> DataFrame:
-        """TCP or UDP rows of packets, then of reassembled datagrams."""
-        whole = self._exploded(name).withColumn("datagram_id", F.lit(0).cast("long")).withColumn("is_reassembled", F.lit(False))
-        if self.options.reassembly is None:
-            return whole
+    def _again(self, name: str, payloads: bool) -> DataFrame:
+        """TCP or UDP rows of reassembled datagrams."""
         datagrams, parts = self._reassembled()
         done = datagrams.where("completion_status = 0")
         # The layer stands right after the fragment that completed it.
         at = parts.select("file", "ip_version", "datagram_id", F.col("packet_id").alias("last_packet_id"), "layer_no")
         done = done.join(at, ["file", "ip_version", "datagram_id", "last_packet_id"])
         if name == "udp":
-            layout, proto, more = protocols.UDP, protocols.PROTO_UDP, [F.substring("payload", F.lit(9), F.greatest(F.octet_length("payload") - 8, F.lit(0))).alias("data")]
+            data = F.substring("payload", F.lit(9), F.greatest(F.octet_length("payload") - 8, F.lit(0)))
+            layout, proto, more = protocols.UDP, protocols.PROTO_UDP, [(data if payloads else F.lit(None).cast("binary")).alias("data")]
         else:
             layout, proto, more = protocols.TCP, protocols.PROTO_TCP, []
         rows = done.where((F.col("protocol") == proto) & layout.fits(F.col("payload")))
-        head = layout.decode(F.col("payload"))
-        rows = rows.select("file", F.col("last_packet_id").alias("packet_id"), (F.col("layer_no") + 2).alias("layer_no"), *(head[n].alias(n) for n, _ in layout.fields), *more, "datagram_id", F.lit(True).alias("is_reassembled"))
-        return whole.unionByName(rows)
+        head = layout.view(F.col("payload"))
+        return rows.select("file", F.col("last_packet_id").alias("packet_id"), (F.col("layer_no") + 2).alias("layer_no"), *(head[n].alias(n) for n, _ in layout.fields), *more, "datagram_id", F.lit(True).alias("is_reassembled"))
+
+    def _ports(self, name: str, payloads: bool) -> DataFrame:
+        """TCP or UDP rows of packets, then of reassembled datagrams; with UDP payloads if asked for."""
+        whole = self._exploded(name, *(["udp.data"] if payloads else [])).withColumn("datagram_id", F.lit(0).cast("long")).withColumn("is_reassembled", F.lit(False))
+        return whole if self.options.reassembly is None else whole.unionByName(self._again(name, payloads))
 
     def _someip(self) -> DataFrame:
         udp = self.table("udp", True)
         found = protocols.someip(F.col("data"), F.col("src_port"), F.col("dst_port"), list(self.options.someip_ports), list(self.options.someip_tlv_ports))
-        return udp.select("file", "packet_id", "layer_no", "datagram_id", "is_reassembled", found.alias("s")).where("s is not null")
+        if "someip**" not in self._tables:
+            rows = udp.select("file", "packet_id", "layer_no", "datagram_id", "is_reassembled", found.alias("s")).where("s is not null")
+            self._tables["someip**"] = self._share(rows)
+        return self._tables["someip**"]
 
     def _gptp(self) -> DataFrame:
-        found = self._exploded("gptp").select("file", "packet_id", "layer_no", protocols.gptp(F.col("message")).alias("m")).where("m is not null")
-        order = Window.partitionBy("file").orderBy("packet_id", "layer_no")
-        return found.withColumn("msg_index", F.row_number().over(order).cast("long") - 1)
+        if "gptp*" not in self._tables:
+            found = self._exploded("gptp").select("file", "packet_id", "layer_no", protocols.gptp(F.col("message")).alias("m")).where("m is not null")
+            self._tables["gptp*"] = self._share(defrag.numbered(self._share(found), ["file"], ["packet_id", "layer_no"], "msg_index"))
+        return self._tables["gptp*"]
 
     def table(self, name: str, internal: bool = False) -> DataFrame:
         """A table by its name; internal ones carry `layer_no`, the layer's place, and datagram payloads."""
         key = f"{name}{'*' if internal else ''}"
         if key not in self._tables:
-            made = self._make(name)
+            made = self._make(name, internal)
             self._tables[key] = made if internal else made.drop("layer_no", "data")
         return self._tables[key]
 
-    def _make(self, name: str) -> DataFrame:
+    def _make(self, name: str, internal: bool) -> DataFrame:
         if name == "packets":
-            return self.decoded.select("file", "packet_id", "file_offset", "caplen", "origlen")
+            return self.source.select("file", "packet_id", "file_offset", "caplen", "origlen")
         if name in ("udp", "tcp"):
-            return self._ports(name)
+            return self._ports(name, internal and name == "udp")
         if name in _NODES:
             return self._exploded(name).withColumn("datagram_id", F.lit(0).cast("long")).withColumn("is_reassembled", F.lit(False))
         if name in ("ipv4_frag", "ipv6_frag"):
@@ -121,7 +164,7 @@ class Capture:
         kind = name.removeprefix("gptp_")
         if kind in protocols.GPTP_BODIES:
             rows = self._gptp().where((F.col("m.kind") == kind) & F.col("m.body").isNotNull())
-            common = F.struct("msg_index", "packet_id", *(F.col(f"m.common.{c}").alias(c) for c in ("domain_number", "sequence_id", "correction_field", "log_message_interval", "source_port_identity")))
+            common = F.struct("msg_index", "packet_id", *(F.col(f"m.common.{c}").alias(c) for c in _COMMON_NAMES))
             return rows.select("file", "packet_id", "layer_no", common.alias("common"), *(F.col(f"m.body.{c}").alias(c) for c in protocols.GPTP_BODIES[kind]))
         raise KeyError(f"no table {name}")
 
@@ -135,50 +178,83 @@ class Capture:
         """A table with the columns of its packets."""
         return self.table(name).join(self.table("packets"), ["file", "packet_id"])
 
+    def to_arrow(self, name: str, rows: int = 65_536) -> pa.RecordBatchReader:
+        """A table as a stream of Arrow batches for a consumer in Python, partition by partition: the driver holds one at a time."""
+        return export_stream(self.table(name), rows)
+
     # JSON
 
     def _layers(self) -> DataFrame:
         """(file, packet_id, layer_no, sub, name, json) of all layers; sub orders those of one layer_no."""
+        line = lambda layer_no, sub, name, json: F.struct(layer_no.cast("int").alias("layer_no"), sub.cast("int").alias("sub"), name.alias("name"), json.alias("json"))
+        own = lambda layout: [n for n, _ in layout.fields]
+        zero, packet = F.lit(0), F.col("packet_id")
         parts = []
 
-        def add(rows: DataFrame, layer: Column | str, body: list[str], sub: Column | int = 0) -> None:
-            name = F.lit(layer) if isinstance(layer, str) else layer
-            parts.append(rows.select("file", "packet_id", "layer_no", (F.lit(sub) if isinstance(sub, int) else sub).cast("int").alias("sub"), name.alias("name"), json_column(rows, body).alias("json")))
+        def node_line(kind: T.StructType, names: list[str], layer: str) -> Callable[[Column], Column]:
+            return lambda x: line(x["layer_no"], zero, F.lit(layer), json_of(x, kind, names))
 
-        frame = self.decoded.withColumn("layer_no", F.lit(-1)).withColumnRenamed("ts_raw", "timestamp_raw")
-        add(frame, "frame", ["interface_id", "timestamp_raw", "caplen", "origlen", "link_type"])
+        def child_line(kind: T.StructType, layer: str, base: int) -> Callable[[Column], Column]:
+            return lambda x: line(F.col("layer_no"), x[kind.names[0]] + base, F.lit(layer), json_of(x, kind, kind.names, packet_id=packet))
+
+        def add(rows: DataFrame, *lists: Column) -> None:
+            some = [F.coalesce(x, F.array().cast("array<struct<layer_no:int,sub:int,name:string,json:string>>")) for x in lists]
+            parts.append(rows.select("file", "packet_id", F.explode(F.concat(*some)).alias("line")).select("file", "packet_id", "line.*"))
+
+        # What each packet holds by itself.
+        packets = self.layers(*protocols.TABLES)
+        frame = F.struct("interface_id", F.col("ts_raw").alias("timestamp_raw"), "caplen", "origlen", "link_type")
+        lists = [F.array(line(F.lit(-1), zero, F.lit("frame"), F.to_json(frame)))]
         for table, layer in _NODES.items():
-            rows = self.table(table, True)
-            add(rows, layer, [c for c in rows.columns if c not in ("file", "packet_id", "layer_no", "data", "datagram_id", "is_reassembled")])
-        extra = self._exploded("extra")
-        parts.append(extra.select("file", "packet_id", "layer_no", F.lit(0).alias("sub"), "name", "json"))
+            lists.append(F.transform(f"layers.{table}", node_line(protocols.LAYERS[table].dataType.elementType, own(_LAYOUTS[table]), layer)))
+        units = protocols.LLDP_TYPE
+        lists.append(F.transform("layers.lldp", lambda x: line(x["layer_no"], zero, F.lit("lldp"), json_of(x, units, units.names[1:], packet_id=F.col("packet_id")))))
+        lists.append(F.transform("layers.extra", lambda x: line(x["layer_no"], zero, x["name"], x["json"])))
+        add(packets, *lists)
+
         if self.options.reassembly is not None:
-            for version, layer in (("ipv4_frag", "ip.fragment"), ("ipv6_frag", "ipv6.fragment")):
-                add(self.table(version, True), layer, ["datagram_id", "frag_offset_bytes", "more_fragments", "is_first", "is_last"])
             datagrams, members = self._reassembled()
+            ends = {"is_first": F.col("frag_offset_bytes") == 0, "is_last": ~F.col("more_fragments")}
+            fragment = F.to_json(F.struct("datagram_id", "frag_offset_bytes", "more_fragments", *(c.alias(n) for n, c in ends.items())))
+            add(members, F.array(line(F.col("layer_no"), zero, F.when(F.col("ip_version") == 4, "ip.fragment").otherwise("ipv6.fragment"), fragment)))
             done = datagrams.where("completion_status = 0").withColumn("packet_id", F.col("last_packet_id")).join(members.select("file", "ip_version", "datagram_id", "packet_id", "layer_no"), ["file", "ip_version", "datagram_id", "packet_id"])
-            add(done.withColumn("layer_no", F.col("layer_no") + 1), "ip.reassembled", ["datagram_id", "total_length", "fragment_count", "completion_status"])
-        someip = self.table("someip", True)
-        add(someip, "someip", [n for n, _ in protocols.SOMEIP.fields], 1)
-        for table, layer, body, index in (("someip_sd_entry", "someip.sd_entry", ["packet_id", "entry_index", "body"], "entry_index"), ("someip_sd_option", "someip.sd_option", ["packet_id", "option_index", "length", "type", "l4proto", "port", "address"], "option_index"), ("someip_tlv", "someip.tlv_member", ["packet_id", "tlv_index", "data_id", "wire_type", "length"], "tlv_index")):
-            base = {"someip_sd_entry": 10, "someip_sd_option": 100_000, "someip_tlv": 10}[table]
-            add(self.table(table, True), layer, body, F.col(index) + base)
-        add(self.table("lldp", True), "lldp", ["packet_id", *protocols.LLDP_TYPE.names[1:]])
-        add(self.table("gptp_path_trace", True), "gptp.path_trace", ["msg_index", "entry_index", "clock_identity"], F.col("entry_index"))
-        for kind, body in protocols.GPTP_BODIES.items():
-            add(self.table(f"gptp_{kind}", True), f"gptp.{kind}", ["common", *body], 1_000_000)
-        out = parts[0]
-        for one in parts[1:]:
-            out = out.unionByName(one)
-        return out
+            add(done, F.array(line(F.col("layer_no") + 1, zero, F.lit("ip.reassembled"), F.to_json(F.struct("datagram_id", "total_length", "fragment_count", "completion_status")))))
+            for table in ("tcp", "udp"):
+                again = self._again(table, False)
+                add(again, F.array(line(F.col("layer_no"), zero, F.lit(table), json_column(again, own(_LAYOUTS[table])))))
+
+        someip = self._someip()
+        kinds = {n: protocols.SOMEIP_LAYERS[n].dataType for n in protocols.SOMEIP_LAYERS.names}
+        lists = [F.array(line(F.col("layer_no"), F.lit(1), F.lit("someip"), json_of(F.col("s.header"), kinds["header"], own(protocols.SOMEIP))))]
+        for name, layer, base in (("sd_entry", "someip.sd_entry", 10), ("sd_option", "someip.sd_option", 100_000), ("tlv", "someip.tlv_member", 10)):
+            lists.append(F.transform(f"s.{name}", child_line(kinds[name].elementType, layer, base)))
+        add(someip, *lists)
+
+        messages = self._gptp().where("m.body is not null")
+        body, common = protocols.GPTP_TYPE["body"].dataType, _COMMON_NAMES
+        head = F.struct("msg_index", "packet_id", *(_jsonable(F.col(f"m.common.{c}"), protocols.GPTP_TYPE["common"].dataType[c].dataType).alias(c) for c in common))
+        texts = [F.when(F.col("m.kind") == kind, F.to_json(F.struct(head.alias("common"), *(_jsonable(F.col(f"m.body.{c}"), body[c].dataType).alias(c) for c in columns)))) for kind, columns in protocols.GPTP_BODIES.items()]
+        trace = F.transform("m.path", lambda x, i: line(F.col("layer_no"), i, F.lit("gptp.path_trace"), F.to_json(F.struct("msg_index", i.alias("entry_index"), F.lower(F.hex(x)).alias("clock_identity")))))
+        add(messages, trace, F.array(line(F.col("layer_no"), F.lit(1_000_000), F.concat(F.lit("gptp."), F.col("m.kind")), F.coalesce(*texts))))
+        return reduce(DataFrame.unionByName, parts)
 
     def json(self) -> DataFrame:
-        """(file, packet_id, line): a JSON object for each packet, its layers in the order of decoding."""
+        """(file, packet_id, line): a JSON object for each packet, its layers in the order of decoding.
+
+        All tables are read, so the layers are kept from here on, until close().
+        """
+        if not self._kept:
+            self.__enter__()
         return fold_layers(self._layers(), ["file", "packet_id"])
 
 
+def json_of(x: Column, kind: T.StructType, names: list[str], **first: Column) -> Column:
+    """Compact JSON of fields of a record in order: bytes as lower-case hex, records and lists nested, nulls left out."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in first.items()), *(_jsonable(x[n], kind[n].dataType).alias(n) for n in names)))
+
+
 def json_column(rows: DataFrame, names: list[str]) -> Column:
-    """Compact JSON of columns in order: bytes as lower-case hex, records and lists nested, nulls left out."""
+    """The same of columns."""
     return F.to_json(F.struct(*(_jsonable(F.col(n), rows.schema[n].dataType).alias(n) for n in names)))
 
 
@@ -197,14 +273,32 @@ def fold_layers(layers: DataFrame, key: list[str]) -> DataFrame:
 
     A name that occurs again becomes an array, in the place of its first occurrence.
     """
-    order = F.struct("layer_no", "sub", "json")
-    named = layers.groupBy(*key, "name").agg(F.min(order).alias("first"), F.sort_array(F.collect_list(order)).alias("all"))
-    many = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["json"]), ","), F.lit("]"))
-    value = F.when(F.size("all") > 1, many).otherwise(F.col("first.json"))
-    text = F.concat(F.lit('"'), F.col("name"), F.lit('":'), value)
-    lines = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("first", text.alias("text")))).alias("parts"))
-    inner = F.array_join(F.transform("parts", lambda x: x["text"]), ",")
-    return lines.select(*key, F.concat(F.lit('{"_index":'), F.col(key[-1]).cast("string"), F.lit(',"_source":{"layers":{'), inner, F.lit("}}}")).alias("line"))
+    every = layers.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("layer_no", "sub", "json", "name"))).alias("every"))
+
+    def member(name: Column) -> Column:
+        texts = F.transform(F.filter("every", lambda x: x["name"] == name), lambda x: x["json"])
+        value = F.when(F.size(texts) > 1, F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))).otherwise(texts[0])
+        return F.concat(F.lit('"'), name, F.lit('":'), value)
+
+    inner = F.array_join(F.transform(F.array_distinct(F.transform("every", lambda x: x["name"])), member), ",")
+    return every.select(*key, F.concat(F.lit('{"_index":'), F.col(key[-1]).cast("string"), F.lit(',"_source":{"layers":{'), inner, F.lit("}}}")).alias("line"))
+
+
+def export_stream(table: DataFrame, rows: int = 65_536) -> pa.RecordBatchReader:
+    """The rows of a DataFrame as a stream of record batches, of `rows` rows at most, without all of them in memory."""
+    schema = to_arrow_schema(table.schema)
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for row in table.toLocalIterator(prefetchPartitions=True):
+            held.append(row.asDict(recursive=True))
+            if len(held) == rows:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return pa.RecordBatchReader.from_batches(schema, batches())
 
 
 def write_ndjson(capture: Capture, path: str) -> None:
@@ -213,8 +307,13 @@ def write_ndjson(capture: Capture, path: str) -> None:
 
 
 def write_json_array(capture: Capture, path: str) -> None:
-    """The same as one JSON array in each file of the folder: a file per input capture."""
+    """The same as one JSON array in each file of the folder: a file per input capture.
+
+    An array is written line by line from its sorted partition: brackets stand with the first and the last line, commas between.
+    """
     lines = capture.json()
-    order = F.sort_array(F.collect_list(F.struct("packet_id", "line")))
-    whole = lines.groupBy("file").agg(order.alias("lines")).select(F.concat(F.lit("["), F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit("]")).alias("line"))
-    whole.write.mode("overwrite").text(path)
+    ends = lines.groupBy("file").agg(F.min("packet_id").alias("first"), F.max("packet_id").alias("last"))
+    files = max(ends.count(), 1)
+    marked = lines.join(ends, "file").withColumnRenamed("file", "capture").repartitionByRange(files, "capture").sortWithinPartitions("capture", "packet_id")
+    text = F.concat(F.when(F.col("packet_id") == F.col("first"), "[").otherwise(""), F.col("line"), F.when(F.col("packet_id") == F.col("last"), "]").otherwise(","))
+    marked.select("capture", text.alias("line")).write.mode("overwrite").partitionBy("capture").text(path)
