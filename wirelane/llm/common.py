@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +41,36 @@ def shared_root(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+_runs: list[Scratch] = []
+
+
+@atexit.register
+def clean_up() -> None:
+    """Delete what all runs of this driver have left: no DataFrame that they returned can be read any more. Called at its exit too."""
+    while _runs:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _runs.pop().clear()
+
+
 class Scratch:
     """Tables of one run of an operator, written as Parquet in the shared folder.
 
     A written table cuts the lineage: after an executor is lost, what it had computed is read
-    again instead of being computed anew.
+    again instead of being computed anew. Superseded tables are dropped as the run goes on, the rest when
+    the driver ends or by clean_up(), as the DataFrame that a run returns reads them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _runs.append(self)
+
+    def clear(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -63,10 +87,19 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no unevaluated DataFrame reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path(name))
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows and bytes of a text column at most; a longer text is a part by itself."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def ascii_lower(text: Column) -> Column:
