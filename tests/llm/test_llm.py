@@ -368,10 +368,39 @@ def sampler():
         return segment.Sampler(segment.Vocabulary(f.read()))
 
 
+def brute_lattice(vocabulary, unit):
+    """For each position its edges (next position, log-probability, ids), by recursion over pieces."""
+    n, out = len(unit), []
+    ahead = [-math.inf] * n + [0.0]
+    for i in range(n - 1, -1, -1):
+        found = [(j, hit[1], (hit[0],)) for j in range(i + 1, n + 1) if (hit := vocabulary.pieces.get(unit[i:j]))]
+        if unit[i] not in vocabulary.pieces:
+            raw = unit[i].encode()
+            found.append((i + 1, vocabulary.byte_weight * len(raw), tuple(vocabulary.bytes[b] for b in raw)))
+        ahead[i] = math.log(sum(math.exp(w + ahead[j]) for j, w, _ in found))
+        out.append([(j, w + ahead[j] - ahead[i], ids) for j, w, ids in found])
+    return out[::-1]
+
+
+def test_lattices(sampler):
+    """The lattices that are made at once are those of each unit by itself."""
+    units = ["▁the", "▁▁cat", "x", "日本語", "\U0001f600é", "▁antidisestablishmentarianism", "\n", "a" * 40, "▁"]
+    a, b, w, piece = sampler.vocabulary.edges(units)
+    got, base, n = collections.defaultdict(dict), 0, sum(map(len, units))
+    for x, y, p, i in zip(a, b, w, piece, strict=True):
+        got[x][y] = (p, (int(i),) if i >= 0 else tuple(sampler.vocabulary.bytes[c] for c in chr(~i).encode()))
+    for unit in units:
+        for i, edges in enumerate(brute_lattice(sampler.vocabulary, unit)):
+            want = {base + j if j < len(unit) else n: (p, ids) for j, p, ids in edges}
+            assert set(want) == set(got[base + i])
+            assert all(got[base + i][y][1] == ids and abs(got[base + i][y][0] - p) < 1e-9 for y, (p, ids) in want.items())
+        base += len(unit)
+
+
 def every_path(vocabulary, text):
-    out = {b"": 0.0}
+    out = {(): 0.0}
     for unit in vocabulary.units(text):
-        lattice, ends = vocabulary.lattice(unit)[0], {}
+        lattice, ends = brute_lattice(vocabulary, unit), {}
 
         def go(i, ids, w):
             if i == len(unit):
@@ -380,7 +409,7 @@ def every_path(vocabulary, text):
             for j, more, piece in lattice[i]:
                 go(j, ids + piece, w + more)
 
-        go(0, b"", 0.0)
+        go(0, (), 0.0)
         out = {a + b: x + y for a, x in out.items() for b, y in ends.items()}
     return out
 
@@ -394,7 +423,7 @@ def test_sampling_law(sampler):
     seeds = shingles.mix(np.arange(n).astype(np.uint64))
     for at in range(0, n, 500):
         for paths, after in sampler.sample([text] * 500, seeds[at : at + 500], 3):
-            ids = [b"".join(sampler.ids[e] for e in p.edges.tolist()) for p in paths]
+            ids = [tuple(sampler.ids(p.edges).tolist()) for p in paths]
             assert len(set(ids)) == 3 and [p.value for p in paths] == sorted((p.value for p in paths), reverse=True) and paths[-1].value >= after
             for path, i in zip(paths, ids, strict=True):
                 assert abs(law[i] - path.total) < 1e-9
@@ -413,7 +442,7 @@ def test_few_and_no_segmentations(sampler):
     law = every_path(sampler.vocabulary, "ab")
     (paths, after), (none, _) = sampler.sample(["ab", ""], np.array([1, 2], np.uint64), 50)
     assert len(paths) == len(law) and after == -math.inf
-    assert {b"".join(sampler.ids[e] for e in p.edges.tolist()) for p in paths} == set(law)
+    assert {tuple(sampler.ids(p.edges).tolist()) for p in paths} == set(law)
     assert len(none) == 1 and not len(none[0].edges)
 
 
@@ -427,6 +456,9 @@ def test_segmentations_decode(spark):
     for r in rows:
         assert r.back == (texts[r.doc_id] or "") and 0 < r.inclusion <= 1
     assert len([r for r in rows if r.doc_id == 2]) == 1
+    long = frame(spark, ["日本" * 20_000, "word " * 40_000]).withColumn("sample", F.lit("clash"))
+    found = segment.sample_segmentations(long, path, ["doc_id"], 2)
+    assert {(r.doc_id, r.back) for r in found.select("doc_id", segment.decode(found, path).alias("back")).collect()} == {(0, "日本" * 20_000), (1, "word " * 40_000)}
     again = segment.sample_segmentations(df.coalesce(1), path, ["doc_id"], 4).orderBy("doc_id", "sample").collect()
     assert [tuple(r)[:-1] for r in again] == [tuple(r)[:-2] for r in rows] or [r.ids for r in again] == [r.ids for r in rows]
 

@@ -44,8 +44,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = segment.sample_segmentations(rows.select(*keys, "text"), model, keys)
-    digest = F.sha2(segment.decode(out, model).cast("binary"), 256).alias("decoded_sha256")
-    return out.select(*keys, "sample", F.size("ids").alias("n_pieces"), F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")).alias("ids_crc32"), "log_prob", "perturbed", "inclusion", digest)
+    return out.select(*keys, "sample", segment.digests(out, model).alias("d"), "log_prob", "perturbed", "inclusion").select(*keys, "sample", "d.*", "log_prob", "perturbed", "inclusion")
 
 
 @query

@@ -9,12 +9,14 @@ it was split from. The first path of a region inherits its value, so regions pop
 priority emit paths in order of their values.
 
 No piece of the vocabulary reaches across white space, so the lattice falls into units, about a
-word each, whose states and edges are remembered. Paths of many texts are drawn step by step at once.
-All randomness is a hash of the row's key and the step, so results do not depend on partitioning.
+word each, whose states and edges are remembered. The lattices of many units are made at once, and paths of
+many texts are drawn step by step at once. All randomness is a hash of the row's key and the step, so
+results do not depend on partitioning. Counters tell 2^24 units of a text and 2^23 steps of a unit apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import worker_store
+from wirelane.llm.common import slices, worker_store
 from wirelane.llm.shingles import U64, mix
 
 SPACE = "▁"
@@ -35,10 +37,15 @@ UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 SAMPLES = 4
 #: Log weights are multiplied by this: below 1 it brings out rarer segmentations.
 ALPHA = 0.3
-#: Remembered edges of a worker; forgotten beyond.
-CACHE_EDGES = 2_000_000
-#: Texts that are sampled together.
-TOGETHER = 128
+#: Remembered edges of a worker, of about 30 bytes; forgotten beyond.
+CACHE_EDGES = 6_000_000
+#: Bits of a counter for the steps of a unit and for its number.
+STEP_BITS, UNIT_BITS = 24, 24
+_GOLDEN = U64(0x9E3779B97F4A7C15)
+_BASE = U64(0xD1342543DE82EF95)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+#: Texts that are sampled together, and their bytes.
+TOGETHER, TOGETHER_BYTES = 128, 1 << 19
 
 
 class Vocabulary:
@@ -66,33 +73,94 @@ class Vocabulary:
             self.pieces[piece] = (i, weight)
         self.byte_weight = worst - alpha
         self.longest = max(map(len, self.pieces))
+        self._tries()
+
+    def _tries(self) -> None:
+        """For each length the sorted hashes of all beginnings of pieces, and the id and weight of those that are pieces themselves."""
+        beginnings: list[dict[str, str | None]] = [{} for _ in range(self.longest + 1)]
+        for piece in self.pieces:
+            for n in range(1, len(piece)):
+                beginnings[n].setdefault(piece[:n], None)
+            beginnings[len(piece)][piece] = piece
+        self.trie = []
+        for some in beginnings[1:]:
+            texts = list(some)
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1)
+            hashes = (_mixed(points) * _powers(_BASE, points.shape[1])).sum(axis=1, dtype=U64)
+            order = np.argsort(hashes)
+            found = [self.pieces[t] if some[t] else (-1, 0.0) for t in texts]
+            self.trie.append((hashes[order], np.array([f[0] for f in found], np.int32)[order], np.array([f[1] for f in found])[order]))
+
+    def edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """The lattices of many units, none empty: (from, to, log-probability, piece) of all edges, ordered by `from`, likelier ones first.
+
+        Positions count through all units; at a unit's end `to` is the number of positions. A piece below 0 is a
+        character that no piece holds, written in bytes: its complement is the code point.
+        """
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        n = len(points)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        before = np.zeros(n + 1, U64)
+        np.cumsum(_mixed(points) * _powers(_BASE, n), out=before[1:], dtype=U64)
+        back = _powers(_INVERSE, n)
+        alive = np.arange(n)
+        left, right, weight, piece = [], [], [], []
+        for size, (hashes, ids, weights) in enumerate(self.trie, 1):
+            alive = alive[alive + size <= ends[alive]]
+            if not len(alive):
+                break
+            key = (before[alive + size] - before[alive]) * back[alive]
+            at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
+            known = hashes[at] == key
+            if size == 1:
+                lone = np.ones(n, bool)
+                lone[alive[known & (ids[at] >= 0)]] = False
+                lone = np.flatnonzero(lone)
+                code = points[lone].astype(np.int64)
+                width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+                left, right, weight, piece = [lone], [lone + 1], [self.byte_weight * width], [(~code).astype(np.int32)]
+            alive, at = alive[known], at[known]
+            whole = ids[at] >= 0
+            left.append(alive[whole])
+            right.append(alive[whole] + size)
+            weight.append(weights[at[whole]])
+            piece.append(ids[at[whole]])
+        a, b, w, ids = map(np.concatenate, (left, right, weight, piece))
+        b = np.where(b == ends[a], n, b)
+        # Log-mass from each position to its unit's end: positions as far from it together, the nearest first.
+        far = (ends - np.arange(n))[a]
+        order = np.lexsort((a, far))
+        a, b, w, ids, far = a[order], b[order], w[order], ids[order], far[order]
+        ahead = np.zeros(n + 1)
+        first = np.flatnonzero(np.diff(a, prepend=-1))  # one run of edges for each position
+        cuts = np.searchsorted(far[first], np.arange(1, far[-1] + 2))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if x < y:
+                i, j = first[x], first[y] if y < len(first) else len(a)
+                w[i:j] += ahead[b[i:j]]
+                ahead[a[first[x:y]]] = np.logaddexp.reduceat(w[i:j], first[x:y] - i)
+        w = np.minimum(w - ahead[a], 0.0)
+        order = np.lexsort((-w, a))
+        return a[order], b[order], w[order], ids[order]
 
     def units(self, text: str) -> list[str]:
         return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def lattice(self, unit: str) -> tuple[list[list[tuple[int, float, bytes]]], float]:
-        """For each position of the unit its edges (next position, log-probability, ids); positions out of reach have none."""
-        n = len(unit)
-        ahead = [-math.inf] * n + [0.0]
-        out: list[list] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            found = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (hit := self.pieces.get(unit[i:j])) is not None:
-                    found.append((j, hit[1] + ahead[j], hit[0].to_bytes(4, "little")))
-            if unit[i] not in self.pieces:
-                raw = unit[i].encode("utf-8")
-                ids = b"".join(self.bytes[b].to_bytes(4, "little") for b in raw)
-                found.append((i + 1, self.byte_weight * len(raw) + ahead[i + 1], ids))
-            top = max(f[1] for f in found)
-            ahead[i] = top + math.log(sum(math.exp(f[1] - top) for f in found))
-            out[i] = [(j, w - ahead[i], ids) for j, w, ids in found]
-        return out, ahead[0]
+
+def _mixed(points: np.ndarray) -> np.ndarray:
+    return mix(points.astype(U64) + U64(1))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U64)
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1, neither included, each a hash of its seed and counter."""
-    return ((mix(seed + mix(counter)) >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+    return ((mix(seed + counter * _GOLDEN) >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
 def cut_gumbel(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -114,7 +182,7 @@ class Drawn:
 
 
 class Sampler:
-    """Edges of remembered units in flat arrays. State s has the edges first[s] to first[s + 1] - 1; state 0 is the end."""
+    """Edges of remembered units in flat arrays, which grow by doubling. State s has the edges first[s] to first[s + 1] - 1; state 0 is the end."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -122,54 +190,63 @@ class Sampler:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first = np.array([0, 0], np.int64)
-        self.upto = np.zeros(0)  # state + cumulative probability: ascends over all edges
-        self.next = np.zeros(0, np.int64)
-        self.log = np.zeros(0)
-        self.ids: list[bytes] = []
+        self.states, self.size = 1, 0
+        self.first = np.zeros(2, np.int64)
+        self.upto, self.log = np.zeros(0), np.zeros(0)  # cumulative probability in the state; beyond 1 at its last edge
+        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if at + len(values) > len(held):
+            held = np.concatenate([held[:at], np.zeros(max(at, 2 * len(values)), held.dtype)])
+            setattr(self, name, held)
+        held[at : at + len(values)] = values
 
     def learn(self, units: set[str]) -> None:
-        if len(self.ids) > CACHE_EDGES:
+        if self.size > CACHE_EDGES:
             self.forget()
-        first, upto, following, log = [], [], [], []
-        state, edges = len(self.first) - 1, len(self.ids)
-        for unit in units:
-            if unit in self.start:
-                continue
-            self.start[unit] = state
-            n = len(unit)
-            for i, out in enumerate(self.vocabulary.lattice(unit)[0]):
-                at = 0.0
-                for j, w, ids in out:
-                    at += math.exp(w)
-                    upto.append(state + i + min(at, 1.0))
-                    following.append(state + j if j < n else 0)
-                    log.append(min(w, 0.0))
-                    self.ids.append(ids)
-                upto[-1] = state + i + 1.0
-                edges += len(out)
-                first.append(edges)
-            state += n
-        self.first = np.concatenate([self.first, np.array(first, np.int64)])
-        self.upto = np.concatenate([self.upto, upto])
-        self.next = np.concatenate([self.next, np.array(following, np.int64)])
-        self.log = np.concatenate([self.log, log])
+        new = [u for u in units if u not in self.start]
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            a, b, w, piece = self.vocabulary.edges(some)
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            n, base = int(sizes.sum()), self.states
+            edges = np.bincount(a, minlength=n)
+            last = np.cumsum(edges)
+            sums = np.cumsum(np.exp(w))
+            upto = sums - np.repeat(sums[last - edges] - np.exp(w[last - edges]), edges)
+            upto[last - 1] = 2.0
+            self.start.update(zip(some, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
+            self._put("first", base + 1, self.size + last)
+            for name, values in (("upto", upto), ("log", w), ("next", np.where(b < n, base + b, 0)), ("piece", piece)):
+                self._put(name, self.size, values)
+            self.states, self.size = base + n, self.size + len(a)
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        """The pieces of a path's edges; characters without one as the pieces of their bytes."""
+        out = self.piece[edges]
+        if len(out) and out.min() < 0:
+            table = self.vocabulary.bytes
+            out = np.array([i for x in out.tolist() for i in ([x] if x >= 0 else [table[c] for c in chr(~x).encode("utf-8", "surrogatepass")])], np.int32)
+        return out
 
     def draw(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges from each start state to its unit's end: (which start, edge), in order of starts and steps."""
-        who, step = np.arange(len(state)), 0
-        got_who, got_edge = [], []
-        live = state > 0
-        who, state = who[live], state[live]
+        who = np.flatnonzero(state > 0)
+        state, seed, counter = state[who], seed[who], counter[who]
+        got_who, got_edge, step = [], [], 0
         while len(state):
-            u = uniform(seed[who], counter[who] + U64(2 * step))
-            edge = np.searchsorted(self.upto, state + u, "right")
-            edge = np.clip(edge, self.first[state], self.first[state + 1] - 1)
+            u = uniform(seed, counter + U64(2 * step))
+            edge = self.first[state]
+            late = np.flatnonzero(u >= self.upto[edge])
+            while len(late):
+                edge[late] += 1
+                late = late[u[late] >= self.upto[edge[late]]]
             got_who.append(who)
             got_edge.append(edge)
             state = self.next[edge]
-            live = state > 0
-            who, state = who[live], state[live]
+            live = np.flatnonzero(state)
+            who, state, seed, counter = who[live], state[live], seed[live], counter[live]
             step += 1
         if not got_who:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -196,11 +273,11 @@ class Sampler:
                 n = len(starts[d]) - unit
                 state.append(s)
                 seed.append(np.full(n, seeds[d], U64))
-                counter.append((U64(r + 1) << U64(48)) + ((np.arange(unit, unit + n).astype(U64) + U64(1)) << U64(20)))
+                counter.append((U64(r + 1) << U64(STEP_BITS + UNIT_BITS)) + ((np.arange(unit, unit + n).astype(U64) + U64(1)) << U64(STEP_BITS)))
                 size.append(n)
             whose, edge = self.draw(np.concatenate(state), np.concatenate(seed), np.concatenate(counter)) if todo else (np.zeros(0, np.int64),) * 2
             ends = np.searchsorted(whose, np.cumsum([0, *size]))
-            p = np.minimum(self.log[edge], 0.0)
+            p = self.log[edge]
             beside = np.log(-np.expm1(np.minimum(p, -1e-300)))
             seed_all = np.concatenate(seed) if todo else np.zeros(0, U64)
             counter_all = np.concatenate(counter) if todo else np.zeros(0, U64)
@@ -245,11 +322,11 @@ class Sampler:
         path.rest[at] = -np.inf
         self._push(heap, paths, i)
         edge = int(path.edges[step])
-        state = int(np.searchsorted(self.first, edge, "right") - 1)
+        state = int(np.searchsorted(self.first[: self.states + 1], edge, "right") - 1)
         taken = path.taken.get(step, set()) | {edge}
         free = [e for e in range(self.first[state], self.first[state + 1]) if e not in taken]
         mass = np.exp(self.log[free])
-        two = uniform(np.full(2, seed, U64), (U64(r + 2) << U64(48)) + np.array([1, 2], U64))
+        two = uniform(np.full(2, seed, U64), (U64(r + 2) << U64(STEP_BITS + UNIT_BITS)) + np.array([1, 2], U64))
         got = free[min(int(np.searchsorted(np.cumsum(mass), two[0] * mass.sum(), "right")), len(free) - 1)]
         before = float(path.before[at])
         left = mass.sum() - math.exp(self.log[got])
@@ -264,6 +341,11 @@ class Sampler:
         return job, (rest, before, taken)
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+
+
 def _rows(model, k: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = worker_store()
@@ -272,8 +354,7 @@ def _rows(model, k: int, keys: list[str]):
             store[name] = Sampler(Vocabulary(model.value))
         sampler: Sampler = store[name]
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
+            for part in slices(batch, "text", TOGETHER, TOGETHER_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 seeds = part.column("seed").to_numpy().view(U64)
                 whose, rank, ids, log, value, inclusion = [], [], [], [], [], []
@@ -281,13 +362,13 @@ def _rows(model, k: int, keys: list[str]):
                     for i, path in enumerate(paths):
                         whose.append(d)
                         rank.append(i + 1)
-                        ids.append(np.frombuffer(b"".join(map(sampler.ids.__getitem__, path.edges.tolist())), np.int32))
+                        ids.append(sampler.ids(path.edges))
                         log.append(path.total)
                         value.append(path.value)
                         # The chance that a Gumbel at the path's log-probability is above the first value left out.
                         inclusion.append(-math.expm1(-math.exp(min(path.total - after, 700.0))) if after > -math.inf else 1.0)
                 own = part.select(keys).take(pa.array(whose, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rank, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rank, pa.int32()), _lists(ids), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
     return run
 
@@ -306,18 +387,38 @@ def sample_segmentations(rows: DataFrame, model_path: str, keys: list[str], k: i
     return source.mapInArrow(_rows(model, k, keys), f"{kinds}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
+def _processor(model):
+    store = worker_store()
+    name = ("processor", zlib.crc32(model.value))
+    if name not in store:
+        import sentencepiece
+
+        store[name] = sentencepiece.SentencePieceProcessor(model_proto=model.value)
+    return store[name]
+
+
 def decode(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
     """The text of a column of id arrays: pieces joined, byte pieces as UTF-8, the first space dropped. Null ids give null."""
     model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(column: pa.Array) -> pa.Array:
-        store = worker_store()
-        name = ("processor", zlib.crc32(model.value))
-        if name not in store:
-            import sentencepiece
-
-            store[name] = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        decode_one = store[name].decode
+        decode_one = _processor(model).decode
         return pa.array([None if i is None else decode_one(i) if len(i) else "" for i in column.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")(rows[ids])
+
+
+def digests(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
+    """(n_pieces, ids_crc32, decoded_sha256) of a column of id arrays: the checksum is of little-endian 32-bit ids, the hash of what they decode to."""
+    model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+
+    def run(column: pa.ListArray) -> pa.Array:
+        decode_one = _processor(model).decode
+        out = []
+        for one in column:
+            own = one.values.to_numpy()
+            text = decode_one(own.tolist()) if len(own) else ""
+            out.append({"n_pieces": len(own), "ids_crc32": zlib.crc32(own.astype("<u4").tobytes()), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()})
+        return pa.array(out, pa.struct([("n_pieces", pa.int32()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())]))
+
+    return F.arrow_udf(run, "n_pieces int, ids_crc32 long, decoded_sha256 string")(rows[ids])
