@@ -10,6 +10,7 @@ look their places up in it.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,20 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch, worker_store
+from wirelane.llm.common import Scratch, int_array, slices, worker_store
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are numbered in so many parts.
-SALTS = 32
+#: Pieces of one length are numbered in parts of about so many rows.
+PART_ROWS = 50_000
 CACHE_WORDS = 500_000
 
+# The white space of the tokenizer's patterns, which is Unicode's; and the steps before its merges that PARTS is made for.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 #: Parts that the tokenizer treats apart whatever stands around them: a run of Latin letters before
 #: white space, a digit or a symbol; a run of ASCII symbols before white space, a digit or a letter;
 #: else all up to the next white space. Apostrophes bind, so they stay with what is around them.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SYMBOL = r"!-&(-/:-@\[-`{-~"
-PARTS = re.compile(rf"[{_LETTER}]+(?=[\s0-9{_SYMBOL}]|\Z)|[{_SYMBOL}]+(?=[\s0-9{_LETTER}]|\Z)|[^ \t\n\r]+")
+PARTS = re.compile(rf"[{_LETTER}]+(?=[{WHITE}0-9{_SYMBOL}]|\Z)|[{_SYMBOL}]+(?=[{WHITE}0-9{_LETTER}]|\Z)|[^ \t\n\r]+")
 
 
 class PartIds(dict):
@@ -42,6 +50,8 @@ class PartIds(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        known = json.loads(tokenizer.to_str())
+        self.modelled = known["normalizer"] == NORMALIZER and known["pre_tokenizer"] == PRE_TOKENIZER
 
     def learn(self, parts: set[str]) -> None:
         if len(self) > CACHE_WORDS:
@@ -66,7 +76,12 @@ class PartIds(dict):
         return PARTS.findall(text.lower())  # as the tokenizer does; beyond Latin-1 rules may differ
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text. What is not remembered is looked up for all texts at once."""
+        """Little-endian 32-bit ids of each whole text. What is not remembered is looked up for all texts at once.
+
+        PARTS holds for one way of normalising and splitting; texts for any other tokenizer are encoded whole.
+        """
+        if not self.modelled:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         parts = [self.parts(t) for t in texts]
         self.learn(set().union(*parts))
         return [b"".join(map(self.__getitem__, p)) for p in parts]
@@ -83,8 +98,7 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
         encode = store[key].encode
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, "text", 500):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
@@ -194,23 +208,27 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Every row of docs (doc_id, text) is packed, repeated rows and rows with a null doc_id too; a
-    null or empty text has the end id alone. Documents longer than capacity are cut, others never.
-    Other columns are not carried. An empty table gives an empty one.
+    null or empty text has the end id alone. Documents longer than capacity are cut, others never, however long
+    they are. Pieces of one length are alike to the plan: ties go by doc_id, piece and checksum. Other columns,
+    also ones named like those returned, are not carried. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     pieces = token_pieces(docs, tokenizer_path, capacity, end_id)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    pieces = scratch.save(pieces.withColumn("salt", salt), "pieces")
+    pieces = scratch.save(pieces, "pieces")
     # At most `capacity` rows.
     counts = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()}
     steps = sorted(plan(counts, capacity))
     columns = np.array(steps, np.int64).reshape(-1, 5).T
     known = spark.sparkContext.broadcast((columns[0], columns[1], columns[3], columns[4]))
-    parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("within", within).join(parts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
+    # As many parts as a length's pieces need, so that no task numbers many more than PART_ROWS.
+    parts_of = int_array([-(-counts.get(n, 1) // PART_ROWS) for n in range(capacity + 1)])
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts_of, F.col("length").cast("int") + 1)).cast("int")
+    pieces = pieces.withColumn("part", part)
+    parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
+    ranked = pieces.withColumn("within", within).join(parts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(known), schema)
