@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import ship, worker_store
+from wirelane.llm.common import ship, slices, worker_store
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 _TIMES = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
+#: Values of lang that are learned at most, those of the most documents: the bound of what is collected.
+MAX_LANGS = 512
 #: About so many documents of each language, drawn by a hash of doc_id, are learned from.
 FIT_DOCS = 3000
 #: A language has a script if at least this share of its letters is of it.
@@ -35,12 +37,20 @@ CACHE_WORDS, TOGETHER = 400_000, 500
 # The first code points of Unicode's script ranges, as far as they are told apart.
 SCRIPT_STARTS = [
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
-    (0x0700, "Other"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Other"), (0x0B80, "Tamil"), (0x0C00, "Telugu"),
-    (0x0C80, "Other"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"),
-    (0x13A0, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"),
-    (0x3040, "Hiragana"), (0x30A0, "Katakana"), (0x3100, "Other"), (0x3130, "Hangul"), (0x3190, "Other"), (0x3400, "Han"),
-    (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0xFF00, "Latin"),
-    (0xFF66, "Katakana"), (0xFFA0, "Other"), (0x20000, "Han"), (0x30000, "Other"),
+    (0x0700, "Syriac"), (0x0750, "Arabic"), (0x0780, "Thaana"), (0x07C0, "Nko"), (0x0800, "Other"), (0x08A0, "Arabic"),
+    (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Odia"), (0x0B80, "Tamil"),
+    (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"),
+    (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Cherokee"),
+    (0x1400, "Aboriginal"), (0x1680, "Other"), (0x1780, "Khmer"), (0x1800, "Mongolian"), (0x18B0, "Other"), (0x1C80, "Cyrillic"),
+    (0x1C90, "Georgian"), (0x1CC0, "Other"), (0x1D00, "Latin"), (0x1DC0, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"),
+    (0x2C60, "Latin"), (0x2C80, "Other"), (0x2D00, "Georgian"), (0x2D30, "Tifinagh"), (0x2D80, "Ethiopic"), (0x2DE0, "Cyrillic"),
+    (0x2E00, "Other"), (0x3040, "Hiragana"), (0x30A0, "Katakana"), (0x3100, "Bopomofo"), (0x3130, "Hangul"), (0x3190, "Other"),
+    (0x3400, "Han"), (0xA000, "Yi"), (0xA4D0, "Other"), (0xA640, "Cyrillic"), (0xA6A0, "Other"), (0xA720, "Latin"), (0xA800, "Other"),
+    (0xA8E0, "Devanagari"), (0xA900, "Other"), (0xA960, "Hangul"), (0xA980, "Javanese"), (0xA9E0, "Myanmar"), (0xAA00, "Other"),
+    (0xAA60, "Myanmar"), (0xAA80, "Other"), (0xAB00, "Ethiopic"), (0xAB30, "Latin"), (0xAB70, "Cherokee"), (0xABC0, "Other"),
+    (0xAC00, "Hangul"), (0xD800, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"),
+    (0xFB50, "Arabic"), (0xFE00, "Other"), (0xFE70, "Arabic"), (0xFEFF, "Latin"), (0xFF66, "Katakana"), (0xFFA0, "Hangul"),
+    (0xFFE0, "Other"), (0x20000, "Han"), (0x323B0, "Other"),
 ]
 SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
 _STARTS = np.array([at for at, _ in SCRIPT_STARTS])
@@ -48,9 +58,11 @@ _SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
 
 
 def letters(word: str) -> str:
-    """The word's letters and the marks that follow them, lowered."""
+    """The word's letters and the marks among them, lowered; empty without a letter, whatever marks there are."""
     if word.isalpha():
         return word.lower()
+    if not any(map(str.isalpha, word)):
+        return ""
     return "".join(c for c in word if c.isalpha() or unicodedata.category(c)[0] == "M").lower()
 
 
@@ -112,7 +124,7 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     if (gain - np.vstack([np.zeros((1, k)), lowest[:-1]])).max() <= switch / 2:
         return np.full(n, best, np.int64)
-    back = np.empty(scores.shape, np.int8)
+    back = np.empty(scores.shape, np.int32)
     total = [float(x) for x in scores[0]]
     labels = range(k)
     for t, row in enumerate(scores.tolist()):
@@ -212,11 +224,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """Learn from text and lang of documents that are not held out; None if there are none.
 
-    Of each language about fit_docs documents are used, drawn by a hash of their id. What is
-    collected is at most BUCKETS counts for each language.
+    Of each language about fit_docs documents are used, drawn by a hash of their id; of more than MAX_LANGS
+    values of lang those of the most documents are learned (of equals the first by name). What is
+    collected is at most BUCKETS counts for each language, and of those only the ones that occur.
     """
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
         return None
     per_million = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1_000_000, -(-1_000_000 * fit_docs // n)))))
@@ -225,9 +238,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     langs = sorted({r[0] for r in counts})
     if not langs:
         return None
-    table = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
+    table, column = np.zeros((BUCKETS + len(SCRIPTS), len(langs))), {lang: i for i, lang in enumerate(langs)}
     for lang, bucket, n in counts:
-        table[bucket, langs.index(lang)] = n
+        table[bucket, column[lang]] = n
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     logs = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)).astype(np.float32)
     return Model(langs, logs, scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
@@ -243,17 +256,18 @@ def _label_all(model, token: str, texts: pa.Array) -> pa.Array:
         store["labeller"] = (token, Labeller(model()))
     label_all = store["labeller"][1].label_all
     out: list[dict] = []
-    for at in range(0, len(texts), TOGETHER):
-        out += label_all(texts.slice(at, TOGETHER).to_pylist())
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", TOGETHER):
+        out += label_all(part.column(0).to_pylist())
     return pa.array(out, _ARROW)
 
 
 def identify(docs: DataFrame, model: Model | None) -> Column:
     """A column for docs: struct (lang, score, spans) of its whole text.
 
-    score is the share of the text's letters in spans of that language. A null text and one without
-    a letter are `und` with score 0 and no span; so is every text if nothing was learned.
-    Words are counted from 0, between white space.
+    score is the share of the text's letters in spans of that language; of equal shares the first by name
+    wins. A null text and one without a letter, marks or not, are `und` with score 0 and no span; so is every
+    text if nothing was learned. Words are counted from 0, between white space. Texts may have any length, and
+    only the column `text` is read: names of other columns do not matter. Repeated rows get the same.
     """
     if model is None:
         return F.expr("named_struct('lang', 'und', 'score', 0D, 'spans', cast(array() as array<struct<lang: string, first_word: int, last_word: int>>))")
