@@ -10,8 +10,12 @@ place is left out. So all pairs within RADIUS meet under a key, whatever the dat
 Exact copies of a shingle set are one class, represented by its smallest doc_id. Where classes meet,
 no list of pairs is made: a search from class to class joins those within RADIUS into clusters, and
 a second search inside each cluster compares full shingle sets. Both emit a star for each component
-found, so what is written is in proportion to the classes. Crowded keys and clusters are cut into
-blocks, and each pair of blocks is a task's group of bounded size.
+found, so what is written is in proportion to the classes.
+
+Crowded keys and clusters are cut into blocks of bounded size. First all members are compared with a few
+drawn ones, the pivots, each block by itself. The members that are linked with one pivot are one component, so
+they need not be compared with each other any more: only what is left over meets all blocks, block by
+block. Of near copies of one template little is left over, so the work stays in proportion to the group.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch
+from wirelane.llm.common import Scratch, slices
 from wirelane.llm.graph import components
 from wirelane.llm.shingles import U64, WordHashes, sets
 
@@ -35,7 +39,9 @@ SYMBOLS, CHUNKS, RADIUS = 90, 18, 35
 #: Members of a block; groups of more are compared block by block.
 KEY_BLOCK, SET_BLOCK = 1024, 512
 #: Shingles of a block of full sets.
-SET_BLOCK_SHINGLES = 1_000_000
+SET_BLOCK_SHINGLES = 500_000
+#: Members of a crowded group that all others are compared with first.
+PIVOTS = 4
 
 _RNG = np.random.default_rng(10)
 _FLIP = _RNG.integers(0, 2**63, size=SYMBOLS, dtype=np.uint64)
@@ -70,8 +76,7 @@ def _sketch(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text", 256):
                 found = sets(part.column("text"), width, cache)
                 full = [s for s in found if len(s)]
                 signed = iter(signatures(full))
@@ -155,67 +160,125 @@ def _edges(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _blocked(members: DataFrame, group: str, blocks) -> DataFrame:
-    """Each member once for every pair of blocks that has its own: (group, i, j, block)."""
-    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
-    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+#: Given a group, a function (i, others) that tells which of the others are linked with member i.
+Near = Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]
 
 
-def _near_signatures(radius: int, percent: int) -> Callable:
-    def one(group: pa.Table) -> list[tuple[int, int]]:
+def _near_signatures(radius: int, percent: int) -> Near:
+    def of(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
         signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
         size = group.column("n_shingles").to_numpy()
-        cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
 
         def near(i: int, others: np.ndarray) -> np.ndarray:
             # The smaller of two linked sets has PERCENT per cent of the larger one's size.
             fits = 100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])
             return fits & ((signature[others] != signature[i]).sum(axis=1) <= radius)
 
-        return star_edges(group.column("rep").to_numpy(), group.column("block").to_numpy() if cross else None, near)
+        return near
 
-    return lambda batches: _edges(one(g) for g in _groups(batches, ["key", "i", "j"]) if g.num_rows > 1)
+    return of
 
 
-def _near_sets(width: int, percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+def _near_sets(width: int, percent: int) -> Near:
+    held: list[WordHashes] = []
 
-        def one(group: pa.Table) -> list[tuple[int, int]]:
-            found = sets(group.column("text"), width, cache)
-            size = np.array([len(s) for s in found], np.int64)
-            ends = np.cumsum(size)
-            ids = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
-            parts = [ids[e - n : e] for e, n in zip(ends, size, strict=True)]
-            marked = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
-            cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
-            held: dict = {"n": -1}
-
-            def near(i: int, others: np.ndarray) -> np.ndarray:
-                fits = 100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])
-                out = np.zeros(len(others), bool)
-                at = np.flatnonzero(fits)
-                if not len(at):
-                    return out
-                some = others[at]
-                key = some.tobytes()
-                if held.get("key") != key:  # the same others again and again: members that link with nothing
-                    held.update(key=key, flat=np.concatenate([parts[x] for x in some]), starts=np.cumsum([0, *size[some[:-1]]]))
-                marked[parts[i]] = 1
-                both = np.add.reduceat(marked[held["flat"]], held["starts"])
-                marked[parts[i]] = 0
-                out[at] = 100 * both >= percent * (size[i] + size[some] - both)
+    def of(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        if not held:
+            held.append(WordHashes())
+        found = sets(group.column("text"), width, held[0])
+        size = np.array([len(s) for s in found], np.int64)
+        ends = np.cumsum(size)
+        ids = np.unique(np.concatenate(found), return_inverse=True)[1].astype(np.int32)
+        parts = [ids[e - n : e] for e, n in zip(ends, size, strict=True)]
+        marked = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+        last: dict = {}
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            fits = 100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others])
+            out = np.zeros(len(others), bool)
+            at = np.flatnonzero(fits)
+            if not len(at):
                 return out
+            some = others[at]
+            key = some.tobytes()
+            if last.get("key") != key:  # the same others again and again: members that link with nothing
+                last.update(key=key, flat=np.concatenate([parts[x] for x in some]), starts=np.cumsum([0, *size[some[:-1]]]))
+            marked[parts[i]] = 1
+            both = np.add.reduceat(marked[last["flat"]], last["starts"])
+            marked[parts[i]] = 0
+            out[at] = 100 * both >= percent * (size[i] + size[some] - both)
+            return out
+
+        return near
+
+    return of
+
 
-            return star_edges(group.column("rep").to_numpy(), group.column("block").to_numpy() if cross else None, near)
+def _stars(make: Near, group: str) -> Callable:
+    def one(table: pa.Table) -> list[tuple[int, int]]:
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        side = table.column("block").to_numpy() if cross else None
+        if cross and (side == side[0]).all():
+            return []
+        return star_edges(table.column("rep").to_numpy(), side, make(table))
 
-        yield from _edges(one(g) for g in _groups(batches, ["cluster", "i", "j"]) if g.num_rows > 1)
+    return lambda batches: _edges(one(g) for g in _groups(batches, [group, "i", "j"]) if g.num_rows > 1)
+
+
+def _with_pivots(make: Near, group: str) -> Callable:
+    """(group, pivot, rep) for each member of a block that is linked with a pivot; the pivots stand first."""
+
+    def one(table: pa.Table) -> pa.Table:
+        reps, first = table.column("rep").to_numpy(), int(table.column("pivot").to_numpy().sum())
+        near, members = make(table), np.arange(first, table.num_rows)
+        hits = [(reps[p], reps[members[near(p, members)]]) for p in range(first)] if len(members) else []
+        rep = np.concatenate([h[h != p] for p, h in hits]) if hits else np.zeros(0, np.int64)
+        pivot = np.repeat([p for p, _ in hits], [int((h != p).sum()) for p, h in hits]).astype(np.int64)
+        return pa.table([pa.array(np.full(len(rep), table.column(group)[0].as_py(), np.int64)), pa.array(pivot), pa.array(rep)], [group, "pivot", "rep"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, [group, "block"]):
+            yield from one(table).to_batches()
 
     return run
 
 
+def _links(members: DataFrame, group: str, attach: Callable[[DataFrame], DataFrame], make: Near, rows: int, shingles: int, scratch: Scratch, name: str) -> DataFrame:
+    """Edges (u, v) that join the members (group, rep, n_shingles) of each group into its components.
+
+    attach() brings what make() compares to rows that have `rep`. A block has about `rows` members and `shingles` shingles at most.
+    """
+    blocks = lambda n, total: F.greatest(F.ceil(n / rows), F.ceil(total / shingles), F.lit(1)).cast("int")
+    count, total = F.count(F.lit(1)), F.sum("n_shingles")
+    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    crowded = members.groupBy(group).agg(blocks(count, total).alias("blocks"), *drawn).where("blocks > 1")
+    crowded = scratch.save(crowded, f"{name}-crowded")
+    roles, found = members.withColumn("main", F.lit(False)), None
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
+        inside = members.join(crowded.select(group, "blocks"), group).select(group, own.alias("block"), "rep", F.lit(0).alias("pivot"))
+        pivots = crowded.select(group, "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("rep"))
+        pivots = pivots.select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(1).alias("pivot"))
+        dealt = attach(inside.unionByName(pivots)).repartition(group, "block").sortWithinPartitions(group, "block", F.desc("pivot"))
+        found = scratch.save(dealt.mapInArrow(_with_pivots(make, group), f"{group} long, pivot long, rep long"), f"{name}-pivots")
+        best = found.groupBy(group, "pivot").agg(count.alias("n")).groupBy(group).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
+        main = found.join(best, [group, "pivot"]).select(group, "rep").unionByName(best.select(group, F.col("pivot").alias("rep"))).distinct()
+        roles = scratch.save(members.join(main.withColumn("main", F.lit(True)), [group, "rep"], "left").fillna(False, ["main"]), f"{name}-roles")
+
+    # Blocks of what is left over are numbered before those of the main component, which do not meet each other.
+    rest, most = F.expr("not main"), F.col("main")
+    sizes = roles.groupBy(group).agg(F.count_if(rest).alias("left"), F.when(F.count_if(rest) > 0, blocks(F.count_if(rest), F.sum(F.when(rest, F.col("n_shingles"))))).alias("lefts"), F.when(F.count_if(most) > 0, blocks(F.count_if(most), F.sum(F.when(most, F.col("n_shingles"))))).otherwise(0).alias("mains"))
+    sizes = sizes.where("left > 0").select(group, "lefts", "mains")
+    at = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")
+    placed = roles.join(sizes, group).withColumn("block", F.when(most, F.col("lefts") + at(F.greatest("mains", F.lit(1)))).otherwise(at(F.col("lefts"))))
+    met = F.when(most, F.col("lefts")).otherwise(F.col("lefts") + F.col("mains"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), met.cast("int") - 1)))
+    dealt = dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    dealt = attach(dealt).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    edges = dealt.mapInArrow(_stars(make, group), "u long, v long")
+    return edges if found is None else edges.unionByName(found.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text) that has a doc_id.
 
@@ -233,23 +296,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = scratch.save(sketch.where("set_key is not null").groupBy("set_key", "signature", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
 
     # Keys that classes share. Of keys with the same members, one is enough.
-    by_key = Window.partitionBy("key")
     keys = classes.select("rep", "signature").mapInArrow(_keys, "rep long, key long")
-    shared = keys.select("rep", "key", F.count(F.lit(1)).over(by_key).alias("members"), F.bit_xor(F.xxhash64("rep")).over(by_key).alias("who"), F.min("rep").over(by_key).alias("least"))
-    shared = scratch.save(shared.where("members > 1"), "shared")
-    once = shared.groupBy("members", "who", "least").agg(F.min("key").alias("key")).select("key")
-    members = shared.join(once, "key", "left_semi").select("key", "rep", "members").join(classes.select("rep", "signature", "n_shingles"), "rep")
-    blocked = _blocked(members, "key", F.ceil(F.col("members") / KEY_BLOCK).cast("int")).select("key", "i", "j", "block", "rep", "signature", "n_shingles")
-    clusters = components(blocked.mapInArrow(_near_signatures(radius, percent), "u long, v long"), scratch, "clusters")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("n > 1")
+    once = scratch.save(shared.groupBy("n", "who", "least").agg(F.min("key").alias("key")).select("key"), "keys")
+    sized = classes.select("rep", "n_shingles")
+    members = scratch.save(keys.join(once, "key").join(sized, "rep").select("key", "rep", "n_shingles"), "members")
+    signed = classes.select("rep", "signature", "n_shingles")
+    near = _links(members, "key", lambda rows: rows.join(signed, "rep"), _near_signatures(radius, percent), KEY_BLOCK, 1 << 62, scratch, "near")
+    clusters = components(near, scratch, "clusters")
 
     # Full sets inside the clusters.
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct())
-    sized = inside.join(classes.select("rep", "n_shingles"), "rep")
-    blocks = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_BLOCK_SHINGLES)).cast("int").alias("cluster_blocks"))
-    placed = scratch.save(inside.join(blocks, "cluster"), "placed")
-    whole = docs.join(placed.select(F.col("rep").alias("doc_id"), "cluster", "cluster_blocks"), "doc_id").withColumnRenamed("doc_id", "rep")
-    blocked = _blocked(whole, "cluster", F.col("cluster_blocks")).select("cluster", "i", "j", "block", "rep", "text")
-    linked = components(blocked.mapInArrow(_near_sets(width, percent), "u long, v long"), scratch, "links")
+    members = scratch.save(inside.join(sized, "rep").select("cluster", "rep", "n_shingles"), "inside")
+    texts = docs.withColumnRenamed("doc_id", "rep")
+    equal = _links(members, "cluster", lambda rows: rows.join(texts, "rep"), _near_sets(width, percent), SET_BLOCK, SET_BLOCK_SHINGLES, scratch, "sets")
+    linked = components(equal, scratch, "links")
 
     rooted = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketch.join(rooted, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
