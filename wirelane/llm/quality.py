@@ -18,7 +18,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelane.llm.common import Scratch, shuffle_partitions
@@ -152,7 +152,7 @@ def threshold(good: np.ndarray, bad: np.ndarray) -> float:
 def top_k_cut(scores: DataFrame, k: int, scratch: Scratch) -> tuple[float, int] | None:
     """(key, doc_id) of the k-th row of scores (doc_id, key) by descending key, then ascending doc_id.
 
-    One range exchange of the scores; the rows of one range alone are ranked. None if k is 0.
+    One range exchange of the scores; the rows of one range alone are ranked, by an executor. None if k is 0.
     """
     if k < 1:
         return None
@@ -161,8 +161,9 @@ def top_k_cut(scores: DataFrame, k: int, scratch: Scratch) -> tuple[float, int]
     left = k
     for at, rows in sorted((r[0], r[1]) for r in ranges.groupBy("range").agg(F.count(F.lit(1))).collect()):
         if left <= rows:
-            own = ranges.where(F.col("range") == at).orderBy(F.desc("key"), F.asc("doc_id"))
-            row = own.select("key", "doc_id").offset(left - 1).first()
+            place = F.row_number().over(Window.partitionBy("range").orderBy(F.desc("key"), F.asc("doc_id")))
+            own = ranges.where(F.col("range") == at).select("key", "doc_id", place.alias("place"))
+            row = own.where(F.col("place") == left).select("key", "doc_id").first()
             return row[0], row[1]
         left -= rows
     return -np.inf, 2**63 - 1
