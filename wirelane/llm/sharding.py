@@ -18,11 +18,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch
+from wirelane.llm.common import Scratch, int_array
 
 SLOTS = 4096
 #: The bound of what is collected and broadcast: one small row per slot.
 MAX_SLOTS = 65536
+#: Records of one slot are ranked in parts of about so many.
+PART_ROWS = 50_000
 #: Counted for each record besides its text.
 ROW_BYTES = 8
 
@@ -126,20 +128,28 @@ def shard_records(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[Dat
 
     Returns (doc_id, size, text_crc32, virtual_slot, shard, place) and the map. size is the text's
     UTF-8 bytes plus ROW_BYTES; a null text has no bytes and the checksum of the empty string. place
-    counts the rows of a shard from 0 without a gap: slot by slot, by doc_id and checksum within
-    one. Rows with a null doc_id share a slot; repeated rows are each dealt. Other columns are not
+    counts the rows of a shard from 0 without a gap: slot by slot, part by part, by doc_id and checksum
+    within one. A null doc_id has the slot of its text's hash; repeated rows are each dealt, to one slot if
+    they share a doc_id. Texts may have any length. Other columns, also ones named like those returned, are not
     carried. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(docs["text"], F.lit(""))
-    records = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(docs["doc_id"], slots).alias("virtual_slot"))
+    records = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)), slots).alias("virtual_slot"))
     records = scratch.save(records, "records")  # few bytes a row: the texts are read once
     slot_map = SlotMap(spark, scratch, slots)
-    slot_map.create(slot_stats(records), shards)
+    stats = slot_stats(records)
+    slot_map.create(stats, shards)
     owner = slot_map.table().select(F.col("slot").alias("virtual_slot"), "shard", "first_place")
-    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    ranked = records.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    # As many parts as a slot's records need: no task ranks many more than PART_ROWS.
+    parts_of = int_array([-(-stats.get(slot, (0, 1))[1] // PART_ROWS) for slot in range(slots)])
+    records = records.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id", "text_crc32", "size"), F.element_at(parts_of, F.col("virtual_slot") + 1)).cast("int"))
+    key = ["virtual_slot", "part"]
+    before = F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = records.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key, F.coalesce(before, F.lit(0)).alias("before"))
+    order = Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size")
+    ranked = records.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(parts, key)
     # Bounded by MAX_SLOTS rows of 16 bytes.
-    placed = ranked.join(F.broadcast(owner), "virtual_slot").withColumn("place", F.col("first_place") + F.col("rank"))
+    placed = ranked.join(F.broadcast(owner), "virtual_slot").withColumn("place", F.col("first_place") + F.col("before") + F.col("rank"))
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "place"), slot_map
