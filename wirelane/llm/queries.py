@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelane.llm import ann, langid, line_dedup, minhash, packing, quality, quotes, segment, sharding, simhash
-from wirelane.llm.common import documents
+from wirelane.llm.common import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,12 +33,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+#: Documents whose fingerprints differ in so many bits at most are near; searched for every document whose id is divisible by NEAR_QUERIES.
+NEAR_BITS, NEAR_QUERIES = 3, 20
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.compare_with_edits(documents(spark, sf_dir))
+    """n_within: of the documents searched for, how many others are within NEAR_BITS bits, found by block tables; null for the rest."""
+    scratch = Scratch(spark, "simhash")
+    out = scratch.save(simhash.compare_with_edits(documents(spark, sf_dir)), "prints")
+    near = simhash.neighbours(out, F.col("doc_id") % NEAR_QUERIES == 0, NEAR_BITS)
+    out = out.join(near, ["hi", "lo"], "left")
     fingerprint = simhash.as_text(F.col("hi"), F.col("lo")).alias("fingerprint")
     edited = simhash.as_text(F.col("edited_hi"), F.col("edited_lo")).alias("edited_fingerprint")
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next")
+    n_within = F.when(F.col("doc_id") % NEAR_QUERIES == 0, F.col("n_within") - 1).alias("n_within")
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint, edited, "near_edited", "near_next", n_within)
 
 
 def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:

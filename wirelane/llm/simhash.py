@@ -124,16 +124,26 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "hi", "lo", "edited_hi", "edited_lo", near.alias("near_edited"), near_next.alias("near_next"))
 
 
+def _block(first: int, end: int) -> Column:
+    """The bits first to end of a fingerprint, counted from its most significant one, as a number."""
+    hi, lo = F.col("hi"), F.col("lo")
+    if end <= 64:
+        return F.shiftrightunsigned(hi, 64 - end).bitwiseAND(F.lit((1 << end - first) - 1))
+    if first >= 64:
+        return F.shiftrightunsigned(lo, 128 - end).bitwiseAND(F.lit((1 << end - first) - 1))
+    high = hi.bitwiseAND(F.lit((1 << 64 - first) - 1))
+    return F.shiftleft(high, end - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - end))
+
+
 def block_tables(prints: DataFrame, radius: int) -> DataFrame:
-    """Each distinct fingerprint (hi, lo) once for each of radius + 1 tables, under the bits that lead there.
+    """Each distinct fingerprint (hi, lo) once for each of the tables, under the bits that lead there.
 
     Table t holds the fingerprints permuted so that block t stands first. Of two within the radius at
-    least one block is equal, so they meet in the table that it leads.
+    least one of radius + 1 blocks is equal, so they meet in the table that it leads.
     """
-    blocks = radius + 1
-    bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
+    blocks = max(radius + 1, 3)  # of 43 bits at most, so that each is a number
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    parts = F.array(*(F.substring(bits, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)))
+    parts = F.array(*(_block(a, b) for a, b in zip(edges, edges[1:], strict=False)))
     return prints.select("hi", "lo").distinct().withColumn("blocks", parts).select("hi", "lo", "blocks", F.posexplode("blocks").alias("table", "lead"))
 
 
@@ -150,3 +160,13 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFra
     agree = F.arrays_zip("blocks", "q_blocks")
     first = F.size(F.filter(F.slice(agree, F.lit(1), F.col("table")), lambda x: x["blocks"] == x["q_blocks"])) == 0
     return pairs.where(first).withColumn("distance", distance).where(F.col("distance") <= radius).select("q_hi", "q_lo", "hi", "lo", "distance")
+
+
+def neighbours(prints: DataFrame, is_query: Column, radius: int) -> DataFrame:
+    """(hi, lo, n_within): for the fingerprint of each row of prints (doc_id, hi, lo) that is a query, how many rows have one within radius, itself included.
+
+    Equal fingerprints are one class with a count, so copies meet nowhere.
+    """
+    classes = prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
+    found = within_radius(prints.where(is_query), classes, radius).join(classes, ["hi", "lo"])
+    return found.groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("n").alias("n_within"))
