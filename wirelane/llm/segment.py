@@ -38,7 +38,7 @@ SAMPLES = 4
 #: Log weights are multiplied by this: below 1 it brings out rarer segmentations.
 ALPHA = 0.3
 #: Remembered edges of a worker, of about 30 bytes; forgotten beyond.
-CACHE_EDGES = 6_000_000
+CACHE_EDGES = 4_000_000
 #: Bits of a counter for the steps of a unit and for its number.
 STEP_BITS, UNIT_BITS = 24, 24
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -186,19 +186,21 @@ class Sampler:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.first = np.zeros(2, np.int64)
+        self.upto, self.log = np.zeros(0), np.zeros(0)  # cumulative probability in the state; beyond 1 at its last edge
+        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.forget()
 
     def forget(self) -> None:
+        """Begin anew in the same arrays."""
         self.start: dict[str, int] = {}
         self.states, self.size = 1, 0
-        self.first = np.zeros(2, np.int64)
-        self.upto, self.log = np.zeros(0), np.zeros(0)  # cumulative probability in the state; beyond 1 at its last edge
-        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first[:2] = 0
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
         if at + len(values) > len(held):
-            held = np.concatenate([held[:at], np.zeros(max(at, 2 * len(values)), held.dtype)])
+            held = np.concatenate([held[:at], np.zeros(len(values) + max(at // 2, 100_000), held.dtype)])
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
@@ -387,38 +389,67 @@ def sample_segmentations(rows: DataFrame, model_path: str, keys: list[str], k: i
     return source.mapInArrow(_rows(model, k, keys), f"{kinds}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
-def _processor(model):
-    store = worker_store()
-    name = ("processor", zlib.crc32(model.value))
-    if name not in store:
+class Decoder:
+    """The bytes of all pieces in one array. Control pieces are empty, the unknown one is U+2047 between spaces."""
+
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        store[name] = sentencepiece.SentencePieceProcessor(model_proto=model.value)
+        p = sentencepiece.SentencePieceProcessor(model_proto=model)
+        pieces = []
+        for i in range(p.get_piece_size()):
+            if p.is_byte(i):
+                pieces.append(bytes([int(p.id_to_piece(i)[1:-1], 16)]))
+            else:
+                pieces.append(b"" if p.is_control(i) else " \u2047 ".encode() if p.is_unknown(i) else p.id_to_piece(i).replace(SPACE, " ").encode())
+        self.sizes = np.array([len(x) for x in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """What the ids stand for, less the space that every text begins with."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or not ends[-1]:
+            return b""
+        raw = self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+        return raw[1:] if raw[:1] == b" " else raw
+
+
+def _decoder(model) -> Decoder:
+    store = worker_store()
+    name = ("decoder", zlib.crc32(model.value))
+    if name not in store:
+        store[name] = Decoder(model.value)
     return store[name]
 
 
+def _arrays(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """The values of each list of integers."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        yield flat[a:b] if column[i].is_valid else None
+
+
 def decode(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
     """The text of a column of id arrays: pieces joined, byte pieces as UTF-8, the first space dropped. Null ids give null."""
     model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
     def run(column: pa.Array) -> pa.Array:
-        decode_one = _processor(model).decode
-        return pa.array([None if i is None else decode_one(i) if len(i) else "" for i in column.to_pylist()], pa.string())
+        decoder = _decoder(model)
+        return pa.array([None if i is None else decoder(i).decode("utf-8", "replace") for i in _arrays(column)], pa.string())
 
     return F.arrow_udf(run, "string")(rows[ids])
 
 
 def digests(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
-    """(n_pieces, ids_crc32, decoded_sha256) of a column of id arrays: the checksum is of little-endian 32-bit ids, the hash of what they decode to."""
+    """(n_pieces, ids_crc32, decoded_sha256) of a column of id arrays, none null: the checksum is of little-endian 32-bit ids, the hash of what they decode to."""
     model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
 
-    def run(column: pa.ListArray) -> pa.Array:
-        decode_one = _processor(model).decode
-        out = []
-        for one in column:
-            own = one.values.to_numpy()
-            text = decode_one(own.tolist()) if len(own) else ""
-            out.append({"n_pieces": len(own), "ids_crc32": zlib.crc32(own.astype("<u4").tobytes()), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()})
-        return pa.array(out, pa.struct([("n_pieces", pa.int32()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())]))
+    def run(column: pa.Array) -> pa.Array:
+        decoder, own = _decoder(model), list(_arrays(column))
+        sizes, sums = [len(i) for i in own], [zlib.crc32(i.astype("<u4").tobytes()) for i in own]
+        hashes = [hashlib.sha256(decoder(i)).hexdigest() for i in own]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), pa.array(hashes)], ["n_pieces", "ids_crc32", "decoded_sha256"])
 
     return F.arrow_udf(run, "n_pieces int, ids_crc32 long, decoded_sha256 string")(rows[ids])
