@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch, int_array, slices, worker_store
+from wirelane.llm.common import Scratch, int_array, shuffle_partitions, slices, worker_store
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces of one length are numbered in parts of about so many rows.
+#: Pieces of one length are numbered in parts of about so many rows at most.
 PART_ROWS = 50_000
 CACHE_WORDS = 500_000
 
@@ -221,8 +221,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     steps = sorted(plan(counts, capacity))
     columns = np.array(steps, np.int64).reshape(-1, 5).T
     known = spark.sparkContext.broadcast((columns[0], columns[1], columns[3], columns[4]))
-    # As many parts as a length's pieces need, so that no task numbers many more than PART_ROWS.
-    parts_of = int_array([-(-counts.get(n, 1) // PART_ROWS) for n in range(capacity + 1)])
+    # As many parts as a length's pieces need, so that no task numbers many more than its share of all, or PART_ROWS.
+    share = min(PART_ROWS, max(1, sum(counts.values()) // shuffle_partitions(spark)))
+    parts_of = int_array([-(-counts.get(n, 1) // share) for n in range(capacity + 1)])
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts_of, F.col("length").cast("int") + 1)).cast("int")
     pieces = pieces.withColumn("part", part)
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
