@@ -37,7 +37,7 @@ WIDTH = 5
 PERCENT = 85
 SYMBOLS, CHUNKS, RADIUS = 90, 18, 35
 #: Members of a block; groups of more are compared block by block.
-KEY_BLOCK, SET_BLOCK = 1024, 512
+KEY_BLOCK, SET_BLOCK = 512, 128
 #: Shingles of a block of full sets.
 SET_BLOCK_SHINGLES = 500_000
 #: Members of a crowded group that all others are compared with first.
