@@ -30,11 +30,12 @@ def test_sources_agree(spark, folder):
     pcap.register(spark)
     whole = spark.createDataFrame([], "file string")
     whole = pcap.read_captures(spark, folder)
-    split = spark.read.format("pcap").option("splitBytes", 200).load(folder)
+    split = pcap.scan_captures(spark, folder, 200)
+    source = spark.read.format("pcap").load(folder)
     columns = [c for c in whole.columns if c != "file"]
     key = F.regexp_extract("file", "[^/]+$", 0).alias("file")
     assert sorted(whole.select(key, *columns).collect()) == sorted(split.select(key, *columns).collect())
-    assert split.rdd.getNumPartitions() > 4
+    assert sorted(whole.select(key, *columns).collect()) == sorted(source.select(key, *columns).collect())
     last = whole.where(F.col("file").endswith("b.pcapng") & (F.col("packet_id") == len(FRAMES))).first()
     assert (last.link_type, last.interface_id, last.ts_raw, last.payload) == (101, 1, 7, b"x")
 
@@ -54,6 +55,30 @@ def test_all_magics_and_broken_files():
     assert pcap.packet_options(pcap.write_pcapng([(0, 1, b"abc")], options=[(1, b"note"), (2, b"xy")])[48:]) == [(1, b"note"), (2, b"xy")] and block
 
 
+def test_ranges_that_begin_in_a_capture_inside_a_packet(spark, tmp_path):
+    """Payloads that hold whole captures, sections of both byte orders, and files of one huge block."""
+    inner = pcap.write_pcapng([(0, i, b"inner%d" % i) for i in range(60)])
+    (tmp_path / "a.pcapng").write_bytes(pcap.write_pcapng([(0, 1, b"x"), (0, 2, inner), (0, 3, b"y")]) + pcap.write_pcapng([(1, 4, inner), (0, 5, b"z")], links=[7, 8], order=">"))
+    (tmp_path / "b.pcap").write_bytes(pcap.write_pcap([(1, 2, pcap.write_pcap([(1, i, b"abc") for i in range(80)])[24:]), (3, 4, b"after")], order=">"))
+    (tmp_path / "empty.pcap").write_bytes(b"")
+    (tmp_path / "head.pcap").write_bytes(pcap.write_pcap([]))
+    rows = lambda df: sorted(df.withColumn("file", F.regexp_extract("file", "[^/]+$", 0)).collect())
+    for size in (37, 100, 1000):
+        assert rows(pcap.scan_captures(spark, str(tmp_path), size)) == rows(pcap.read_captures(spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize(("container", "order"), [("pcap", "little"), ("pcapng", "big")])
+def test_written_captures_are_read(spark, tmp_path, container, order):
+    pcap.register(spark)
+    p = packets(spark, FRAMES).withColumn("interface_id", (F.col("packet_id") % 3).cast("long"))
+    writer = p.repartition(3).write.format("pcap").option("container", container).option("byteOrder", order)
+    writer.mode("append").save(str(tmp_path / "c"))
+    writer.mode("overwrite").save(str(tmp_path / "c"))
+    columns = ["ts_raw", "payload", "caplen", *(["interface_id"] if container == "pcapng" else [])]
+    assert sorted(spark.read.format("pcap").load(f"{tmp_path}/c/*.pcap").select(*columns).collect()) == sorted(p.select(*columns).collect())
+    assert len(list((tmp_path / "c").glob("*"))) == 3
+
+
 def test_stream_is_batch(spark, folder):
     pcap.register(spark)
     path = folder + "/a.pcap"
@@ -244,6 +269,7 @@ def test_sinks(spark, folder, tmp_path):
     assert c.table("udp").count() == sum(b.num_rows for b in batches) and not c.layers("eth").is_cached
     written = ocf.dump_tables({"udp": c.table("udp"), "tcp": c.table("tcp"), "eth": c.table("eth")}, str(tmp_path / "x"))
     assert [w.rsplit("_", 1)[1] for w in written] == ["udp.avro", "eth.avro"]
+    assert spark.read.format("avro_ocf").load(written[0]).columns == c.table("udp").columns
     back = spark.read.format("avro_ocf").schema(c.table("udp").schema).load(written[0])
     assert sorted(back.collect()) == sorted(c.table("udp").collect())
     assert c.join_packets("udp").count() == c.table("udp").count()

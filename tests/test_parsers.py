@@ -229,3 +229,19 @@ GRAMMARS = [p.many0(p.length_value(p.u8, p.many0(p.alt(p.be_u16, p.map_(p.u8, la
 def test_any_bytes_end(data, which, live):
     got = GRAMMARS[which](data, live)
     assert isinstance(got, p.Error) or data.endswith(got[1])
+
+
+REGULAR = [p.preceded(p.multispace0, p.take_till1(" \t\r\n")), p.tag("ab"), p.one_of("ab"), p.take(3), p.pair(p.take_while_m_n(1, 2, "a"), p.take_while("b")), p.separated_pair(p.digit1, p.tag("-"), p.alpha0), p.seq(p.take_while("a"), p.take_while("a"))]
+
+
+@pytest.mark.parametrize("case", range(len(REGULAR)))
+@settings(max_examples=200, deadline=None)
+@given(data=st.binary(max_size=12) | st.text("ab1- \n", max_size=12).map(str.encode))
+def test_patterns_take_what_parsers_take(case, data):
+    """Repetitions of regular items, matched by a pattern, give what the parsers one by one give."""
+    item = REGULAR[case]
+    assert p.regular(item)
+    plain = p.Parser(item.run, item.sql)
+    for make in (p.many0, lambda x: p.many_m_n(1, 2, x), lambda x: p.fold_many0(x, lambda: 0, lambda n, _: n + 1, "bigint")):
+        assert make(item)(data) == make(plain)(data)
+        assert make(item)(data, streaming=True) == make(plain)(data, streaming=True)

@@ -228,18 +228,33 @@ def ocf_block(rows: list[bytes], sync: bytes) -> bytes:
     return varint(len(rows)) + varint(len(data)) + data + sync
 
 
-def read_ocf(data: bytes) -> Iterator[Any]:
-    """The records of an Avro object container file with the codec `null`."""
+def _ocf_meta(data: bytes) -> tuple[dict[str, bytes], int]:
+    """The metadata of a container's header and the place after it; IndexError if the header is not whole."""
     if data[:4] != MAGIC:
         raise ValueError("no Avro object container")
     meta, at = {}, 4
     while True:
         n, at = read_varint(data, at)
+        if n < 0:
+            _, at = read_varint(data, at)
         if not n:
             break
         for _ in range(abs(n)):
             key, at = read_avro("string", data, at)
             meta[key], at = read_avro("bytes", data, at)
+    if at + 16 > len(data):
+        raise IndexError("the header is not whole")
+    return meta, at
+
+
+def ocf_schema(data: bytes) -> Any:
+    """The schema in a container's header, parsed."""
+    return json.loads(_ocf_meta(data)[0]["avro.schema"])
+
+
+def read_ocf(data: bytes) -> Iterator[Any]:
+    """The records of an Avro object container file with the codec `null`."""
+    meta, at = _ocf_meta(data)
     if meta.get("avro.codec", b"null") != b"null":
         raise ValueError("only the codec null is read")
     schema, sync = json.loads(meta["avro.schema"]), data[at : at + 16]

@@ -377,7 +377,7 @@ class View:
 
 def _unsigned(x: Column) -> Column:
     """A long's bits as an unsigned number."""
-    return (x.cast("decimal(20,0)") + F.when(x < 0, F.lit(1 << 64).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("decimal(20,0)")
+    return (x.cast("decimal(20,0)") + F.when(x < 0, F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))).cast("decimal(20,0)")
 
 
 def _signed(value: Column, bits: int, kind: T.DataType) -> Column:

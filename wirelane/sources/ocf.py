@@ -7,19 +7,18 @@ committed, so a task that is run again leaves no part of a file behind.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wirelane.functions import schemas
 from wirelane.sources.pcap import _filesystem, _paths
+from wirelane.sources.sink import FileWriter
 
 ROWS_A_BLOCK = 4096
 
@@ -61,50 +60,52 @@ def encode(schema: Any, value: Any) -> bytes:
     return schemas.avro_bytes(value if isinstance(value, bytes) else str(value).encode())
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, temporary: str, name: str):
-        self.temporary, self.name = temporary, name
+class OcfWriter(FileWriter):
+    suffix = "avro"
 
-
-class OcfWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        super().__init__(options, overwrite)
         self.schema = json.dumps(avro_type(schema, options.get("recordname", "row")), separators=(",", ":"))
-        self.job = uuid.uuid4().hex
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        store, folder = _filesystem(self.path)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():05d}-{self.job}.avro"
-        temporary = f"{folder}/_temporary-{self.job}/{name}-{context.taskAttemptId()}"
-        store.create_dir(os.path.dirname(temporary), recursive=True)
-        schema, sync, any_rows = json.loads(self.schema), uuid.uuid4().bytes, False
-        with store.open_output_stream(temporary) as out:
-            out.write(schemas.ocf_header(self.schema, sync))
-            for batch in iterator:
-                for at in range(0, batch.num_rows, ROWS_A_BLOCK):
-                    rows = [encode(schema, r) for r in batch.slice(at, ROWS_A_BLOCK).to_pylist()]
-                    out.write(schemas.ocf_block(rows, sync))
-                    any_rows = True
-        return Written(temporary, name if any_rows else "")
-
-    def _clean(self) -> None:
-        store, folder = _filesystem(self.path)
-        store.delete_dir(f"{folder}/_temporary-{self.job}")
-
-    def commit(self, messages: list) -> None:
-        store, folder = _filesystem(self.path)
-        store.create_dir(folder, recursive=True)
-        if self.overwrite:
-            for old in _paths(self.path):
-                store.delete_file(_filesystem(old)[1])
-        for m in messages:
-            if m is not None and m.name:
-                store.move(m.temporary, f"{folder}/{m.name}")
-        self._clean()
-
-    def abort(self, messages: list) -> None:
-        self._clean()
+
+    def chunks(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        schema, sync, head = json.loads(self.schema), uuid.uuid4().bytes, True
+        for batch in iterator:
+            for at in range(0, batch.num_rows, ROWS_A_BLOCK):
+                rows = [encode(schema, r) for r in batch.slice(at, ROWS_A_BLOCK).to_pylist()]
+                yield (schemas.ocf_header(self.schema, sync) if head else b"") + schemas.ocf_block(rows, sync)
+                head = False
+
+
+def spark_type(kind: Any) -> T.DataType:
+    """The Spark type of an Avro one, for files of any writer."""
+    simple = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "string": T.StringType(), "bytes": T.BinaryType(), "fixed": T.BinaryType()}
+    if isinstance(kind, list):
+        return spark_type(next(k for k in kind if k != "null"))
+    name = kind["type"] if isinstance(kind, dict) else kind
+    if name == "record":
+        return T.StructType([T.StructField(f["name"], spark_type(f["type"]), isinstance(f["type"], list)) for f in kind["fields"]])
+    if name == "array":
+        return T.ArrayType(spark_type(kind["items"]), isinstance(kind["items"], list))
+    return simple[name]
+
+
+def _schema_of(path: str) -> T.StructType:
+    """The schema that the header of the first file under a path holds."""
+    files = _paths(path)
+    if not files:
+        raise ValueError(f"no files under {path}: give the schema with spark.read.schema()")
+    store, inner = _filesystem(files[0])
+    with store.open_input_file(inner) as f:
+        size = 1 << 16
+        while True:
+            f.seek(0)
+            data = f.read(size)
+            try:
+                return spark_type(schemas.ocf_schema(data))
+            except IndexError:  # the header is longer
+                if len(data) < size:
+                    raise
+                size *= 4
 
 
 class File(InputPartition):
@@ -129,14 +130,14 @@ class OcfReader(DataSourceReader):
 
 
 class Ocf(DataSource):
-    """Options: recordName. To read, give the schema."""
+    """Options: recordName. A schema that is not given is that of the first file's header."""
 
     @classmethod
     def name(cls) -> str:
         return "avro_ocf"
 
     def schema(self) -> T.StructType:
-        raise ValueError("give the schema with spark.read.schema()")
+        return _schema_of(self.options["path"])
 
     def reader(self, schema: T.StructType) -> OcfReader:
         return OcfReader(self.options, schema)

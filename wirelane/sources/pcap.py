@@ -1,8 +1,9 @@
-"""Packet captures as DataFrames: classic pcap and pcapng, in batch and as a stream.
+"""Packet captures as DataFrames: classic pcap and pcapng, in batch and as a stream, read and written.
 
 read_captures() takes whole files through Spark's binaryFile source, so it reaches every store that
-Spark does, a file a task. The `pcap` data source splits large files instead: the driver scans
-block headers alone and plans byte ranges with the packet numbers and interfaces at their start.
+Spark does, a file a task. scan_captures() cuts large files into byte ranges by their sizes alone: each task
+finds the first block of its range, and the ranges' packets are counted and chained before they are
+read. The `pcap` data source reads a file a task in windows, follows a growing capture, and writes captures.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from wirelane.operators.layout import Layout, be_u16, be_u32
+from wirelane.sources.sink import FileWriter
 
 # Block types, magic numbers.
 SECTION, INTERFACE, SIMPLE_PACKET, ENHANCED_PACKET = 0x0A0D0D0A, 1, 3, 6
@@ -182,20 +186,37 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 # The data source
 
 
+#: Names of stores that Spark and Arrow call differently.
+_ALIASES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    if path.startswith("dbfs:/"):
+        return fs.LocalFileSystem(), "/dbfs/" + path.removeprefix("dbfs:").lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{_ALIASES.get(scheme, scheme)}://{rest}")
 
 
 def _paths(path: str) -> list[str]:
+    """The files under a path, of a folder and its folders, or that match its `*`, `?` and `[`."""
+    from fnmatch import fnmatchcase
+
     from pyarrow import fs
 
     store, inner = _filesystem(path)
-    if store.get_file_info(inner).type != fs.FileType.Directory:
-        return [path]
     head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    return sorted(head + f.path for f in store.get_file_info(fs.FileSelector(inner)) if f.is_file and not f.base_name.startswith((".", "_")))
+    pattern = inner if any(c in inner for c in "*?[") else None
+    if pattern:
+        inner = pattern[: min(pattern.index(c) for c in "*?[" if c in pattern)].rpartition("/")[0] or "/"
+    if not pattern and store.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    found = store.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
+    hidden = lambda f: any(x[:1] in "._" for x in f.path[len(inner) :].split("/") if x)
+    return sorted(head + f.path for f in found if f.is_file and not hidden(f) and (pattern is None or fnmatchcase(f.path, pattern)))
 
 
 class _Open:
@@ -214,65 +235,225 @@ class _Open:
         return self.held[at - self.start : at - self.start + n]
 
 
+_START = {"offset": 0, "kind": None, "order": "<", "links": [], "packets": 0}
+
+
 class Split(InputPartition):
-    def __init__(self, path: str, state: dict, end: int):
+    def __init__(self, path: str, state: dict, end: int | None):
         self.path, self.state, self.end = path, state, end
 
+    def rows(self, partial: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.path:
+            read = _Open(self.path)
+            yield from _batches(Scanner(read, read.size, dict(self.state)).blocks(end=self.end, partial=partial), {"file": self.path})
+
 
 class PcapReader(DataSourceReader):
+    """A file a task, read in windows: nothing of a file is read to plan."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.bytes = int(options.get("splitbytes", 64 << 20))
 
     def partitions(self) -> list[Split]:
-        out = []
-        for path in _paths(self.path):
-            read = _Open(path, 1 << 16)
-            scanner = Scanner(read, read.size)
-            start = None
-            for _ in scanner.blocks(payloads=False):
-                if start is None:
-                    start = {"offset": 0, "kind": None, "order": "<", "links": [], "packets": 0}
-                if scanner.state["offset"] - start["offset"] >= self.bytes:
-                    out.append(Split(path, start, scanner.state["offset"]))
-                    start = dict(scanner.state)
-            if start is not None and start["offset"] < scanner.state["offset"]:
-                out.append(Split(path, start, scanner.state["offset"]))
-        return out or [Split("", {}, 0)]
+        return [Split(path, _START, None) for path in _paths(self.path)] or [Split("", {}, 0)]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        if partition.path:
-            read = _Open(partition.path)
-            scanner = Scanner(read, read.size, dict(partition.state))
-            yield from _batches(scanner.blocks(end=partition.end), {"file": partition.path})
+        yield from partition.rows()
+
 
+class PcapStream(DataSourceStreamReader):
+    """Follows one growing capture. An offset is the scanner's state; a block is never split between batches.
 
-class PcapStream(SimpleDataSourceStreamReader):
-    """Follows one growing capture. An offset is the scanner's state; a block is never split between batches."""
+    The driver walks the headers of new blocks to know where the whole ones end; packets are read by tasks.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.most = int(options.get("maxbytespertrigger", 64 << 20))
+        self.bytes = int(options.get("splitbytes", 64 << 20))
+        self.now, self.cuts = dict(_START), [dict(_START)]
 
     def initialOffset(self) -> dict:
-        return {"offset": 0, "kind": None, "order": "<", "links": [], "packets": 0}
+        return dict(_START)
+
+    def latestOffset(self) -> dict:
+        read = _Open(self.path, 1 << 16)
+        scanner = Scanner(read, read.size, dict(self.now))
+        for _ in scanner.blocks(payloads=False, partial=True):
+            if scanner.state["offset"] - self.cuts[-1]["offset"] >= self.bytes:
+                self.cuts.append(dict(scanner.state))
+        self.now = dict(scanner.state)
+        return self.now
+
+    def partitions(self, start: dict, end: dict) -> list[Split]:
+        inner = [c for c in self.cuts if start["offset"] < c["offset"] < end["offset"]]
+        starts = [start, *inner]
+        return [Split(self.path, a, b["offset"]) for a, b in zip(starts, [*inner, end], strict=True)]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        yield from partition.rows(partial=True)
+
+    def commit(self, end: dict) -> None:
+        self.cuts = [c for c in self.cuts if c["offset"] >= end["offset"]] or [dict(end)]
+
+
+# Large files in ranges
 
-    def _rows(self, start: dict, end: int | None) -> tuple[list[tuple], dict]:
-        read = _Open(self.path)
-        scanner = Scanner(read, read.size, dict(start))
-        rows = [(self.path, *r) for r in scanner.blocks(end=start["offset"] + self.most if end is None else end, partial=True)]
-        return rows, scanner.state
+#: Blocks in a row that must be sound where a range looks for its first one.
+SOUND = 4
+_PART = "path string, start long, end long, first long, stop long, packets long, kind string, order string, reset boolean, links array<int>"
+_RANGE = "path string, offset long, end long, kind string, order string, links array<int>, packets long"
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, state = self._rows(start, None)
-        return iter(rows), state
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(start, end["offset"])[0])
+def _container(read, size: int) -> dict:
+    scanner = Scanner(read, size)
+    scanner._open()
+    return scanner.state
+
+
+def _sound(read, size: int, kind: str, order: str, at: int) -> bool:
+    """Whether blocks begin at a place: a few that follow each other, or all up to the end of the file."""
+    for _ in range(SOUND):
+        if at == size:
+            return True
+        if kind == "pcap":
+            head = read(at, 16)
+            if len(head) < 16:
+                return False
+            _, fraction, caplen, origlen = struct.unpack(order + "IIII", head)
+            if fraction >= 10**9 or caplen > origlen or caplen > 1 << 26:
+                return False
+            at += 16 + caplen
+        else:
+            head = read(at, 8)
+            if len(head) < 8:
+                return False
+            length = struct.unpack(order + "I", head[4:])[0]
+            if length < 12 or length % 4 or at + length > size or read(at + length - 4, 4) != head[4:]:
+                return False
+            at += length
+        if at > size:
+            return False
+    return True
+
+
+def _first_block(read, size: int, state: dict, start: int, end: int) -> tuple[int, str] | None:
+    """The first place from start at which blocks seem to begin, and their byte order."""
+    kind = state["kind"]
+    orders = state["order"] if kind == "pcap" else "<>"
+    at = start if kind == "pcap" else start + -start % 4
+    while at < end:
+        for order in orders:
+            if _sound(read, size, kind, order, at):
+                return at, order
+        at += 1 if kind == "pcap" else 4
+    return None
+
+
+def _walk(read, size: int, state: dict, end: int) -> dict:
+    """The scanner's state where the blocks that begin before end are over, with the packets from 0, and whether a section began."""
+    state = dict(state, packets=0)
+    scanner, before = Scanner(read, size, state), len(state["links"])
+    section = False
+    while scanner.state["offset"] < min(end, size):
+        section |= state["kind"] == "pcapng" and read(scanner.state["offset"], 4) == struct.pack("<I", SECTION)
+        if (scanner._pcap if state["kind"] == "pcap" else scanner._pcapng)(False, False) is None:
+            break
+    links = scanner.state["links"]
+    return dict(scanner.state, reset=section, links=links if section else links[before:])
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+            read = _Open(path)
+            state = _container(read, read.size)
+            if state["kind"] is None:
+                raise CaptureError("a capture has at least its header")
+            # A range that begins inside the file's header begins with its first block.
+            found = (state["offset"], state["order"]) if start <= state["offset"] else _first_block(read, read.size, state, start, end)
+            row = {"path": path, "start": start, "end": end, "first": -1, "stop": -1, "packets": 0, "kind": state["kind"], "order": state["order"], "reset": False, "links": []}
+            if found:
+                links = state["links"] if state["kind"] == "pcap" else []
+                try:
+                    got = _walk(read, read.size, {"offset": found[0], "kind": state["kind"], "order": found[1], "links": links, "packets": 0}, end)
+                    row |= {"first": found[0], "stop": got["offset"], "packets": got["packets"], "order": got["order"], "reset": got["reset"], "links": got["links"]}
+                except CaptureError:
+                    pass  # not blocks after all, or a broken file: the chain of ranges tells
+            yield pa.RecordBatch.from_pylist([row], _arrow_schema(_PART))
+
+
+def _chain(parts: pa.Table) -> pa.Table:
+    """The ranges of one file with the state at their start; a range that did not find the block that the one before ends with is walked again."""
+    out, read, state = [], None, None
+    for part in sorted(parts.to_pylist(), key=lambda r: r["start"]):
+        if state is None:
+            read = _Open(part["path"])
+            state = _container(read, read.size)
+        if state["offset"] >= part["end"]:
+            continue
+        out.append({"path": part["path"], "offset": state["offset"], "end": part["end"], "kind": state["kind"], "order": state["order"], "links": state["links"], "packets": state["packets"]})
+        if part["first"] != state["offset"]:
+            got = _walk(read, read.size, state, part["end"])
+            part = dict(part, stop=got["offset"], packets=got["packets"], order=got["order"], reset=got["reset"], links=got["links"])
+        # A classic capture has one link type; interfaces are those since the last section began.
+        own = state["links"] if part["kind"] == "pcap" else part["links"] if part["reset"] else state["links"] + part["links"]
+        state = dict(state, offset=part["stop"], order=part["order"], links=own, packets=state["packets"] + part["packets"])
+    return pa.Table.from_pylist(out, _arrow_schema(_RANGE))
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            path, end = row.pop("path"), row.pop("end")
+            yield from Split(path, row, end).rows()
+
+
+def _arrow_schema(sql: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in sql.split(", ")])
+
+
+def scan_captures(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of read_captures(), of files of any size: each is read by as many tasks as it has ranges of split_bytes.
+
+    The driver sees names and sizes. What a file's ranges tell of themselves, a row each, is chained by one task a file.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+    parts = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))))
+    parts = parts.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("end")).repartition("path", "start")
+    ranges = parts.mapInArrow(_probe, _PART).groupBy("path").applyInArrow(_chain, _RANGE)
+    return ranges.repartition("path", "offset").mapInArrow(_read_ranges, "file string, " + SCHEMA)
+
+
+class PcapWriter(FileWriter):
+    """A capture a task, of rows with ts_raw and payload; pcapng also takes interface_id. All packets are of the option linkType."""
+
+    suffix = "pcap"
+
+    def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
+        super().__init__(options, overwrite)
+        self.container, self.link = options.get("container", "pcap"), int(options.get("linktype", ETHERNET))
+        self.order = ">" if options.get("byteorder") == "big" else "<"
+        self.named = "interface_id" in schema.names
+
+    def chunks(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        head = True
+        for batch in iterator:
+            stamps, payloads = batch.column("ts_raw").to_pylist(), [p or b"" for p in batch.column("payload").to_pylist()]
+            if not stamps:
+                continue
+            if self.container == "pcap":
+                whole = write_pcap([(ts >> 32 & 0xFFFFFFFF, ts & 0xFFFFFFFF, p) for ts, p in zip(stamps, payloads, strict=True)], self.link, self.order)
+                yield whole if head else whole[24:]
+            else:
+                faces = batch.column("interface_id").to_pylist() if self.named else [0] * len(stamps)
+                links = [self.link] * (max(faces) + 1)
+                yield write_pcapng([(i, ts & (1 << 64) - 1, p) for i, ts, p in zip(faces, stamps, payloads, strict=True)], links, self.order)
+            head = False
 
 
 class Pcap(DataSource):
-    """spark.read.format("pcap").load(path); options: splitBytes, maxBytesPerTrigger."""
+    """spark.read.format("pcap").load(path), spark.readStream (option splitBytes), and df.write (options container, byteOrder, linkType)."""
 
     @classmethod
     def name(cls) -> str:
@@ -284,9 +465,12 @@ class Pcap(DataSource):
     def reader(self, schema) -> PcapReader:
         return PcapReader(self.options)
 
-    def simpleStreamReader(self, schema) -> PcapStream:
+    def streamReader(self, schema) -> PcapStream:
         return PcapStream(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> PcapWriter:
+        return PcapWriter(self.options, schema, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Pcap)
