@@ -67,6 +67,16 @@ def parse(column: Column, p: Parser, streaming: bool = False) -> Column:
     return F.arrow_udf(run, result)(column.cast("binary"))
 
 
+def rendered(column: Column, p: Parser) -> Column:
+    """The error of each buffer as a message with contexts and the bytes around its place; null where the parser succeeds."""
+
+    def run(buffers: pa.Array) -> pa.Array:
+        found = (None if b is None else (p.run(Source(b), 0, len(b)), b) for b in buffers.to_pylist())
+        return pa.array([f[0].render(f[1]) if f and isinstance(f[0], Error) else None for f in found], pa.string())
+
+    return F.arrow_udf(run, "string")(column.cast("binary"))
+
+
 def parse_column(df: DataFrame, column: str, p: Parser, name: str = "parsed", streaming: bool = False) -> DataFrame:
     return df.withColumn(name, parse(df[column], p, streaming))
 
@@ -86,7 +96,10 @@ class Lowered:
 
 
 def lower(p: Parser, buf: Column, pos: Column | None = None, end: Column | None = None) -> Lowered:
-    """The parser as expressions over a binary column: JVM-side, pruned and fused by Catalyst. Raises NotLowered."""
+    """The parser as expressions over a binary column: JVM-side, pruned and fused by Catalyst. Raises NotLowered.
+
+    A place after a run of unknown length is an expression that all later parts hold: for a few such runs, not for long grammars.
+    """
     pos = F.lit(0) if pos is None else pos
     end = F.octet_length(buf) if end is None else end
     kind, *args = p.node

@@ -33,13 +33,22 @@ def query(sql: str = "") -> Callable:
     return add
 
 
+#: Tables of fewer bytes are not worth dealing out.
+SPREAD_BYTES = 1 << 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt to all cores if it has fewer splits than there are cores: a row's decoding costs far more than the row. Large tables are left as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan, cores = df._jdf.queryExecution(), spark.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES or plan.toRdd().getNumPartitions() >= 4 * cores:
+        return df
+    return df.repartition(cores, df.columns[0])
 
 
 def be(value: Column, n: int) -> Column:
     """The low n bytes of an integer, most significant first."""
-    return F.unhex(F.right(F.lpad(F.hex(value.cast("long")), 16, "0"), F.lit(2 * n)))
+    return Layout("bytes", [("x", uint(8 * n))]).encode({"x": value})
 
 
 def blob(text: Column) -> Column:
@@ -50,14 +59,22 @@ def zeros(n: Column) -> Column:
     return F.unhex(F.repeat(F.lit("00"), n.cast("int")))
 
 
-def settled(packets: DataFrame) -> DataFrame:
-    """The packets with their payload made once: not again in each expression that reads it."""
-    return packets.withColumn("payload", F.explode(F.array("payload")))
+_LINK = Layout("Link", [("dst", layout.be_u48), ("src", layout.be_u48), ("ethertype", layout.be_u16)])
 
 
 def frame(key: Column, ethertype: Column, body: Column) -> Column:
     """An Ethernet frame whose addresses hold a key."""
-    return F.concat(be(key, 6), be(key + 1, 6), be(ethertype, 2), body)
+    return F.concat(_LINK.encode({"dst": key, "src": key + 1, "ethertype": ethertype}), body)
+
+
+def as_packets(rows: DataFrame, file: str, packet_id: Column, data: Column) -> DataFrame:
+    """The rows of a capture from rows with a frame each.
+
+    The frame is an element of a list that is taken out again, so that it is made once, and not in each expression that reads it.
+    """
+    made = rows.select(packet_id.cast("long").alias("packet_id"), F.explode(F.array(data)).alias("payload"))
+    size, none = F.octet_length("payload").cast("long"), F.lit(0).cast("long")
+    return made.select(F.lit(file).alias("file"), "packet_id", none.alias("file_offset"), none.alias("interface_id"), F.lit(1).alias("link_type"), none.alias("ts_raw"), size.alias("caplen"), size.alias("origlen"), "payload")
 
 
 def ipv4(src: Column, dst: Column, proto: Column | int, ident: Column, offset_units: Column, more: Column, body: Column) -> Column:
@@ -220,7 +237,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, CASE WHEN url LIKE '%?%' THEN regexp_extract(url, '[?]([^#]*)', 1) END AS query FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+')")
 def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """take_until, tag, is_not and opt over URLs, as Catalyst expressions."""
+    """take_while1, tag, is_not, take_till and opt over URLs, as Catalyst expressions."""
     p = parsers
     url = p.seq(p.take_while1("abcdefghijklmnopqrstuvwxyz").text(), p.tag("://"), p.is_not("/?#").text(), p.take_till("?#").text(), p.opt(p.preceded(p.chr_("?"), p.take_till("#").text())))
     pages = table(spark, sf_dir, "pages")
@@ -242,11 +259,13 @@ def many0_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("text is not null").select("doc_id", parse(d.text, p.all_consuming(words))["value"].alias("words"))
 
 
-@query("SELECT conv_id, turn, len(string_split(text, chr(10)))::INT AS lines, list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x)))::INT AS longest FROM conversations WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
+@query("""SELECT conv_id, turn, CASE WHEN NOT contains(rest, chr(13)) THEN len(string_split(rest, chr(10))) END::INT AS lines,
+CASE WHEN NOT contains(rest, chr(13)) THEN list_max(list_transform(string_split(rest, chr(10)), lambda x: strlen(x))) END::INT AS longest
+FROM (SELECT conv_id, turn, replace(text, chr(13) || chr(10), chr(10)) AS rest FROM conversations WHERE text IS NOT NULL)""")
 def lines_not_line_ending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """separated_list0(line_ending, not_line_ending) in the kernel; a carriage return that ends no line is an error, and its message's result null."""
+    """not_line_ending and line_ending in the kernel; a carriage return that ends no line is an error, and its message's result null."""
     p = parsers
-    size = p.map_(p.take_till("\r\n"), len, "int")
+    size = p.map_(p.recognize(p.not_line_ending), len, "int")
     c = table(spark, sf_dir, "conversations").where("text is not null")
     # A line may be empty, so each but the last is taken with its ending.
     lines = p.pair(p.many0(p.terminated(size, p.line_ending)), size)
@@ -366,7 +385,7 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame for each event: addresses from the user, ethertype from the type, event_id % 64 bytes of payload."""
     e = table(spark, sf_dir, "events")
     data = frame(e.user_id, F.lit(0x0600) + F.ascii(e.event_type), zeros(e.event_id % 64))
-    return settled(e.select(F.lit("events").alias("file"), F.col("event_id").alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    return as_packets(e, "events", F.col("event_id"), data)
 
 
 @query("SELECT (1536 + ascii(event_type))::INT AS ethertype, count(*) AS packets, round(avg(14 + event_id % 64), 6) AS mean_caplen FROM events GROUP BY 1")
@@ -387,14 +406,14 @@ def order_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = ipv4(o.o_custkey, o.o_orderkey, F.when(is_tcp, 6).otherwise(17), F.lit(0), F.lit(0), F.lit(False), F.when(is_tcp, tcp).otherwise(udp(src, dst, body)))
     tag = protocols.VLAN.encode({"pcp": F.lit(0), "dei": F.lit(0), "vid": o.o_custkey % 100, "inner_ethertype": F.lit(0x800)})
     data = F.when(o.o_orderkey % 2 == 0, frame(o.o_custkey, F.lit(0x8100), F.concat(tag, ip))).otherwise(frame(o.o_custkey, F.lit(0x800), ip))
-    return settled(o.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    return as_packets(o, "orders", F.col("o_orderkey"), data)
 
 
 @query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'tcp' ELSE 'udp' END AS proto, (o_custkey % 50 + 1000)::INT AS src_port, count(*) AS n, sum(o_orderkey % 20 + 30480)::BIGINT AS dst_ports FROM orders GROUP BY 1, 2")
 def l4_port_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packet walk in the kernel: ports under optional VLAN tags, TCP and UDP."""
     c = Capture(order_packets(spark, sf_dir), Options(reassembly=None))
-    rows = c.table("udp").select(F.lit("udp").alias("proto"), "src_port", "dst_port").unionByName(c.table("tcp").select(F.lit("tcp").alias("proto"), "src_port", "dst_port"))
+    rows = c.union(["udp", "tcp"], ["src_port", "dst_port"]).withColumnRenamed("table", "proto")
     return rows.groupBy("proto", "src_port").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dst_port").cast("long")).alias("dst_ports"))
 
 
@@ -447,17 +466,22 @@ def document_fragments(spark: SparkSession, sf_dir: str, unit: int = 1024) -> Da
     piece = F.substring(F.col("b"), (F.col("i") * unit + 1).cast("int"), F.lit(unit))
     data = frame(F.col("doc_id"), F.lit(0x800), ipv4(F.col("doc_id"), F.col("part") + 1, 17, (F.col("doc_id") + F.col("part")) % 65536, (F.col("i") * (unit // 8)).cast("int"), F.col("i") < F.col("last"), piece))
     number = F.col("part") * PART_IDS + F.col("doc_id") * 100 + (F.col("last") - F.col("i"))
-    return settled(parts.select(F.lit("documents").alias("file"), number.alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    return as_packets(parts, "documents", number, data)
+
+
+#: The datagrams of each text: it is cut into as many equal parts as it needs.
+_PARTS_SQL = f"""SELECT doc_id, text, part, ((part + 1) * size // n - part * size // n + 8)::BIGINT AS total
+FROM (SELECT doc_id, text, strlen(text) AS size, greatest((strlen(text) + {PART_BYTES - 1}) // {PART_BYTES}, 1) AS n FROM documents WHERE text IS NOT NULL), range(100000) r(part) WHERE part < n"""
 
 
-@query("SELECT doc_id * 100 + ((least(strlen(text), 60000) + 8 - 1) // 1024) AS last_packet_id, (least(strlen(text), 60000) + 8)::BIGINT AS total_length, ((least(strlen(text), 60000) + 8 - 1) // 1024 + 1)::BIGINT AS fragment_count FROM documents WHERE strlen(text) + 8 > 1024")
+@query(f"SELECT (part * {PART_IDS} + doc_id * 100 + (total - 1) // 1024)::BIGINT AS last_packet_id, total AS total_length, ((total - 1) // 1024 + 1)::BIGINT AS fragment_count FROM ({_PARTS_SQL}) WHERE total > 1024")
 def defrag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reassembly of datagrams whose fragments come in reverse."""
     c = Capture(document_fragments(spark, sf_dir))
     return c.table("datagram").where("completion_status = 0").select("last_packet_id", "total_length", "fragment_count")
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) BETWEEN 1017 AND 60000")
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE strlen(text) >= 1017")
 def defrag_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reassembled bytes, taken up again as UDP; a long text's datagrams are joined in their order."""
     c = Capture(document_fragments(spark, sf_dir))
@@ -500,7 +524,7 @@ def gptp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length(body) + 34
     head = F.concat(F.when(known, F.unhex(F.lit("1B"))).otherwise(F.unhex(F.lit("1D"))), F.unhex(F.lit("02")), be(size, 2), zeros(F.lit(4)), be(F.lit(-5), 8), zeros(F.lit(4)), be(o.o_custkey, 8), be(F.lit(1), 2), be(o.o_orderkey % 65536, 2), be(F.lit(5), 1), be(F.lit(-3), 1))
     data = frame(o.o_custkey, F.lit(0x88F7), F.concat(head, body))
-    return settled(o.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    return as_packets(o, "orders", F.col("o_orderkey"), data)
 
 
 @query("SELECT msg_index, packet_id, seconds, path FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS msg_index, o_orderkey AS packet_id, o_orderkey AS seconds, (o_custkey % 4)::INT AS path FROM orders) WHERE packet_id % 5 <> 0")
@@ -530,7 +554,7 @@ def someip_tlv_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = F.concat(be(o.o_custkey % 4096, 2), zeros(F.lit(1)), be(F.lit(5 << 12) + o.o_custkey % 4096, 2), be(F.lit(2), 1), zeros(F.lit(2)))
     message = F.concat(be(F.lit(0x1234), 2), be(F.lit(1), 2), be(F.octet_length(member) + 8, 4), zeros(F.lit(8)), member)
     data = frame(o.o_custkey, F.lit(0x800), ipv4(o.o_custkey, F.lit(1), 17, F.lit(0), F.lit(0), F.lit(False), udp(F.lit(41000), F.lit(30509), message)))
-    p = settled(o.select(F.lit("o").alias("file"), F.col("o_orderkey").alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    p = as_packets(o, "o", F.col("o_orderkey"), data)
     return Capture(p, Options(someip_tlv_ports=(30509,))).table("someip_tlv").select("packet_id", "tlv_index", "data_id", "length")
 
 
@@ -541,7 +565,7 @@ def lldp_tlvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = blob(c.c_name)
     region = F.concat(be(F.lit(1 << 9) + F.octet_length(name), 2), name, be(F.lit((3 << 9) + 2), 2), be(c.c_custkey % 300, 2), zeros(F.lit(2)))
     data = frame(c.c_custkey, F.lit(0x88CC), region)
-    p = settled(c.select(F.lit("c").alias("file"), F.col("c_custkey").alias("packet_id"), F.lit(0).cast("long").alias("file_offset"), F.lit(0).cast("long").alias("interface_id"), F.lit(1).alias("link_type"), F.lit(0).cast("long").alias("ts_raw"), F.octet_length(data).cast("long").alias("caplen"), F.octet_length(data).cast("long").alias("origlen"), data.alias("payload")))
+    p = as_packets(c, "c", F.col("c_custkey"), data)
     return Capture(p).table("lldp").select("packet_id", "tlv_type", "tlv_length", F.col("ttl_seconds").alias("ttl"))
 
 
@@ -571,9 +595,15 @@ def record_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("n_nationkey", schemas.json_expression(NAMED, NAMED.decode(b.b)).alias("line"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+('Ethernet', 14, 'w:6,w:6,S', '{"type":"record","name":"Ethernet","fields":[{"name":"dst","type":{"type":"fixed","name":"Ethernet_dst_fx","size":6}},{"name":"src","type":{"type":"fixed","name":"Ethernet_src_fx","size":6}},{"name":"ethertype","type":"int"}]}', 'dst,src,ethertype'),
+('VlanTag', 4, 'C,C,S,S', '{"type":"record","name":"VlanTag","fields":[{"name":"pcp","type":"int"},{"name":"dei","type":"int"},{"name":"vid","type":"int"},{"name":"inner_ethertype","type":"int"}]}', 'pcp,dei,vid,inner_ethertype'),
+('Udp', 8, 'S,S,S,S', '{"type":"record","name":"Udp","fields":[{"name":"src_port","type":"int"},{"name":"dst_port","type":"int"},{"name":"length","type":"int"},{"name":"checksum","type":"int"}]}', 'src_port,dst_port,length,checksum'),
+('Ipv6Fragment', 8, 'C,C,S,I', '{"type":"record","name":"Ipv6Fragment","fields":[{"name":"next_header","type":"int"},{"name":"reserved","type":"int"},{"name":"offset_flags","type":"int"},{"name":"identification","type":"long"}]}', 'next_header,reserved,offset_flags,identification'),
+('PortIdentity', 10, 'w:8,S', '{"type":"record","name":"PortIdentity","fields":[{"name":"clock_identity","type":{"type":"fixed","name":"PortIdentity_clock_identity_fx","size":8}},{"name":"port_number","type":"int"}]}', 'clock_identity,port_number')
+) t(name, size, arrow, avro, csv)""")
 def arrow_avro_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrow formats, Avro schema and CSV header of every protocol record."""
-    every = [v for v in vars(protocols).values() if isinstance(v, Layout)]
-    rows = [(v.name, v.size, ",".join(f for _, f in schemas.arrow_formats(v)), schemas.avro_schema(v), schemas.csv_header(v)) for v in every]
+    """Arrow formats, Avro schema and CSV header of records, by the published formats."""
+    some = (protocols.ETHERNET, protocols.VLAN, protocols.UDP, protocols.IPV6_FRAGMENT, protocols.PORT_IDENTITY)
+    rows = [(v.name, v.size, ",".join(f for _, f in schemas.arrow_formats(v)), schemas.avro_schema(v), schemas.csv_header(v)) for v in some]
     return spark.createDataFrame(rows, "name string, size int, arrow string, avro string, csv string")

@@ -1,7 +1,7 @@
 """Reassembly of fragments that arrive as a stream.
 
-The packet clock is Spark's event time: packet_id counts as seconds, and the watermark stands `timeout`
-packets behind the last one seen. A key's open datagram is its state; it leaves when it is complete,
+The packet clock is Spark's event time: packet_id + 1 counts as seconds, as what stands at 0 is late from the start, and
+the watermark stands `timeout` packets behind the last one seen. A key's open datagram is its state; it leaves when it is complete,
 or when the watermark has passed its last fragment.
 """
 
@@ -60,7 +60,7 @@ def _step(config: Config):
         else:
             state.update((_save(now),))
             # Not before the watermark, which may have passed the datagram's last fragment already.
-            state.setTimeoutTimestamp(max(1000 * now.last, state.getCurrentWatermarkMs()) + 1)
+            state.setTimeoutTimestamp(max(1000 * (now.last + 1), state.getCurrentWatermarkMs()) + 1)
         if out:
             yield frame(key, out)
 
@@ -74,5 +74,5 @@ def reassemble_stream(fragments: DataFrame, config: Config = Config()) -> DataFr
     more than `timeout` behind the last one seen are late and dropped by Spark. The number of datagrams held is not
     limited here: state spills to the state store.
     """
-    timed = fragments.withColumn("clock", F.timestamp_seconds("packet_id")).withWatermark("clock", f"{config.timeout} seconds")
+    timed = fragments.withColumn("clock", F.timestamp_seconds(F.col("packet_id") + 1)).withWatermark("clock", f"{config.timeout} seconds")
     return timed.groupBy("file", "ip_version", "key").applyInPandasWithState(_step(config), SCHEMA, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
