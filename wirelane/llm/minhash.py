@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelane.llm.common import Scratch, slices
@@ -243,37 +243,40 @@ def _with_pivots(make: Near, group: str) -> Callable:
     return run
 
 
-def _links(members: DataFrame, group: str, attach: Callable[[DataFrame], DataFrame], make: Near, rows: int, shingles: int, scratch: Scratch, name: str) -> DataFrame:
-    """Edges (u, v) that join the members (group, rep, n_shingles) of each group into its components.
+def _statistics(rows: DataFrame, group: str, shingles: Column, *more: Column) -> DataFrame:
+    """(group, n, total, p0..., more...): the members of each group, their shingles, and the members drawn as pivots."""
+    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(shingles).alias("total"), *drawn, *more)
+
+
+def _links(members: DataFrame, stats: DataFrame, group: str, attach: Callable[[DataFrame], DataFrame], make: Near, rows: int, shingles: int, scratch: Scratch, name: str) -> DataFrame:
+    """Edges (u, v) that join the members (group, rep, blocks) of each group into its components.
 
     attach() brings what make() compares to rows that have `rep`. A block has about `rows` members and `shingles` shingles at most.
     """
-    blocks = lambda n, total: F.greatest(F.ceil(n / rows), F.ceil(total / shingles), F.lit(1)).cast("int")
-    count, total = F.count(F.lit(1)), F.sum("n_shingles")
-    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    crowded = members.groupBy(group).agg(blocks(count, total).alias("blocks"), *drawn).where("blocks > 1")
-    crowded = scratch.save(crowded, f"{name}-crowded")
-    roles, found = members.withColumn("main", F.lit(False)), None
+    at = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")
+    zero = F.lit(0).cast("int")
+    dealt = members.where("blocks = 1").select(group, zero.alias("i"), zero.alias("j"), zero.alias("block"), "rep")
+    crowded, found = stats.where("blocks > 1"), None
     if not crowded.isEmpty():
-        own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
-        inside = members.join(crowded.select(group, "blocks"), group).select(group, own.alias("block"), "rep", F.lit(0).alias("pivot"))
+        own = members.where("blocks > 1")
+        inside = own.select(group, at(F.col("blocks")).alias("block"), "rep", F.lit(0).alias("pivot"))
         pivots = crowded.select(group, "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("rep"))
         pivots = pivots.select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(1).alias("pivot"))
-        dealt = attach(inside.unionByName(pivots)).repartition(group, "block").sortWithinPartitions(group, "block", F.desc("pivot"))
-        found = scratch.save(dealt.mapInArrow(_with_pivots(make, group), f"{group} long, pivot long, rep long"), f"{name}-pivots")
-        best = found.groupBy(group, "pivot").agg(count.alias("n")).groupBy(group).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-        main = found.join(best, [group, "pivot"]).select(group, "rep").unionByName(best.select(group, F.col("pivot").alias("rep"))).distinct()
-        roles = scratch.save(members.join(main.withColumn("main", F.lit(True)), [group, "rep"], "left").fillna(False, ["main"]), f"{name}-roles")
-
-    # Blocks of what is left over are numbered before those of the main component, which do not meet each other.
-    rest, most = F.expr("not main"), F.col("main")
-    sizes = roles.groupBy(group).agg(F.count_if(rest).alias("left"), F.when(F.count_if(rest) > 0, blocks(F.count_if(rest), F.sum(F.when(rest, F.col("n_shingles"))))).alias("lefts"), F.when(F.count_if(most) > 0, blocks(F.count_if(most), F.sum(F.when(most, F.col("n_shingles"))))).otherwise(0).alias("mains"))
-    sizes = sizes.where("left > 0").select(group, "lefts", "mains")
-    at = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")
-    placed = roles.join(sizes, group).withColumn("block", F.when(most, F.col("lefts") + at(F.greatest("mains", F.lit(1)))).otherwise(at(F.col("lefts"))))
-    met = F.when(most, F.col("lefts")).otherwise(F.col("lefts") + F.col("mains"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), met.cast("int") - 1)))
-    dealt = dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+        first = attach(inside.unionByName(pivots)).repartition(group, "block").sortWithinPartitions(group, "block", F.desc("pivot"))
+        found = scratch.save(first.mapInArrow(_with_pivots(make, group), f"{group} long, pivot long, rep long"), f"{name}-pivots")
+        # The pivot that explains most. What is left over is in `lefts` blocks, the others are in `mains`: these follow in number, and do not meet each other.
+        best = found.groupBy(group, "pivot").agg(F.count(F.lit(1)).alias("hits")).groupBy(group).agg(F.max_by(F.struct("pivot", "hits"), F.struct("hits", "pivot")).alias("best"))
+        left = F.col("n") - F.coalesce(F.col("best.hits") + 1, F.lit(0))
+        best = crowded.join(best, group, "left").where(left > 0)
+        best = scratch.save(best.select(group, F.col("best.pivot").alias("pivot"), F.greatest(F.ceil(left / rows), F.ceil(F.col("total") / shingles), F.lit(1)).cast("int").alias("lefts"), F.col("blocks").alias("mains")), f"{name}-best")
+        main = found.join(best, [group, "pivot"]).select(group, "rep", "lefts", "mains").unionByName(best.where("pivot is not null").select(group, F.col("pivot").alias("rep"), "lefts", "mains")).distinct()
+        rest = own.join(main.select(group, "rep"), [group, "rep"], "left_anti").join(best.select(group, "lefts", "mains"), group)
+        meets = lambda some, block, others: some.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+        main = meets(main, F.col("lefts") + at(F.col("mains")), F.col("lefts"))
+        rest = meets(rest, at(F.col("lefts")), F.col("lefts") + F.col("mains"))
+        for some in (main, rest):
+            dealt = dealt.unionByName(some.select(group, F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "rep"))
     dealt = attach(dealt).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
     edges = dealt.mapInArrow(_stars(make, group), "u long, v long")
     return edges if found is None else edges.unionByName(found.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
@@ -297,19 +300,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # Keys that classes share. Of keys with the same members, one is enough.
     keys = classes.select("rep", "signature").mapInArrow(_keys, "rep long, key long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("n > 1")
-    once = scratch.save(shared.groupBy("n", "who", "least").agg(F.min("key").alias("key")).select("key"), "keys")
-    sized = classes.select("rep", "n_shingles")
-    members = scratch.save(keys.join(once, "key").join(sized, "rep").select("key", "rep", "n_shingles"), "members")
+    pivots = [f"p{k}" for k in range(PIVOTS)]
+    shared = _statistics(keys, "key", F.lit(0), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("n > 1")
+    once = shared.groupBy("n", "total", "who", "least", *pivots).agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / KEY_BLOCK).cast("int"))
+    once = scratch.save(once.select("key", "n", "total", *pivots, "blocks"), "keys")
+    members = scratch.save(keys.join(once.select("key", "blocks"), "key"), "members")
     signed = classes.select("rep", "signature", "n_shingles")
-    near = _links(members, "key", lambda rows: rows.join(signed, "rep"), _near_signatures(radius, percent), KEY_BLOCK, 1 << 62, scratch, "near")
+    near = _links(members, once, "key", lambda rows: rows.join(signed, "rep"), _near_signatures(radius, percent), KEY_BLOCK, 1 << 62, scratch, "near")
     clusters = components(near, scratch, "clusters")
 
     # Full sets inside the clusters.
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct())
-    members = scratch.save(inside.join(sized, "rep").select("cluster", "rep", "n_shingles"), "inside")
+    inside = scratch.save(inside.join(classes.select("rep", "n_shingles"), "rep"), "inside")
+    blocks = F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("total") / SET_BLOCK_SHINGLES)).cast("int")
+    stats = scratch.save(_statistics(inside, "cluster", F.col("n_shingles")).withColumn("blocks", blocks), "stats")
+    members = inside.join(stats.select("cluster", "blocks"), "cluster").select("cluster", "rep", "blocks")
     texts = docs.withColumnRenamed("doc_id", "rep")
-    equal = _links(members, "cluster", lambda rows: rows.join(texts, "rep"), _near_sets(width, percent), SET_BLOCK, SET_BLOCK_SHINGLES, scratch, "sets")
+    equal = _links(members, stats, "cluster", lambda rows: rows.join(texts, "rep"), _near_sets(width, percent), SET_BLOCK, SET_BLOCK_SHINGLES, scratch, "sets")
     linked = components(equal, scratch, "links")
 
     rooted = classes.select("set_key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
