@@ -12,10 +12,11 @@ no list of pairs is made: a search from class to class joins those within RADIUS
 a second search inside each cluster compares full shingle sets. Both emit a star for each component
 found, so what is written is in proportion to the classes.
 
-Crowded keys and clusters are cut into blocks of bounded size. First all members are compared with a few
-drawn ones, the pivots, each block by itself. The members that are linked with one pivot are one component, so
-they need not be compared with each other any more: only what is left over meets all blocks, block by
-block. Of near copies of one template little is left over, so the work stays in proportion to the group.
+Crowded keys and clusters are cut into blocks of bounded size. First each member is compared with a few
+drawn ones, the pivots, of the most crowded group that it is in, each block by itself. Members of one component of
+these links need not be compared with each other any more, under any key: of each group only what is outside its
+largest component meets all blocks, block by block. Of near copies of one template little is left over, so the
+work stays in proportion to the group.
 """
 
 from __future__ import annotations
@@ -226,21 +227,17 @@ def _stars(make: Near, group: str) -> Callable:
 
 
 def _with_pivots(make: Near, group: str) -> Callable:
-    """(group, pivot, rep) for each member of a block that is linked with a pivot; the pivots stand first."""
+    """An edge to the pivot for each member of a block that is linked with one; the pivots stand first."""
 
-    def one(table: pa.Table) -> pa.Table:
+    def one(table: pa.Table) -> list[tuple[int, int]]:
         reps, first = table.column("rep").to_numpy(), int(table.column("pivot").to_numpy().sum())
-        near, members = make(table), np.arange(first, table.num_rows)
-        hits = [(reps[p], reps[members[near(p, members)]]) for p in range(first)] if len(members) else []
-        rep = np.concatenate([h[h != p] for p, h in hits]) if hits else np.zeros(0, np.int64)
-        pivot = np.repeat([p for p, _ in hits], [int((h != p).sum()) for p, h in hits]).astype(np.int64)
-        return pa.table([pa.array(np.full(len(rep), table.column(group)[0].as_py(), np.int64)), pa.array(pivot), pa.array(rep)], [group, "pivot", "rep"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, [group, "block"]):
-            yield from one(table).to_batches()
+        members = np.arange(first, table.num_rows)
+        if not len(members):
+            return []
+        near = make(table)
+        return [(int(u), int(reps[p])) for p in range(first) for u in reps[members[near(p, members)]] if u != reps[p]]
 
-    return run
+    return lambda batches: _edges(one(table) for table in _groups(batches, [group, "block"]))
 
 
 def _statistics(rows: DataFrame, group: str, shingles: Column, *more: Column) -> DataFrame:
@@ -253,33 +250,35 @@ def _links(members: DataFrame, stats: DataFrame, group: str, attach: Callable[[D
     """Edges (u, v) that join the members (group, rep, blocks) of each group into its components.
 
     attach() brings what make() compares to rows that have `rep`. A block has about `rows` members and `shingles` shingles at most.
+    A member of several crowded groups meets the pivots of the most crowded one alone; what that joins is known to be joined in all its groups.
     """
     at = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")
     zero = F.lit(0).cast("int")
     dealt = members.where("blocks = 1").select(group, zero.alias("i"), zero.alias("j"), zero.alias("block"), "rep")
-    crowded, found = stats.where("blocks > 1"), None
+    crowded, known = stats.where("blocks > 1"), None
     if not crowded.isEmpty():
         own = members.where("blocks > 1")
-        inside = own.select(group, at(F.col("blocks")).alias("block"), "rep", F.lit(0).alias("pivot"))
+        inside = own.groupBy("rep").agg(F.max(F.struct("blocks", group)).alias("most")).select("most.*", "rep")
+        inside = inside.select(group, at(F.col("blocks")).alias("block"), "rep", F.lit(0).alias("pivot"))
         pivots = crowded.select(group, "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("rep"))
         pivots = pivots.select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(1).alias("pivot"))
         first = attach(inside.unionByName(pivots)).repartition(group, "block").sortWithinPartitions(group, "block", F.desc("pivot"))
-        found = scratch.save(first.mapInArrow(_with_pivots(make, group), f"{group} long, pivot long, rep long"), f"{name}-pivots")
-        # The pivot that explains most. What is left over is in `lefts` blocks, the others are in `mains`: these follow in number, and do not meet each other.
-        best = found.groupBy(group, "pivot").agg(F.count(F.lit(1)).alias("hits")).groupBy(group).agg(F.max_by(F.struct("pivot", "hits"), F.struct("hits", "pivot")).alias("best"))
-        left = F.col("n") - F.coalesce(F.col("best.hits") + 1, F.lit(0))
-        best = crowded.join(best, group, "left").where(left > 0)
-        best = scratch.save(best.select(group, F.col("best.pivot").alias("pivot"), F.greatest(F.ceil(left / rows), F.ceil(F.col("total") / shingles), F.lit(1)).cast("int").alias("lefts"), F.col("blocks").alias("mains")), f"{name}-best")
-        main = found.join(best, [group, "pivot"]).select(group, "rep", "lefts", "mains").unionByName(best.where("pivot is not null").select(group, F.col("pivot").alias("rep"), "lefts", "mains")).distinct()
-        rest = own.join(main.select(group, "rep"), [group, "rep"], "left_anti").join(best.select(group, "lefts", "mains"), group)
-        meets = lambda some, block, others: some.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-        main = meets(main, F.col("lefts") + at(F.col("mains")), F.col("lefts"))
-        rest = meets(rest, at(F.col("lefts")), F.col("lefts") + F.col("mains"))
-        for some in (main, rest):
-            dealt = dealt.unionByName(some.select(group, F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "rep"))
+        known = components(first.mapInArrow(_with_pivots(make, group), "u long, v long"), scratch, f"{name}-known")
+        own = own.join(known.withColumnRenamed("node", "rep"), "rep", "left").select(group, "rep", F.coalesce("component", "rep").alias("component"))
+        own = scratch.save(own, f"{name}-own")
+        # The component of most members. What is left over is in `lefts` blocks, the others are in `mains`: these follow in number, and do not meet each other.
+        best = own.groupBy(group, "component").agg(F.count(F.lit(1)).alias("hits")).groupBy(group).agg(F.max(F.struct("hits", "component")).alias("best"))
+        left = F.col("n") - F.col("best.hits")
+        lefts = F.least(left, F.greatest(F.ceil(left / rows), F.ceil(F.col("total") / shingles)))
+        best = crowded.join(best, group).where(left > 0).select(group, F.col("best.component").alias("main"), lefts.cast("int").alias("lefts"), F.col("blocks").alias("mains"))
+        rest = own.join(scratch.save(best, f"{name}-best"), group).withColumn("leads", F.col("component") == F.col("main"))
+        block = F.when(F.col("leads"), F.col("lefts") + at(F.col("mains"))).otherwise(at(F.col("lefts")))
+        others = F.when(F.col("leads"), F.col("lefts")).otherwise(F.col("lefts") + F.col("mains"))
+        rest = rest.select(group, block.alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"), "rep")
+        dealt = dealt.unionByName(rest.select(group, F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "rep"))
     dealt = attach(dealt).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
     edges = dealt.mapInArrow(_stars(make, group), "u long, v long")
-    return edges if found is None else edges.unionByName(found.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+    return edges if known is None else edges.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
