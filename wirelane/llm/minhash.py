@@ -43,6 +43,8 @@ KEY_BLOCK, SET_BLOCK = 512, 128
 SET_BLOCK_SHINGLES = 500_000
 #: Members of a crowded group that all others are compared with first.
 PIVOTS = 4
+#: Signatures whose keys one task makes and counts in memory; each has SYMBOLS keys.
+KEY_TASK = 10_000
 
 _RNG = np.random.default_rng(10)
 _FLIP = _RNG.integers(0, 2**63, size=SYMBOLS, dtype=np.uint64)
@@ -240,14 +242,8 @@ def _with_pivots(make: Near, group: str) -> Callable:
     return lambda batches: _edges(one(table) for table in _groups(batches, [group, "block"]))
 
 
-def _statistics(rows: DataFrame, group: str, shingles: Column, *more: Column) -> DataFrame:
-    """(group, n, total, p0..., more...): the members of each group, their shingles, and the members drawn as pivots."""
-    drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(shingles).alias("total"), *drawn, *more)
-
-
 def _links(members: DataFrame, stats: DataFrame, group: str, attach: Callable[[DataFrame], DataFrame], make: Near, rows: int, shingles: int, scratch: Scratch, name: str) -> DataFrame:
-    """Edges (u, v) that join the members (group, rep, blocks) of each group into its components.
+    """Edges (u, v) that join the members (group, rep, blocks) of each group of stats (group, n, total, blocks) into its components.
 
     attach() brings what make() compares to rows that have `rep`. A block has about `rows` members and `shingles` shingles at most.
     A member of several crowded groups meets the pivots of the most crowded one alone; what that joins is known to be joined in all its groups.
@@ -260,7 +256,8 @@ def _links(members: DataFrame, stats: DataFrame, group: str, attach: Callable[[D
         own = members.where("blocks > 1")
         inside = own.groupBy("rep").agg(F.max(F.struct("blocks", group)).alias("most")).select("most.*", "rep")
         inside = inside.select(group, at(F.col("blocks")).alias("block"), "rep", F.lit(0).alias("pivot"))
-        pivots = crowded.select(group, "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("rep"))
+        drawn = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(PIVOTS)]
+        pivots = own.groupBy(group, "blocks").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select(group, "blocks", F.explode("drawn").alias("rep"))
         pivots = pivots.select(group, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", F.lit(1).alias("pivot"))
         first = attach(inside.unionByName(pivots)).repartition(group, "block").sortWithinPartitions(group, "block", F.desc("pivot"))
         known = components(first.mapInArrow(_with_pivots(make, group), "u long, v long"), scratch, f"{name}-known")
@@ -298,11 +295,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = scratch.save(sketch.where("set_key is not null").groupBy("set_key", "signature", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
 
     # Keys that classes share. Of keys with the same members, one is enough.
-    keys = classes.select("rep", "signature").mapInArrow(_keys, "rep long, key long")
-    pivots = [f"p{k}" for k in range(PIVOTS)]
-    shared = _statistics(keys, "key", F.lit(0), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("n > 1")
-    once = shared.groupBy("n", "total", "who", "least", *pivots).agg(F.min("key").alias("key")).withColumn("blocks", F.ceil(F.col("n") / KEY_BLOCK).cast("int"))
-    once = scratch.save(once.select("key", "n", "total", *pivots, "blocks"), "keys")
+    tasks = -(-classes.count() // KEY_TASK) or 1
+    keys = classes.select("rep", "signature").repartition(tasks).mapInArrow(_keys, "rep long, key long")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("rep").alias("least")).where("n > 1")
+    once = shared.groupBy("n", "who", "least").agg(F.min("key").alias("key"))
+    once = scratch.save(once.select("key", "n", F.lit(0).alias("total"), F.ceil(F.col("n") / KEY_BLOCK).cast("int").alias("blocks")), "keys")
     members = scratch.save(keys.join(once.select("key", "blocks"), "key"), "members")
     signed = classes.select("rep", "signature", "n_shingles")
     near = _links(members, once, "key", lambda rows: rows.join(signed, "rep"), _near_signatures(radius, percent), KEY_BLOCK, 1 << 62, scratch, "near")
@@ -312,7 +309,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(clusters.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct())
     inside = scratch.save(inside.join(classes.select("rep", "n_shingles"), "rep"), "inside")
     blocks = F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("total") / SET_BLOCK_SHINGLES)).cast("int")
-    stats = scratch.save(_statistics(inside, "cluster", F.col("n_shingles")).withColumn("blocks", blocks), "stats")
+    stats = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    stats = scratch.save(stats.withColumn("blocks", blocks), "stats")
     members = inside.join(stats.select("cluster", "blocks"), "cluster").select("cluster", "rep", "blocks")
     texts = docs.withColumnRenamed("doc_id", "rep")
     equal = _links(members, stats, "cluster", lambda rows: rows.join(texts, "rep"), _near_sets(width, percent), SET_BLOCK, SET_BLOCK_SHINGLES, scratch, "sets")
