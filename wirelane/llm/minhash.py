@@ -14,9 +14,9 @@ found, so what is written is in proportion to the classes.
 
 Crowded keys and clusters are cut into blocks of bounded size. First each member is compared with a few
 drawn ones, the pivots, of the most crowded group that it is in, each block by itself. Members of one component of
-these links need not be compared with each other any more, under any key: of each group only what is outside its
-largest component meets all blocks, block by block. Of near copies of one template little is left over, so the
-work stays in proportion to the group.
+these links need not be compared with each other any more, under any key: of each group only the strays outside its
+largest component are compared, with each other and, once for all its keys, with that whole component, block by block.
+Of near copies of one template little is left over, so the work stays in proportion to the group.
 """
 
 from __future__ import annotations
@@ -263,16 +263,27 @@ def _links(members: DataFrame, stats: DataFrame, group: str, attach: Callable[[D
         known = components(first.mapInArrow(_with_pivots(make, group), "u long, v long"), scratch, f"{name}-known")
         own = own.join(known.withColumnRenamed("node", "rep"), "rep", "left").select(group, "rep", F.coalesce("component", "rep").alias("component"))
         own = scratch.save(own, f"{name}-own")
-        # The component of most members. What is left over is in `lefts` blocks, the others are in `mains`: these follow in number, and do not meet each other.
+        # Strays are outside the component of most members of their group. They meet each other group by group.
         best = own.groupBy(group, "component").agg(F.count(F.lit(1)).alias("hits")).groupBy(group).agg(F.max(F.struct("hits", "component")).alias("best"))
         left = F.col("n") - F.col("best.hits")
-        lefts = F.least(left, F.greatest(F.ceil(left / rows), F.ceil(F.col("total") / shingles)))
-        best = crowded.join(best, group).where(left > 0).select(group, F.col("best.component").alias("main"), lefts.cast("int").alias("lefts"), F.col("blocks").alias("mains"))
-        rest = own.join(scratch.save(best, f"{name}-best"), group).withColumn("leads", F.col("component") == F.col("main"))
-        block = F.when(F.col("leads"), F.col("lefts") + at(F.col("mains"))).otherwise(at(F.col("lefts")))
-        others = F.when(F.col("leads"), F.col("lefts")).otherwise(F.col("lefts") + F.col("mains"))
-        rest = rest.select(group, block.alias("block"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"), "rep")
-        dealt = dealt.unionByName(rest.select(group, F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), F.col("block").cast("int").alias("block"), "rep"))
+        lefts = F.least(left, F.greatest(F.ceil(left / rows), F.ceil(F.col("total") / shingles))).cast("int")
+        best = scratch.save(crowded.join(best, group).where(left > 0).select(group, F.col("best.component").alias("main"), lefts.alias("lefts"), "blocks"), f"{name}-best").alias("b")
+        strays = own.alias("o").join(best, (F.col(f"o.{group}") == F.col(f"b.{group}")) & (F.col("o.component") != F.col("b.main")))
+        strays = scratch.save(strays.select(f"o.{group}", "o.rep", "b.main", "b.lefts", "b.blocks"), f"{name}-strays")
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        among = strays.select(group, "rep", at(F.col("lefts")).alias("block"), numbers(F.col("lefts")).alias("other"))
+        # A stray meets that component as a whole once, under however many keys it does: its blocks come first, and mains do not meet each other.
+        once = strays.groupBy("main", "rep").agg(F.max("lefts").alias("lefts"), F.max("blocks").alias("blocks"))
+        sizes = known.groupBy(F.col("component").alias("main")).agg(F.count(F.lit(1)).alias("others"))
+        plan = once.groupBy("main").agg(F.least(F.count(F.lit(1)), F.greatest(F.max("lefts"), F.ceil(F.count(F.lit(1)) / rows))).cast("int").alias("lefts"), F.max("blocks").alias("blocks")).join(sizes, "main", "left")
+        mains = F.greatest("blocks", F.ceil((F.coalesce("others", F.lit(0)) + 1) / rows)).cast("int")
+        plan = scratch.save(plan.select("main", "lefts", mains.alias("mains")), f"{name}-plan")
+        whole = known.select(F.col("component").alias("main"), F.col("node").alias("rep")).unionByName(plan.select("main", F.col("main").alias("rep")))
+        number = F.xxhash64("main", F.lit(name)).alias(group)
+        few = once.select("main", "rep").join(plan, "main").select(number, "rep", at(F.col("lefts")).alias("block"), "lefts", numbers(F.col("mains")).alias("other"))
+        many = whole.join(plan, "main").select(number, "rep", (F.col("lefts") + at(F.col("mains"))).alias("block"), numbers(F.col("lefts")).alias("other"))
+        for some in (among, few.withColumn("other", F.col("lefts") + F.col("other")).drop("lefts"), many):
+            dealt = dealt.unionByName(some.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep"))
     dealt = attach(dealt).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
     edges = dealt.mapInArrow(_stars(make, group), "u long, v long")
     return edges if known is None else edges.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
