@@ -423,7 +423,7 @@ def test_sampling_law(sampler):
     seeds = shingles.mix(np.arange(n).astype(np.uint64))
     for at in range(0, n, 500):
         for paths, after in sampler.sample([text] * 500, seeds[at : at + 500], 3):
-            ids = [tuple(sampler.ids(p.edges).tolist()) for p in paths]
+            ids = [tuple(sampler.ids([p.edges])[0].tolist()) for p in paths]
             assert len(set(ids)) == 3 and [p.value for p in paths] == sorted((p.value for p in paths), reverse=True) and paths[-1].value >= after
             for path, i in zip(paths, ids, strict=True):
                 assert abs(law[i] - path.total) < 1e-9
@@ -442,7 +442,7 @@ def test_few_and_no_segmentations(sampler):
     law = every_path(sampler.vocabulary, "ab")
     (paths, after), (none, _) = sampler.sample(["ab", ""], np.array([1, 2], np.uint64), 50)
     assert len(paths) == len(law) and after == -math.inf
-    assert {tuple(sampler.ids(p.edges).tolist()) for p in paths} == set(law)
+    assert {tuple(sampler.ids([p.edges])[0].tolist()) for p in paths} == set(law)
     assert len(none) == 1 and not len(none[0].edges)
 
 

@@ -16,8 +16,10 @@ results do not depend on partitioning. Counters tell 2^24 units of a text and 2^
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import zlib
@@ -38,7 +40,9 @@ SAMPLES = 4
 #: Log weights are multiplied by this: below 1 it brings out rarer segmentations.
 ALPHA = 0.3
 #: Remembered edges of a worker, of about 30 bytes; forgotten beyond.
-CACHE_EDGES = 4_000_000
+CACHE_EDGES = 6_000_000
+#: Units whose lattices are made together.
+LEARN_TOGETHER = 5_000
 #: Bits of a counter for the steps of a unit and for its number.
 STEP_BITS, UNIT_BITS = 24, 24
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -56,7 +60,7 @@ class Vocabulary:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces: dict[str, tuple[int, float]] = {}
-        self.bytes = [0] * 256
+        self.bytes = np.zeros(256, np.int32)
         worst = 0.0
         p = self.processor
         for i in range(p.get_piece_size()):
@@ -92,7 +96,7 @@ class Vocabulary:
             self.trie.append((hashes[order], np.array([f[0] for f in found], np.int32)[order], np.array([f[1] for f in found])[order]))
 
     def edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """The lattices of many units, none empty: (from, to, log-probability, piece) of all edges, ordered by `from`, likelier ones first.
+        """The lattices of many units, none empty: (from, to, log-probability, piece) of all edges, ordered by `from`, those of the longest pieces first.
 
         Positions count through all units; at a unit's end `to` is the number of positions. A piece below 0 is a
         character that no piece holds, written in bytes: its complement is the code point.
@@ -127,10 +131,11 @@ class Vocabulary:
             weight.append(weights[at[whole]])
             piece.append(ids[at[whole]])
         a, b, w, ids = map(np.concatenate, (left, right, weight, piece))
+        size = b - a
         b = np.where(b == ends[a], n, b)
         # Log-mass from each position to its unit's end: positions as far from it together, the nearest first.
         far = (ends - np.arange(n))[a]
-        order = np.lexsort((a, far))
+        order = np.argsort((far * n + a) * (self.longest + 1) - size)
         a, b, w, ids, far = a[order], b[order], w[order], ids[order], far[order]
         ahead = np.zeros(n + 1)
         first = np.flatnonzero(np.diff(a, prepend=-1))  # one run of edges for each position
@@ -141,8 +146,13 @@ class Vocabulary:
                 w[i:j] += ahead[b[i:j]]
                 ahead[a[first[x:y]]] = np.logaddexp.reduceat(w[i:j], first[x:y] - i)
         w = np.minimum(w - ahead[a], 0.0)
-        order = np.lexsort((-w, a))
-        return a[order], b[order], w[order], ids[order]
+        # Each position's run moves to where the positions are in their own order.
+        edges = np.bincount(a, minlength=n)
+        to = np.arange(len(a)) + np.repeat((np.cumsum(edges) - edges)[a[first]] - first, edges[a[first]])
+        out = tuple(np.empty_like(x) for x in (a, b, w, ids))
+        for moved, x in zip(out, (a, b, w, ids), strict=True):
+            moved[to] = x
+        return out
 
     def units(self, text: str) -> list[str]:
         return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -181,6 +191,18 @@ class Drawn:
         self.taken: dict[int, set[int]] = {}
 
 
+class Job:
+    """A path to draw: the edges kept of an older path, their log-probability, the path's value, the state to go on from (-1: a unit's start) and its unit.
+
+    beside: what the last kept edge leaves beside it: the value of that region, the log-probability before it, and the edges that are taken.
+    """
+
+    def __init__(self, doc: int, kept: np.ndarray, units: np.ndarray, before: float, value: float, state: int, unit: int):
+        self.doc, self.kept, self.units, self.before, self.value, self.state, self.unit = doc, kept, units, before, value, state, unit
+        self.beside: tuple[float, float, set[int]] | None = None
+        self.total = before
+
+
 class Sampler:
     """Edges of remembered units in flat arrays, which grow by doubling. State s has the edges first[s] to first[s + 1] - 1; state 0 is the end."""
 
@@ -204,19 +226,24 @@ class Sampler:
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
-    def learn(self, units: set[str]) -> None:
+    def learn(self, docs: list[list[str]]) -> None:
+        """Remember the units of all docs."""
         if self.size > CACHE_EDGES:
             self.forget()
-        new = [u for u in units if u not in self.start]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
+        new = list(set().union(*docs).difference(self.start))
+        for k in range(0, len(new), LEARN_TOGETHER):
+            some = new[k : k + LEARN_TOGETHER]
             a, b, w, piece = self.vocabulary.edges(some)
             sizes = np.fromiter(map(len, some), np.int64, len(some))
             n, base = int(sizes.sum()), self.states
             edges = np.bincount(a, minlength=n)
             last = np.cumsum(edges)
-            sums = np.cumsum(np.exp(w))
-            upto = sums - np.repeat(sums[last - edges] - np.exp(w[last - edges]), edges)
+            upto = np.exp(w)
+            at = last - edges
+            while len(at):  # sums in each state by itself, so that they are the same whatever is learnt together
+                more = edges > 1
+                at, edges = at[more] + 1, edges[more] - 1
+                upto[at] += upto[at - 1]
             upto[last - 1] = 2.0
             self.start.update(zip(some, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
             self._put("first", base + 1, self.size + last)
@@ -224,16 +251,25 @@ class Sampler:
                 self._put(name, self.size, values)
             self.states, self.size = base + n, self.size + len(a)
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        """The pieces of a path's edges; characters without one as the pieces of their bytes."""
-        out = self.piece[edges]
-        if len(out) and out.min() < 0:
-            table = self.vocabulary.bytes
-            out = np.array([i for x in out.tolist() for i in ([x] if x >= 0 else [table[c] for c in chr(~x).encode("utf-8", "surrogatepass")])], np.int32)
-        return out
-
-    def draw(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges from each start state to its unit's end: (which start, edge), in order of starts and steps."""
+    def ids(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of many paths' edges one after the other, characters without one as the pieces of their bytes, and how many each path has."""
+        out = self.piece[np.concatenate([np.zeros(0, np.int64), *paths])]
+        sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+        odd = out < 0
+        if odd.any():
+            code = (~out[odd]).astype(np.uint32)
+            width = np.ones(len(out), np.int64)
+            width[odd] += (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            raw = code.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+            ends = np.concatenate([[0], np.cumsum(width)])
+            out = np.repeat(out, width)
+            out[out < 0] = self.vocabulary.bytes[np.frombuffer(raw, np.uint8)]
+            sizes = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+        return out, sizes
+
+    def draw(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges from each start state to its unit's end: (which start, step, edge), in order of starts and steps."""
+        n_starts = len(state)
         who = np.flatnonzero(state > 0)
         state, seed, counter = state[who], seed[who], counter[who]
         got_who, got_edge, step = [], [], 0
@@ -251,62 +287,69 @@ class Sampler:
             who, state, seed, counter = who[live], state[live], seed[live], counter[live]
             step += 1
         if not got_who:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        whose = np.concatenate(got_who)
-        order = np.argsort(whose, kind="stable")
-        return whose[order], np.concatenate(got_edge)[order]
+            return (np.zeros(0, np.int64),) * 3
+        # Where a start's edges go is known from how many each has, so nothing is sorted.
+        steps = np.zeros(n_starts, np.int64)
+        for who in got_who:
+            steps[who] += 1
+        place = np.cumsum(steps) - steps
+        edges = np.empty(int(steps.sum()), np.int64)
+        for step, (who, edge) in enumerate(zip(got_who, got_edge, strict=True)):
+            edges[place[who] + step] = edge
+        whose = np.repeat(np.arange(n_starts), steps)
+        return whose, np.arange(len(edges)) - place[whose], edges
 
     def sample(self, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[list[Drawn], float]]:
         """For each text its k paths (all, if there are fewer) by descending value, and the next value after them."""
         units = [self.vocabulary.units(t) for t in texts]
-        if any(u not in self.start for doc in units for u in doc):
-            self.learn({u for doc in units for u in doc})
+        self.learn(units)
         starts = [np.fromiter(map(self.start.__getitem__, doc), np.int64, len(doc)) for doc in units]
         top = -np.log(-np.log(uniform(seeds, np.full(len(texts), 1, U64))))
         paths: list[list[Drawn]] = [[] for _ in texts]
         heaps: list[list] = [[] for _ in texts]
+        nothing = np.zeros(0, np.int64)
         # Each text's next path: what is kept of an older one, the state to go on from, and the units to come.
-        todo = [(d, np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0.0, float(top[d]), -1, 0) for d in range(len(texts))]
-        todo_rest: list = []
+        todo = [Job(d, nothing, nothing, 0.0, float(top[d]), -1, 0) for d in range(len(texts))]
         for r in range(k):
-            state, seed, counter, size = [], [], [], []
-            for d, _, _, _, _, _, mid, unit in todo:
-                s = starts[d][unit:] if mid < 0 else np.concatenate([[mid], starts[d][unit + 1 :]])
-                n = len(starts[d]) - unit
-                state.append(s)
-                seed.append(np.full(n, seeds[d], U64))
-                counter.append((U64(r + 1) << U64(STEP_BITS + UNIT_BITS)) + ((np.arange(unit, unit + n).astype(U64) + U64(1)) << U64(STEP_BITS)))
-                size.append(n)
-            whose, edge = self.draw(np.concatenate(state), np.concatenate(seed), np.concatenate(counter)) if todo else (np.zeros(0, np.int64),) * 2
-            ends = np.searchsorted(whose, np.cumsum([0, *size]))
-            p = self.log[edge]
-            beside = np.log(-np.expm1(np.minimum(p, -1e-300)))
-            seed_all = np.concatenate(seed) if todo else np.zeros(0, U64)
-            counter_all = np.concatenate(counter) if todo else np.zeros(0, U64)
-            place = np.arange(len(edge)) - np.searchsorted(whose, whose)
-            u_rest = uniform(seed_all[whose], counter_all[whose] + U64(2) * place.astype(U64) + U64(1)) if len(edge) else np.zeros(0)
-            base = np.cumsum([0, *size])
-            for i, (d, kept, kept_units, start, before, value, _, unit) in enumerate(todo):
-                a, b = ends[i], ends[i + 1]
-                sums = before + np.concatenate([[0.0], np.cumsum(p[a:b])])
-                rest = cut_gumbel(sums[:-1] + beside[a:b], np.full(b - a, value), u_rest[a:b])
-                rest[p[a:b] >= 0] = -np.inf
-                path = Drawn(np.concatenate([kept, edge[a:b]]), np.concatenate([kept_units, whose[a:b] - base[i] + unit]), len(kept), float(sums[-1]), value, rest, sums[:-1])
-                if start >= 0 and len(kept):  # the region that stays beside the edge it was split by
-                    path.start = len(kept) - 1
-                    path.rest = np.concatenate([[todo_rest[i][0]], rest])
-                    path.before = np.concatenate([[todo_rest[i][1]], sums[:-1]])
-                    path.taken[path.start] = todo_rest[i][2]
-                paths[d].append(path)
-                self._push(heaps[d], paths[d], len(paths[d]) - 1)
-            todo, todo_rest = [], []
-            if r + 1 == k:
+            if not todo:
                 break
-            for d in range(len(texts)):
-                if heaps[d] and len(paths[d]) == r + 1:
-                    job, rest_of = self._split(heaps[d], paths[d], seeds[d], r, d)
-                    todo.append(job)
-                    todo_rest.append(rest_of)
+            state = np.concatenate([starts[job.doc][job.unit :] for job in todo])
+            size = np.array([len(starts[job.doc]) - job.unit for job in todo])
+            base = np.cumsum(size) - size
+            for i, job in enumerate(todo):
+                if job.state >= 0:
+                    state[base[i]] = job.state
+            unit = np.arange(len(state)) + np.repeat(np.array([job.unit for job in todo]) - base, size)
+            seed = np.repeat(seeds[[job.doc for job in todo]], size)
+            counter = (U64(r + 1) << U64(STEP_BITS + UNIT_BITS)) + ((unit.astype(U64) + U64(1)) << U64(STEP_BITS))
+            whose, step, edge = self.draw(state, seed, counter)
+            ends = np.searchsorted(whose, np.concatenate([base, [len(state)]])).tolist()
+            p = self.log[edge]
+            before = np.empty(len(edge))
+            for job, a, b in zip(todo, ends, ends[1:]):
+                sums = np.cumsum(p[a:b])
+                before[a + 1 : b] = sums[:-1]
+                before[a : a + 1] = 0.0
+                before[a:b] += job.before
+                job.total = job.before + float(sums[-1]) if b > a else job.before
+            value = np.repeat([job.value for job in todo], np.diff(ends))
+            rest = np.full(len(edge), -np.inf)
+            free = np.flatnonzero(p < 0)
+            u = uniform(seed[whose[free]], counter[whose[free]] + U64(2) * step[free].astype(U64) + U64(1))
+            rest[free] = cut_gumbel(before[free] + np.log(-np.expm1(np.minimum(p[free], -1e-300))), value[free], u)
+            unit = unit[whose]
+            for job, a, b in zip(todo, ends, ends[1:]):
+                if job.beside is None:
+                    path = Drawn(edge[a:b], unit[a:b], 0, job.total, job.value, rest[a:b], before[a:b])
+                else:  # the region that stays beside the edge it was split by
+                    start = len(job.kept) - 1
+                    left, ahead, taken = job.beside
+                    path = Drawn(np.concatenate([job.kept, edge[a:b]]), np.concatenate([job.units, unit[a:b]]), start, job.total, job.value, np.concatenate([[left], rest[a:b]]), np.concatenate([[ahead], before[a:b]]))
+                    path.taken[start] = taken
+                paths[job.doc].append(path)
+                self._push(heaps[job.doc], paths[job.doc], len(paths[job.doc]) - 1)
+            going = [d for d in range(len(texts)) if heaps[d] and len(paths[d]) == r + 1]
+            todo = self._split(heaps, paths, starts, seeds, going, r) if r + 1 < k else []
         return [(paths[d], -heaps[d][0][0] if heaps[d] else -math.inf) for d in range(len(texts))]
 
     def _push(self, heap: list, paths: list[Drawn], i: int) -> None:
@@ -316,36 +359,47 @@ class Sampler:
             if rest[at] > -np.inf:
                 heapq.heappush(heap, (-float(rest[at]), i, at))
 
-    def _split(self, heap: list, paths: list[Drawn], seed: np.uint64, r: int, d: int):
-        """Take the best region, draw the edge that its first path leaves by, and tell where that goes on."""
-        value, i, at = heapq.heappop(heap)
-        path = paths[i]
-        step = path.start + at
-        path.rest[at] = -np.inf
-        self._push(heap, paths, i)
-        edge = int(path.edges[step])
-        state = int(np.searchsorted(self.first[: self.states + 1], edge, "right") - 1)
-        taken = path.taken.get(step, set()) | {edge}
-        free = [e for e in range(self.first[state], self.first[state + 1]) if e not in taken]
-        mass = np.exp(self.log[free])
-        two = uniform(np.full(2, seed, U64), (U64(r + 2) << U64(STEP_BITS + UNIT_BITS)) + np.array([1, 2], U64))
-        got = free[min(int(np.searchsorted(np.cumsum(mass), two[0] * mass.sum(), "right")), len(free) - 1)]
-        before = float(path.before[at])
-        left = mass.sum() - math.exp(self.log[got])
-        rest = float(cut_gumbel(np.array([before + math.log(left)]), np.array([-value]), two[1:])[0]) if len(free) > 1 and left > 0 else -np.inf
-        kept = np.concatenate([path.edges[:step], [got]])
-        unit = int(path.units[step])
-        following = int(self.next[got])
-        job = (d, kept, np.concatenate([path.units[:step], [unit]]), step, before + float(self.log[got]), -value, following, unit)
-        if not following:
-            job = (*job[:6], -1, unit + 1)
-        # What the new path's last kept edge leaves beside it, besides what was taken before.
-        return job, (rest, before, taken)
-
-
-def _lists(values: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.zeros(0, np.int32), pa.int32()))
+    def _split(self, heaps: list[list], paths: list[list[Drawn]], starts: list[np.ndarray], seeds: np.ndarray, docs: list[int], r: int) -> list[Job]:
+        """Take each text's best region, draw the edge that its first path leaves by, and tell where that goes on."""
+        step_seed = U64(r + 2) << U64(STEP_BITS + UNIT_BITS)
+        pick = uniform(seeds[docs], step_seed + np.full(len(docs), 1, U64)).tolist()
+        jobs, places, bounds, left_of = [], [], [], []
+        for d, u in zip(docs, pick, strict=True):
+            value, i, at = heapq.heappop(heaps[d])
+            path = paths[d][i]
+            step = path.start + at
+            path.rest[at] = -np.inf
+            self._push(heaps[d], paths[d], i)
+            edge, unit = int(path.edges[step]), int(path.units[step])
+            state = self._state(path, starts[d], step, unit)
+            taken = path.taken.get(step, set()) | {edge}
+            first = int(self.first[state])
+            log = self.log[first : self.first[state + 1]].tolist()
+            free = [e for e in range(first, first + len(log)) if e not in taken]
+            sums = list(itertools.accumulate(math.exp(log[e - first]) for e in free))
+            got = free[min(bisect.bisect_right(sums, u * sums[-1]), len(free) - 1)]
+            before = float(path.before[at])
+            left = sums[-1] - math.exp(log[got - first])
+            more = len(free) > 1 and left > 0
+            places.append(before + math.log(left) if more else -math.inf)
+            bounds.append(-value)
+            left_of.append((before, taken))
+            kept, units = np.append(path.edges[:step], got), path.units[: step + 1]
+            following = int(self.next[got])
+            jobs.append(Job(d, kept, units, before + log[got - first], -value, following or -1, unit if following else unit + 1))
+        u = uniform(seeds[docs], step_seed + np.full(len(docs), 2, U64))
+        some = np.flatnonzero(np.isfinite(places))
+        rest = np.full(len(docs), -np.inf)
+        rest[some] = cut_gumbel(np.array(places)[some], np.array(bounds)[some], u[some])
+        for job, value, (before, taken) in zip(jobs, rest.tolist(), left_of, strict=True):
+            job.beside = (value, before, taken)
+        return jobs
+
+    def _state(self, path: Drawn, starts: np.ndarray, step: int, unit: int) -> int:
+        """The state that a path's edge leaves."""
+        if step and path.units[step - 1] == unit:
+            return int(self.next[path.edges[step - 1]])
+        return int(starts[unit])
 
 
 def _rows(model, k: int, keys: list[str]):
@@ -359,18 +413,20 @@ def _rows(model, k: int, keys: list[str]):
             for part in slices(batch, "text", TOGETHER, TOGETHER_BYTES):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 seeds = part.column("seed").to_numpy().view(U64)
-                whose, rank, ids, log, value, inclusion = [], [], [], [], [], []
+                whose, rank, edges, log, value, inclusion = [], [], [], [], [], []
                 for d, (paths, after) in enumerate(sampler.sample(texts, seeds, k)):
                     for i, path in enumerate(paths):
                         whose.append(d)
                         rank.append(i + 1)
-                        ids.append(sampler.ids(path.edges))
+                        edges.append(path.edges)
                         log.append(path.total)
                         value.append(path.value)
                         # The chance that a Gumbel at the path's log-probability is above the first value left out.
                         inclusion.append(-math.expm1(-math.exp(min(path.total - after, 700.0))) if after > -math.inf else 1.0)
+                ids, sizes = sampler.ids(edges)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 own = part.select(keys).take(pa.array(whose, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rank, pa.int32()), _lists(ids), pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rank, pa.int32()), ids, pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
     return run
 
