@@ -446,6 +446,17 @@ def test_few_and_no_segmentations(sampler):
     assert len(none) == 1 and not len(none[0].edges)
 
 
+def test_window_changes_nothing(sampler, monkeypatch):
+    """Regions are looked at in a window first; the paths and values are those of looking at all."""
+    texts = ["the cat sat on a mat " * n for n in (1, 3, 40)] + ["日本" * 300, "\n" * 400, "\n" * 300 + "ab", "a" * 700]
+    seeds = shingles.mix(np.arange(len(texts)).astype(np.uint64))
+    found = []
+    for window in (1, 5, 192, 1 << 20):
+        monkeypatch.setattr(segment, "WINDOW", window)
+        found.append([([(p.edges.tolist(), p.total, p.value) for p in paths], after) for paths, after in sampler.sample(texts, seeds, 6)])
+    assert all(x == found[-1] for x in found)
+
+
 def test_segmentations_decode(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = ["Hello  world\nfoo bar é x  ", "", None, "日本語 テキスト \U0001f600", "a" * 500, " lead", "x", "x"]

@@ -48,6 +48,10 @@ STEP_BITS, UNIT_BITS = 24, 24
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD1342543DE82EF95)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+#: Gumbel noise of uniform() is at most 53 log 2 = 36.7.
+MOST_NOISE = 37.0
+#: Of a path so many edges are looked at first for regions beside it, the others only if one of them could matter.
+WINDOW = 192
 #: Texts that are sampled together, and their bytes.
 TOGETHER, TOGETHER_BYTES = 128, 1 << 19
 
@@ -183,7 +187,7 @@ def cut_gumbel(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray
 
 
 class Drawn:
-    """A drawn path: its edges, where it left the path that it was split from, and its own regions."""
+    """A drawn path: its edges, where it left the path that it was split from, and its own regions; units, rest and before end where no region can matter."""
 
     def __init__(self, edges: np.ndarray, units: np.ndarray, start: int, total: float, value: float, rest: np.ndarray, before: np.ndarray):
         self.edges, self.units, self.start, self.total, self.value = edges, units, start, total, value
@@ -267,8 +271,8 @@ class Sampler:
             sizes = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
         return out, sizes
 
-    def draw(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Edges from each start state to its unit's end: (which start, step, edge), in order of starts and steps."""
+    def draw(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from each start state to its unit's end, in order of starts and steps: (where each start's begin, and their number at last; edges)."""
         n_starts = len(state)
         who = np.flatnonzero(state > 0)
         state, seed, counter = state[who], seed[who], counter[who]
@@ -287,17 +291,16 @@ class Sampler:
             who, state, seed, counter = who[live], state[live], seed[live], counter[live]
             step += 1
         if not got_who:
-            return (np.zeros(0, np.int64),) * 3
+            return np.zeros(n_starts + 1, np.int64), np.zeros(0, np.int64)
         # Where a start's edges go is known from how many each has, so nothing is sorted.
-        steps = np.zeros(n_starts, np.int64)
+        place = np.zeros(n_starts + 1, np.int64)
         for who in got_who:
-            steps[who] += 1
-        place = np.cumsum(steps) - steps
-        edges = np.empty(int(steps.sum()), np.int64)
+            place[who + 1] += 1
+        place = np.cumsum(place)
+        edges = np.empty(place[-1], np.int64)
         for step, (who, edge) in enumerate(zip(got_who, got_edge, strict=True)):
             edges[place[who] + step] = edge
-        whose = np.repeat(np.arange(n_starts), steps)
-        return whose, np.arange(len(edges)) - place[whose], edges
+        return place, edges
 
     def sample(self, texts: list[str], seeds: np.ndarray, k: int) -> list[tuple[list[Drawn], float]]:
         """For each text its k paths (all, if there are fewer) by descending value, and the next value after them."""
@@ -322,8 +325,8 @@ class Sampler:
             unit = np.arange(len(state)) + np.repeat(np.array([job.unit for job in todo]) - base, size)
             seed = np.repeat(seeds[[job.doc for job in todo]], size)
             counter = (U64(r + 1) << U64(STEP_BITS + UNIT_BITS)) + ((unit.astype(U64) + U64(1)) << U64(STEP_BITS))
-            whose, step, edge = self.draw(state, seed, counter)
-            ends = np.searchsorted(whose, np.concatenate([base, [len(state)]])).tolist()
+            place, edge = self.draw(state, seed, counter)
+            ends = place[np.concatenate([base, [len(state)]])].tolist()
             p = self.log[edge]
             before = np.empty(len(edge))
             for job, a, b in zip(todo, ends, ends[1:]):
@@ -332,19 +335,38 @@ class Sampler:
                 before[a : a + 1] = 0.0
                 before[a:b] += job.before
                 job.total = job.before + float(sums[-1]) if b > a else job.before
-            value = np.repeat([job.value for job in todo], np.diff(ends))
-            rest = np.full(len(edge), -np.inf)
-            free = np.flatnonzero(p < 0)
-            u = uniform(seed[whose[free]], counter[whose[free]] + U64(2) * step[free].astype(U64) + U64(1))
-            rest[free] = cut_gumbel(before[free] + np.log(-np.expm1(np.minimum(p[free], -1e-300))), value[free], u)
-            unit = unit[whose]
-            for job, a, b in zip(todo, ends, ends[1:]):
+
+            def beside(spans: list[tuple[int, int]], values: list[float]) -> tuple[np.ndarray, np.ndarray]:
+                """The units of the edges in each span, and the values of the regions beside them, given the paths' values."""
+                sizes = np.array([y - x for x, y in spans], np.int64)
+                at = np.arange(sizes.sum()) + np.repeat(np.array([x for x, _ in spans], np.int64) - np.cumsum(sizes) + sizes, sizes)
+                whose = np.searchsorted(place, at, "right") - 1
+                rest = np.full(len(at), -np.inf)
+                free = np.flatnonzero(p[at] < 0)
+                some, start = at[free], whose[free]
+                u = uniform(seed[start], counter[start] + U64(2) * (some - place[start]).astype(U64) + U64(1))
+                rest[free] = cut_gumbel(before[some] + np.log(-np.expm1(np.minimum(p[some], -1e-300))), np.repeat(values, sizes)[free], u)
+                return unit[whose], rest
+
+            spans = [(a, min(a + WINDOW, b)) for a, b in zip(ends, ends[1:])]
+            cut = np.cumsum([y - x for x, y in spans])[:-1]
+            units_of, rests = (np.split(x, cut) for x in beside(spans, [job.value for job in todo]))
+            # Noise is below MOST_NOISE. So regions that begin lower than that under the k-th value so far are never among the k best.
+            longer = [i for i, b in enumerate(ends[1:]) if spans[i][1] < b and (k > WINDOW or before[spans[i][1]] + MOST_NOISE >= np.partition(rests[i], -k)[-k])]
+            if longer:
+                spans_on = [(spans[i][1], ends[i + 1]) for i in longer]
+                cut = np.cumsum([y - x for x, y in spans_on])[:-1]
+                more = (np.split(x, cut) for x in beside(spans_on, [todo[i].value for i in longer]))
+                for i, of, rest in zip(longer, *more, strict=True):
+                    units_of[i], rests[i] = np.concatenate([units_of[i], of]), np.concatenate([rests[i], rest])
+            for job, a, b, of, rest in zip(todo, ends, ends[1:], units_of, rests):
+                ahead = before[a : a + len(rest)]
                 if job.beside is None:
-                    path = Drawn(edge[a:b], unit[a:b], 0, job.total, job.value, rest[a:b], before[a:b])
+                    path = Drawn(edge[a:b], of, 0, job.total, job.value, rest, ahead)
                 else:  # the region that stays beside the edge it was split by
                     start = len(job.kept) - 1
-                    left, ahead, taken = job.beside
-                    path = Drawn(np.concatenate([job.kept, edge[a:b]]), np.concatenate([job.units, unit[a:b]]), start, job.total, job.value, np.concatenate([[left], rest[a:b]]), np.concatenate([[ahead], before[a:b]]))
+                    left, at_left, taken = job.beside
+                    path = Drawn(np.concatenate([job.kept, edge[a:b]]), np.concatenate([job.units, of]), start, job.total, job.value, np.concatenate([[left], rest]), np.concatenate([[at_left], ahead]))
                     path.taken[start] = taken
                 paths[job.doc].append(path)
                 self._push(heaps[job.doc], paths[job.doc], len(paths[job.doc]) - 1)
@@ -446,7 +468,7 @@ def sample_segmentations(rows: DataFrame, model_path: str, keys: list[str], k: i
 
 
 class Decoder:
-    """The bytes of all pieces in one array. Control pieces are empty, the unknown one is U+2047 between spaces."""
+    """The bytes of all pieces. Control pieces are empty, the unknown one is U+2047 between spaces."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -458,17 +480,14 @@ class Decoder:
                 pieces.append(bytes([int(p.id_to_piece(i)[1:-1], 16)]))
             else:
                 pieces.append(b"" if p.is_control(i) else " \u2047 ".encode() if p.is_unknown(i) else p.id_to_piece(i).replace(SPACE, " ").encode())
-        self.sizes = np.array([len(x) for x in pieces], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.pieces = pa.array(pieces, pa.large_binary())
 
     def __call__(self, ids: np.ndarray) -> bytes:
         """What the ids stand for, less the space that every text begins with."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ids) or not ends[-1]:
+        if not len(ids):
             return b""
-        raw = self.data[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+        raw = self.pieces.take(pa.array(ids)).buffers()[2]
+        raw = raw.to_pybytes() if raw else b""
         return raw[1:] if raw[:1] == b" " else raw
 
 
