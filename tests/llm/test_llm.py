@@ -467,6 +467,12 @@ def test_segmentations_decode(spark):
     for r in rows:
         assert r.back == (texts[r.doc_id] or "") and 0 < r.inclusion <= 1
     assert len([r for r in rows if r.doc_id == 2]) == 1
+    short = {(r.doc_id, r.sample): r for r in segment.sample_segmentations(df, path, ["doc_id"], 4, digest=True).collect()}
+    assert len(short) == len(rows)
+    for r in rows:
+        d = short[r.doc_id, r.sample]
+        assert (d.n_pieces, d.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        assert d.decoded_sha256 == hashlib.sha256(r.back.encode()).hexdigest() and d.inclusion == r.inclusion
     long = frame(spark, ["日本" * 20_000, "word " * 40_000]).withColumn("sample", F.lit("clash"))
     found = segment.sample_segmentations(long, path, ["doc_id"], 2)
     assert {(r.doc_id, r.back) for r in found.select("doc_id", segment.decode(found, path).alias("back")).collect()} == {(0, "日本" * 20_000), (1, "word " * 40_000)}

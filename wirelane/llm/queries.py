@@ -52,8 +52,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sampled(rows: DataFrame, keys: list[str]) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = segment.sample_segmentations(rows.select(*keys, "text"), model, keys)
-    return out.select(*keys, "sample", segment.digests(out, model).alias("d"), "log_prob", "perturbed", "inclusion").select(*keys, "sample", "d.*", "log_prob", "perturbed", "inclusion")
+    return segment.sample_segmentations(rows.select(*keys, "text"), model, keys, digest=True)
 
 
 @query

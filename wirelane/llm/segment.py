@@ -40,7 +40,7 @@ SAMPLES = 4
 #: Log weights are multiplied by this: below 1 it brings out rarer segmentations.
 ALPHA = 0.3
 #: Remembered edges of a worker, of about 30 bytes; forgotten beyond.
-CACHE_EDGES = 6_000_000
+CACHE_EDGES = 4_000_000
 #: Units whose lattices are made together.
 LEARN_TOGETHER = 5_000
 #: Bits of a counter for the steps of a unit and for its number.
@@ -208,13 +208,14 @@ class Job:
 
 
 class Sampler:
-    """Edges of remembered units in flat arrays, which grow by doubling. State s has the edges first[s] to first[s + 1] - 1; state 0 is the end."""
+    """Edges of remembered units in flat arrays, whose memory is taken as it fills; they grow only for units beyond CACHE_EDGES. State s has the edges first[s] to first[s + 1] - 1; state 0 is the end."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.first = np.zeros(2, np.int64)
-        self.upto, self.log = np.zeros(0), np.zeros(0)  # cumulative probability in the state; beyond 1 at its last edge
-        self.next, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        room = CACHE_EDGES + CACHE_EDGES // 4
+        self.first = np.zeros(room, np.int64)
+        self.upto, self.log = np.zeros(room), np.zeros(room)  # cumulative probability in the state; beyond 1 at its last edge
+        self.next, self.piece = np.zeros(room, np.int32), np.zeros(room, np.int32)
         self.forget()
 
     def forget(self) -> None:
@@ -226,7 +227,7 @@ class Sampler:
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         held = getattr(self, name)
         if at + len(values) > len(held):
-            held = np.concatenate([held[:at], np.zeros(len(values) + max(at // 2, 100_000), held.dtype)])
+            held = np.concatenate([held[:at], np.zeros(len(values) + at // 4, held.dtype)])
             setattr(self, name, held)
         held[at : at + len(values)] = values
 
@@ -424,7 +425,7 @@ class Sampler:
         return int(starts[unit])
 
 
-def _rows(model, k: int, keys: list[str]):
+def _rows(model, k: int, keys: list[str], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = worker_store()
         name = ("sampler", zlib.crc32(model.value))
@@ -447,24 +448,29 @@ def _rows(model, k: int, keys: list[str]):
                         inclusion.append(-math.expm1(-math.exp(min(path.total - after, 700.0))) if after > -math.inf else 1.0)
                 ids, sizes = sampler.ids(edges)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
+                made = {"sample": pa.array(rank, pa.int32())} | (_digests(model, ids) if digest else {"ids": ids})
+                made |= {"log_prob": pa.array(log, pa.float64()), "perturbed": pa.array(value, pa.float64()), "inclusion": pa.array(inclusion, pa.float64())}
                 own = part.select(keys).take(pa.array(whose, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(rank, pa.int32()), ids, pa.array(log, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], [*keys, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                yield pa.RecordBatch.from_arrays([*own.columns, *made.values()], [*keys, *made])
 
     return run
 
 
-def sample_segmentations(rows: DataFrame, model_path: str, keys: list[str], k: int = SAMPLES, seed: int = 4) -> DataFrame:
+def sample_segmentations(rows: DataFrame, model_path: str, keys: list[str], k: int = SAMPLES, seed: int = 4, digest: bool = False) -> DataFrame:
     """(keys..., sample, ids, log_prob, perturbed, inclusion): up to k distinct segmentations of each row's text.
 
     rows: the key columns and text. sample counts from 1 by falling perturbed log-probability.
     inclusion is the probability of a path to be among the first given the first value left out, 1 if none is.
+    With digest, (n_pieces, ids_crc32, decoded_sha256) stand in place of ids: the checksum is of little-endian 32-bit ids,
+    the hash of what they decode to. They are made where the ids are, which no other worker then receives.
     A text with fewer segmentations has all; a null or empty text has the empty one. Rows that repeat
     keys and text repeat their samples. Null keys are keys like others. Other columns are not carried.
     """
     model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())  # one vocabulary file
     source = rows.select(*keys, F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), *keys).alias("seed"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keys).schema)
-    return source.mapInArrow(_rows(model, k, keys), f"{kinds}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    ids = "n_pieces int, ids_crc32 long, decoded_sha256 string" if digest else "ids array<int>"
+    return source.mapInArrow(_rows(model, k, keys, digest), f"{kinds}, sample int, {ids}, log_prob double, perturbed double, inclusion double")
 
 
 class Decoder:
@@ -517,14 +523,9 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
     return F.arrow_udf(run, "string")(rows[ids])
 
 
-def digests(rows: DataFrame, model_path: str, ids: str = "ids") -> Column:
-    """(n_pieces, ids_crc32, decoded_sha256) of a column of id arrays, none null: the checksum is of little-endian 32-bit ids, the hash of what they decode to."""
-    model = rows.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-
-    def run(column: pa.Array) -> pa.Array:
-        decoder, own = _decoder(model), list(_arrays(column))
-        sizes, sums = [len(i) for i in own], [zlib.crc32(i.astype("<u4").tobytes()) for i in own]
-        hashes = [hashlib.sha256(decoder(i)).hexdigest() for i in own]
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(sums, pa.int64()), pa.array(hashes)], ["n_pieces", "ids_crc32", "decoded_sha256"])
-
-    return F.arrow_udf(run, "n_pieces int, ids_crc32 long, decoded_sha256 string")(rows[ids])
+def _digests(model, column: pa.Array) -> dict[str, pa.Array]:
+    """What stands for lists of ids, none null."""
+    decoder, own = _decoder(model), list(_arrays(column))
+    sums = [zlib.crc32(i.astype("<u4").tobytes()) for i in own]
+    hashes = [hashlib.sha256(decoder(i)).hexdigest() for i in own]
+    return {"n_pieces": pa.array([len(i) for i in own], pa.int32()), "ids_crc32": pa.array(sums, pa.int64()), "decoded_sha256": pa.array(hashes, pa.string())}
