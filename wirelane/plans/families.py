@@ -116,7 +116,7 @@ def modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("a._3._1 = encode(a._2, 'UTF-8')").select("p_partkey", text("a._1").alias("raw"), F.col("a._2").alias("peeked"), F.col("a._3._2").alias("number"), F.col("a._7").alias("word"), F.col("b._1").alias("half"), F.col("b._2").alias("real"))
 
 
-NUMBERS = Layout("Numbers", [("a", layout.le_u16), ("b", layout.le_u24), ("c", layout.le_u32), ("d", layout.le_u48), ("e", layout.le_u64), ("f", layout.i8), ("g", layout.be_i16), ("h", layout.le_i32), ("i", layout.le_i64), ("j", layout.be_u24), ("k", layout.le_u32), ("l", layout.le_u16), ("m", layout.be_i64)])
+NUMBERS = Layout("Numbers", [("a", layout.le_u16), ("b", layout.le_u24), ("c", layout.le_u32), ("d", layout.le_u48), ("e", layout.le_u64), ("f", layout.i8), ("g", layout.be_i32), ("h", layout.le_i32), ("i", layout.le_i64), ("j", layout.be_u24), ("k", layout.le_u32), ("l", layout.le_u16), ("m", layout.be_i64)])
 
 
 @query("SELECT s_suppkey, (s_suppkey % 65536)::INT AS a, s_suppkey + 70000 AS b, s_suppkey + 3000000000 AS c, s_suppkey + 200000000000000 AS d, s_suppkey + 1000000000000000000 AS e, (s_suppkey % 256 - 128)::INT AS f, (-s_suppkey)::INT AS g, (-s_suppkey * 1000)::INT AS h, -s_suppkey * 1000000000000 AS i, s_suppkey AS j, s_suppkey AS k, (s_suppkey % 65536)::INT AS l, -s_suppkey AS m, (s_suppkey + 0.5)::FLOAT AS n, s_suppkey % 2 = 1 AS o, (s_suppkey % 128)::BIGINT AS q FROM supplier")
@@ -127,7 +127,8 @@ def number_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {"a": k, "b": k + 70000, "c": k + 3_000_000_000, "d": k + 200_000_000_000_000, "e": k + 10**18, "f": k % 256 - 128, "g": -k, "h": -k * 1000, "i": -k * 10**12, "j": k, "k": k, "l": k, "m": -k}
     data = F.concat(NUMBERS.encode(values), be(k % 2 * 128 + k % 128, 1), be(k, 2), blob(F.concat(k.cast("string"), F.lit(".5"))))
     tail = p.bits(p.bseq(p.bool_bit(), p.take_bits(7), p.bytes_(p.be_u16)))
-    numbers = (p.le_u16, p.le_u24, p.le_u32, p.le_u48, p.le_u64, p.i8, p.be_i16, p.le_i32, p.le_i64, p.be_u24, p.uint_(4, "little"), p.ne_u16, p.be_i64)
+    halves = p.map_(p.pair(p.be_i16, p.be_u16), lambda v: v[0] * 65536 + v[1], "int")  # no key is too large for the SQL's INT
+    numbers = (p.le_u16, p.le_u24, p.le_u32, p.le_u48, p.le_u64, p.i8, halves, p.le_i32, p.le_i64, p.be_u24, p.uint_(4, "little"), p.ne_u16, p.be_i64)
     rows = s.select("s_suppkey", parse(data, p.all_consuming(p.seq(*numbers, tail, p.float_)))["value"].alias("v"))
     names = list(zip("abcdefghijklm", range(1, 14), strict=True))
     kinds = {"a": "int", "e": "long", "f": "int", "g": "int", "l": "int"}
