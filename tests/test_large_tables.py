@@ -1,6 +1,7 @@
 """What small tables do not show: large keys, files and groups."""
 
 from wirelane.plans import families
+from wirelane.sources import pcap
 
 
 def test_numbers_of_large_keys(spark, tmp_path):
@@ -8,3 +9,24 @@ def test_numbers_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     rows = {r.s_suppkey: r for r in families.number_parsers(spark, str(tmp_path)).collect()}
     assert {k: (r.a, r.b, r.g, r.h, r.m, r.n) for k, r in rows.items()} == {k: (k % 65536, k + 70000, -k, -k * 1000, -k, k + 0.5) for k in keys}
+
+
+def test_captures_are_read_in_windows(spark, tmp_path):
+    """No file is held whole: Spark reads none that is longer than maxLength. Names are taken as they are."""
+    packets = [(i, i % 7, bytes(i % 50)) for i in range(3000)]
+    (tmp_path / "a %41+b.pcap").write_bytes(pcap.write_pcap(packets))
+    (tmp_path / "none.pcap").write_bytes(b"")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        rows = pcap.read_captures(spark, str(tmp_path)).orderBy("packet_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r.packet_id, r.ts_raw, r.payload) for r in rows] == [(i, s << 32 | f, p) for i, (s, f, p) in enumerate(packets)]
+    assert {r.file.rpartition("/")[2] for r in rows} == {"a %41+b.pcap"}
+
+
+def test_captures_of_a_store_that_arrow_does_not_reach(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap.write_pcap([(1, 2, b"x")]))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.captures.link./in", f"file://{tmp_path}")
+    assert [r.payload for r in pcap.read_captures(spark, "viewfs://captures/in").collect()] == [b"x"]

@@ -72,13 +72,16 @@ class Capture:
         """The packets without their payloads, and `layers`: a struct of lists, of which those wanted are made."""
         return self._kept[0] if self._kept else self._decode(wanted)
 
-    def union(self, names: list[str], columns: list[str]) -> DataFrame:
-        """(table, columns...) of several tables of whole packets, from one walk: for ports, addresses and the like."""
+    def union(self, names: list[str], columns: list[str], packet: Iterable[str] = ()) -> DataFrame:
+        """(packet..., table, columns...) of several tables of whole packets, from one walk: for ports, addresses and the like.
+
+        packet: columns of the packets, which need no join then.
+        """
         def tagged(name: str) -> Callable[[Column], Column]:
             return lambda x: F.struct(F.lit(name).alias("table"), *(x[c].alias(c) for c in columns))
 
         rows = F.concat(*(F.transform(f"layers.{n}", tagged(n)) for n in names))
-        return self.layers(*names).select(F.explode(rows).alias("row")).select("row.*")
+        return self.layers(*names).select(*packet, F.explode(rows).alias("row")).select(*packet, "row.*")
 
     def _exploded(self, name: str, *more: str) -> DataFrame:
         return self.layers(name, *more).select("file", "packet_id", F.explode(f"layers.{name}").alias("row")).select("file", "packet_id", "row.*")

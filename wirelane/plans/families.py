@@ -292,9 +292,8 @@ def _written(spark: SparkSession, sf_dir: str, container: str) -> str:
 def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classic captures, written by tasks, read whole, and walked: ports with lengths and timestamps."""
     packets = pcap.read_captures(spark, _written(spark, sf_dir, "pcap"))
-    c = Capture(packets, Options(reassembly=None))
-    ports = c.table("udp").select("file", "packet_id", F.lit("udp").alias("proto"), "src_port").unionByName(c.table("tcp").select("file", "packet_id", F.lit("tcp").alias("proto"), "src_port"))
-    rows = ports.join(packets.select("file", "packet_id", "caplen", F.shiftright("ts_raw", 20).alias("stamp")), ["file", "packet_id"])
+    rows = Capture(packets, Options(reassembly=None)).union(["udp", "tcp"], ["src_port"], ["caplen", "ts_raw"])
+    rows = rows.withColumnRenamed("table", "proto").withColumn("stamp", F.shiftright("ts_raw", 20))
     return rows.groupBy("proto", "src_port").agg(F.count(F.lit(1)).alias("n"), F.sum("caplen").alias("bytes"), F.sum("stamp").alias("stamps"))
 
 

@@ -1,7 +1,7 @@
 """Packet captures as DataFrames: classic pcap and pcapng, in batch and as a stream, read and written.
 
-read_captures() takes whole files through Spark's binaryFile source, so it reaches every store that
-Spark does, a file a task. scan_captures() cuts large files into byte ranges by their sizes alone: each task
+read_captures() takes the files that Spark's binaryFile source lists, a file a task, in windows; where Arrow does not
+reach a store, Spark reads whole files, so it reaches every store that Spark does. scan_captures() cuts large files into byte ranges by their sizes alone: each task
 finds the first block of its range, and the ranges' packets are counted and chained before they are
 read. The `pcap` data source reads a file a task in windows, follows a growing capture, and writes captures.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from typing import Any, BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -167,6 +168,13 @@ def _batches(rows: Iterator[tuple], extra: dict[str, Any] | None = None) -> Iter
         yield batch()
 
 
+def _scan_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            read = _Open(path)
+            yield from _batches(Scanner(read, read.size).blocks(), {"file": path})
+
+
 def _scan_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -176,11 +184,25 @@ def _scan_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """(file, packets of SCHEMA) of all captures under a path of any store; packet_id counts each file's packets from 0.
 
-    A file is read by one task, so this is for files that a task can hold; a file with a broken
-    frame fails the query. A capture without packets gives no row.
+    A file is read by one task, in windows. Of a store that Arrow does not reach, a task holds the file, and so
+    does Spark. A file with a broken frame fails the query. A capture without packets gives no row.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_scan_files, "file string, " + SCHEMA)
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    if _reached(files):
+        return files.select("path").mapInArrow(_scan_paths, "file string, " + SCHEMA)
+    return files.select("path", "content").mapInArrow(_scan_files, "file string, " + SCHEMA)
+
+
+def _reached(files: DataFrame) -> bool:
+    """Whether Arrow can open what Spark lists: the first file tells."""
+    names = files._jdf.inputFiles()
+    if not len(names):
+        return False
+    try:
+        _Open(unquote(names[0])).file.close()
+    except (OSError, ValueError, NotImplementedError):  # Arrow's errors are of these
+        return False
+    return True
 
 
 # The data source
@@ -188,6 +210,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 #: Names of stores that Spark and Arrow call differently.
 _ALIASES = {"s3a": "s3", "s3n": "s3"}
+#: What an URI takes as it is; a name's blanks and per cent signs are quoted, as Spark's paths hold them plain.
+_PLAIN = "/:@?=&+,;~!$'()*"
 
 
 def _filesystem(path: str):
@@ -195,10 +219,10 @@ def _filesystem(path: str):
 
     if path.startswith("dbfs:/"):
         return fs.LocalFileSystem(), "/dbfs/" + path.removeprefix("dbfs:").lstrip("/")
-    if "://" not in path:
-        return fs.LocalFileSystem(), path.removeprefix("file:")
+    if "://" not in path or path.startswith("file:///"):
+        return fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
     scheme, rest = path.split("://", 1)
-    return fs.FileSystem.from_uri(f"{_ALIASES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(f"{_ALIASES.get(scheme, scheme)}://{quote(rest, _PLAIN)}")
 
 
 def _paths(path: str) -> list[str]:
