@@ -1,7 +1,10 @@
 """What small tables do not show: large keys, files and groups."""
 
+import test_streaming
+
 from wirelane.plans import families
 from wirelane.sources import pcap
+from wirelane.streaming import reassembly
 
 
 def test_numbers_of_large_keys(spark, tmp_path):
@@ -30,3 +33,9 @@ def test_captures_of_a_store_that_arrow_does_not_reach(spark, tmp_path):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     conf.set("fs.viewfs.mounttable.captures.link./in", f"file://{tmp_path}")
     assert [r.payload for r in pcap.read_captures(spark, "viewfs://captures/in").collect()] == [b"x"]
+
+
+def test_stream_keys_share_state(spark, tmp_path, monkeypatch):
+    """Python is called for buckets of keys; datagrams of other keys in a bucket end as if they were alone."""
+    monkeypatch.setattr(reassembly, "BUCKETS", 2)
+    test_streaming.test_stream_is_batch(spark, tmp_path)
