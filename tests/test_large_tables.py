@@ -2,7 +2,7 @@
 
 import test_streaming
 
-from wirelane.plans import families
+from wirelane.plans import catalog, families
 from wirelane.sources import pcap
 from wirelane.streaming import reassembly
 
@@ -39,3 +39,14 @@ def test_stream_keys_share_state(spark, tmp_path, monkeypatch):
     """Python is called for buckets of keys; datagrams of other keys in a bucket end as if they were alone."""
     monkeypatch.setattr(reassembly, "BUCKETS", 2)
     test_streaming.test_stream_is_batch(spark, tmp_path)
+
+
+def test_messages_are_not_sent_to_the_driver(spark, tmp_path):
+    """Spark guesses rows by the bytes of the table they are made of; each packet is walked once for each pass."""
+    spark.createDataFrame([(k, k % 11) for k in range(9000)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalog.path_trace_join(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert plan.count("ArrowEvalPython [run(payload") == 4
+    want = {(k, k % 11 % 4, f"{k % 11:016x}") for k in range(9000) if k % 5}
+    assert {tuple(r) for r in rows.collect()} == want

@@ -205,7 +205,8 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, spa
     sizes = cut.groupBy(*group, "_span").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(*group, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
-    out = cut.withColumn("_within", within).join(sizes, [*group, "_span"])
+    # By merging: rows lie by their span already. Spark's guess at their size may be far too low to send them to the driver.
+    out = cut.withColumn("_within", within).join(sizes.hint("merge"), [*group, "_span"])
     return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_span", "_within", "_before")
 
 

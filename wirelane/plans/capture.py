@@ -66,7 +66,8 @@ class Capture:
 
     def _decode(self, wanted: Iterable[str]) -> DataFrame:
         layers = protocols.decode(F.col("payload"), F.col("link_type"), self.options.reassembly is not None, wanted)
-        return self.source.select(*(c for c in self.source.columns if c != "payload"), layers.alias("layers"))
+        # An element of a list, taken out again: a filter on layers would else decode once more.
+        return self.source.select(*(c for c in self.source.columns if c != "payload"), F.explode(F.array(layers)).alias("layers"))
 
     def layers(self, *wanted: str) -> DataFrame:
         """The packets without their payloads, and `layers`: a struct of lists, of which those wanted are made."""
@@ -126,7 +127,8 @@ class Capture:
 
     def _gptp(self) -> DataFrame:
         if "gptp*" not in self._tables:
-            found = self._exploded("gptp").select("file", "packet_id", "layer_no", protocols.gptp(F.col("message")).alias("m")).where("m is not null")
+            whole = self._exploded("gptp").where(F.octet_length("message") >= protocols.GPTP.size)  # the others are no messages
+            found = whole.select("file", "packet_id", "layer_no", protocols.gptp(F.col("message")).alias("m"))
             self._tables["gptp*"] = self._share(defrag.numbered(self._share(found), ["file"], ["packet_id", "layer_no"], "msg_index"))
         return self._tables["gptp*"]
 

@@ -541,7 +541,8 @@ def path_trace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Capture(gptp_packets(spark, sf_dir))
     a = c.table("gptp_announce").select("common.msg_index", "packet_id", F.lower(F.hex("grandmaster_identity")).alias("grandmaster"))
     p = c.table("gptp_path_trace").groupBy("msg_index").agg(F.count(F.lit(1)).alias("clocks"))
-    return a.join(p, "msg_index", "left").select("packet_id", F.coalesce("clocks", F.lit(0).cast("long")).alias("clocks"), "grandmaster")
+    # Both are as many as the messages, whatever Spark guesses from the table's size.
+    return a.join(p.hint("merge"), "msg_index", "left").select("packet_id", F.coalesce("clocks", F.lit(0).cast("long")).alias("clocks"), "grandmaster")
 
 
 # SOME/IP and LLDP
