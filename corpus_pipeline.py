@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelane.llm import langid, line_dedup, minhash, packing, quality
-from wirelane.llm.common import Scratch, documents
+from wirelane.llm.common import Scratch, bound_batches, documents
 
 #: A text in which no language has this share of the letters is not in any language.
 MIN_SHARE = 0.5
@@ -28,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows without a doc_id and null or empty texts go. Rows that share a doc_id are decided each by its text;
     keys that tie are drawn by doc_id. Without labels of both kinds all that have a text stay.
     """
+    bound_batches(spark)
     selector = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     _, _, selected = selector.columns(docs)
     return docs.where(selected).select(*docs.columns)
@@ -38,6 +39,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null texts and those without a letter go, and all do if no row has a lang. Repeated rows share their fate.
     """
+    bound_batches(spark)
     found = langid.identify(docs, langid.fit(docs))
     return docs.where((found["lang"] != "und") & (found["score"] >= MIN_SHARE)).select(*docs.columns)
 
@@ -60,6 +62,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A text without words is a group by itself. Of rows that share a doc_id and a text one stays; rows that share a doc_id
     with other texts stay with it.
     """
+    bound_batches(spark)
     kept = minhash.near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     again = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]  # 128 bits, so that only equal texts are taken for equal
     rows = docs.join(kept, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "doc_id", again[0].alias("h1"), again[1].alias("h2"))
@@ -68,6 +71,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a packed document; see packing.pack(). Every row is packed."""
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Bytes of a batch that Spark hands to a Python worker, where the session does not say. Spark's default bounds the rows alone, whatever they hold.
+BATCH_BYTES = 4 << 20
 
 _own_folder: list[str] = []
 
@@ -102,6 +105,12 @@ def slices(batch: pa.RecordBatch, column: str, rows: int, size: int = 4 << 20) -
         at = end
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches to and from Python hold about BATCH_BYTES, unless the session names another size. It holds from then on, as frames run later than they are made."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lowered and nothing else. lower() does just that where all characters are ASCII."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -142,3 +151,30 @@ def worker_store() -> dict:
     import types
 
     return sys.modules.setdefault("_wirelane_worker", types.ModuleType("_wirelane_worker")).__dict__
+
+
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gave for a key, kept by a Python worker from task to task. One key is kept at a time: words of an operator do not outlast it."""
+    store = worker_store()
+    if key not in store.get("cache", {}):
+        store["cache"] = {}
+        store["cache"][key] = make()
+    return store["cache"][key]
+
+
+def give_back() -> None:
+    """Return memory to the system that a worker's allocators hold free: it would stay with the worker, which outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of the GNU C library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch], key: Any = None) -> Iterator[pa.RecordBatch]:
+    """The batches; frees what worker_cache() keeps under another key and unused memory before them, and unused memory after each."""
+    if key not in (store := worker_store()).get("cache", {}):
+        store.pop("cache", None)
+    give_back()
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import ship, slices, worker_store
+from wirelane.llm.common import give_back, ship, slices, tidy, worker_cache
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -196,7 +196,7 @@ class Labeller:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per language: how often each bucket and, beyond BUCKETS, each script occurs."""
     tables: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in tidy(batches):
         for lang, rows in groupby(sorted(zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)), key=lambda r: r[0]):
             table = tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
             words: Counter = Counter()
@@ -251,13 +251,11 @@ _ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa
 
 
 def _label_all(model, token: str, texts: pa.Array) -> pa.Array:
-    store = worker_store()
-    if store.get("labeller", (None,))[0] != token:
-        store["labeller"] = (token, Labeller(model()))
-    label_all = store["labeller"][1].label_all
+    label_all = worker_cache(("labeller", token), lambda: Labeller(model())).label_all
     out: list[dict] = []
     for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", TOGETHER):
         out += label_all(part.column(0).to_pylist())
+    give_back()
     return pa.array(out, _ARROW)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch, slices
+from wirelane.llm.common import Scratch, slices, tidy
 from wirelane.llm.graph import components
 from wirelane.llm.shingles import U64, WordHashes, sets
 
@@ -78,7 +78,7 @@ def error_keys(signature: np.ndarray) -> np.ndarray:
 def _sketch(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in tidy(batches):
             for part in slices(batch, "text", 256):
                 found = sets(part.column("text"), width, cache)
                 full = [s for s in found if len(s)]
@@ -90,7 +90,7 @@ def _sketch(width: int) -> Callable:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidy(batches):
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             rows = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
@@ -130,7 +130,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
     """Tables of the rows that agree in `by`, from batches sorted by it."""
     held: list[pa.Table] = []
     last = None
-    for batch in batches:
+    for batch in tidy(batches):
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch, int_array, shuffle_partitions, slices, worker_store
+from wirelane.llm.common import Scratch, int_array, shuffle_partitions, slices, tidy, worker_cache
 
 CAPACITY = 4096
 END_ID = 1
@@ -89,15 +89,12 @@ class PartIds(dict):
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
-        key = ("parts", zlib.crc32(tokenizer.value.encode()))
-        if key not in store:
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            store[key] = PartIds(Tokenizer.from_str(tokenizer.value))
-        encode = store[key].encode
+        key = ("parts", zlib.crc32(tokenizer.value.encode()))
+        encode = worker_cache(key, lambda: PartIds(Tokenizer.from_str(tokenizer.value))).encode
         end = np.uint32(end_id).tobytes()
-        for batch in batches:
+        for batch in tidy(batches, key):
             for part in slices(batch, "text", 500):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
@@ -190,7 +187,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def _place(steps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, rank, bins, offset = steps.value
-        for batch in batches:
+        for batch in tidy(batches):
             length, own = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             # of and rank ascend together, so the step is the last one at or before (length, own).
             lo, hi = np.searchsorted(of, length, "left"), np.searchsorted(of, length, "right")

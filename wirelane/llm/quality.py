@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelane.llm.common import Scratch, shuffle_partitions
+from wirelane.llm.common import Scratch, give_back, shuffle_partitions, tidy
 from wirelane.llm.shingles import texts
 
 BITS = 18
@@ -53,7 +53,7 @@ def buckets(text: bytes) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in tidy(batches):
         held, size = [], 0
         for text in texts(batch.column("text")):
             held.append(buckets(text))
@@ -85,7 +85,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (text, good): kind 0, n-grams of good texts; 1 and 2, the good and the toxic texts that hold each, and in place BUCKETS all of them."""
     tables = np.zeros((3, BUCKETS + 1), np.int64)
-    for batch in batches:
+    for batch in tidy(batches):
         for text, good in zip(texts(batch.column("text")), batch.column("good").to_pylist(), strict=True):
             if not text:
                 continue
@@ -127,6 +127,7 @@ def measures(docs: DataFrame, ratio: np.ndarray, toxic: np.ndarray) -> Column:
             own = buckets(t) if t else None
             weight.append(None if own is None else float(weights[own].sum(dtype=np.float64)))
             toxicity.append(None if own is None else float(worst[own].max()))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(weight, pa.float64()), pa.array(toxicity, pa.float64())], ["log_weight", "toxicity"])
 
     return F.arrow_udf(run, "log_weight double, toxicity double")(docs["text"].cast("string"))
